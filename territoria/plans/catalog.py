@@ -131,3 +131,284 @@ def q_energy_demand(spark, d):
 @register("priority_flow", sql_r6(S.with_(*FLOW) + " SELECT * FROM gis", GIS_D))
 def q_priority_flow(spark, d):
     return r6(_flow(spark, d).priority)
+
+
+# ------------------------------------------------------- stage 1 details --
+@register("master_projection", S.with_(S.REGISTRATIONS) + f"""
+SELECT o.o_orderstatus AS estado, strftime(o.o_orderdate, '%Y-%m-%d') AS fecha_registro,
+       CAST(year(o.o_orderdate) AS DOUBLE) AS anio, {S.standardize('p.p_type')} AS tipo_vehiculo,
+       {S.norm_dept('n.n_name')} AS departamento, coalesce(l.l_quantity, 0.0) AS cantidad_ev,
+       l.l_extendedprice AS kwh_promedio, CAST(p.p_size AS DOUBLE) AS consumo_wh_km,
+       p.p_retailprice AS potencia_carga
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey""")
+def q_master_projection(spark, d):
+    return tb.load_master(tb.registrations_raw(spark, d))
+
+
+@register("coerce_numeric", """
+SELECT event_id, json_extract_string(props, '$.k') AS k_texto,
+       CASE WHEN isnan(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) THEN NULL
+            ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k_numero,
+       CASE WHEN isnan(TRY_CAST(event_type AS DOUBLE)) THEN NULL ELSE TRY_CAST(event_type AS DOUBLE) END
+         AS tipo_numero
+FROM events""")
+def q_coerce_numeric(spark, d):
+    from ..functions.numeric import coerce_numeric
+    ev = tb.read_table(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    return ev.select("event_id", k.alias("k_texto"), coerce_numeric(k).alias("k_numero"),
+                     coerce_numeric(F.col("event_type")).alias("tipo_numero"))
+
+
+@register("drop_incomplete_rows", """
+SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL""")
+def q_drop_incomplete_rows(spark, d):
+    docs = tb.read_table(spark, d, "documents").select("doc_id", "lang")
+    j = docs.join(tb.read_table(spark, d, "labels"), "doc_id", "left")
+    return pn.drop_incomplete(j, ["quality", "toxic"])
+
+
+@register("latest_snapshot", sql_r6(S.with_(*BASE) + " SELECT * FROM panel WHERE anio = (SELECT max(anio) FROM panel)",
+                                    PANEL_D))
+def q_latest_snapshot(spark, d):
+    return r6(pn.latest_snapshot(_panel(spark, d)))
+
+
+@register("distinct_years", S.with_(*BASE) + " SELECT DISTINCT anio FROM panel WHERE anio IS NOT NULL")
+def q_distinct_years(spark, d):
+    return pn.distinct_sorted(_panel(spark, d), "anio")
+
+
+@register("latest_per_series", sql_r6(S.with_(*BASE, S.DATA) + """
+ SELECT departamento, tipo_vehiculo, max(anio) AS anio, max_by(cantidad_ev, anio) AS cantidad_ev,
+        max_by(kwh_promedio, anio) AS kwh_promedio, max_by(potencia_carga, anio) AS potencia_carga,
+        max_by(consumo_wh_km, anio) AS consumo_wh_km
+ FROM data GROUP BY departamento, tipo_vehiculo""", PANEL_D))
+def q_latest_per_series(spark, d):
+    return r6(pn.latest_per_series(_data(spark, d), ["departamento", "tipo_vehiculo"]))
+
+
+@register("temporal_split", sql_r6(S.with_(*BASE, S.DATA) + """
+ SELECT *, CAST((SELECT cutoff FROM cut) AS INTEGER) AS cutoff_year,
+        CASE WHEN anio <= (SELECT cutoff FROM cut) THEN 'train'
+             WHEN anio > (SELECT cutoff FROM cut) THEN 'test' END AS particion FROM data""", PANEL_D))
+def q_temporal_split(spark, d):
+    return r6(bt.label_split(_data(spark, d)))
+
+
+@register("horizon_fanout", sql_r6(S.with_(*BASE, S.DATA, S.future()) + " SELECT * FROM fan", PANEL_D))
+def q_horizon_fanout(spark, d):
+    return r6(tr.horizon_fanout(_data(spark, d), DEFAULT_HORIZONS))
+
+
+BT_METRICS_SQL = """
+ SELECT 'proyeccion_tendencial_grupo' AS model,
+        avg(abs(cantidad_ev - cantidad_ev_pred)) AS mae,
+        sqrt(avg((cantidad_ev - cantidad_ev_pred) * (cantidad_ev - cantidad_ev_pred))) AS rmse,
+        count(*) AS n,
+        CASE WHEN var_pop(cantidad_ev) * count(cantidad_ev) > 0
+             THEN 1 - sum((cantidad_ev - cantidad_ev_pred) * (cantidad_ev - cantidad_ev_pred))
+                      / (var_pop(cantidad_ev) * count(cantidad_ev))
+             WHEN sum((cantidad_ev - cantidad_ev_pred) * (cantidad_ev - cantidad_ev_pred)) = 0 THEN 1.0
+             ELSE 0.0 END AS r2
+ FROM predictions"""
+
+
+def _trend_metrics(spark, d):
+    preds = _stage1(spark, d)[0]
+    return bt.error_metrics(preds, "cantidad_ev", "cantidad_ev_pred").select(
+        F.lit(bt.MODEL_TREND).alias("model"), "mae", "rmse", "n", "r2")
+
+
+@register("backtest_metrics", sql_r6(S.with_(*STAGE1) + BT_METRICS_SQL, ["mae", "rmse", "r2"]))
+def q_backtest_metrics(spark, d):
+    return r6(_trend_metrics(spark, d))
+
+
+@register("backtest_run_summary", sql_r6(S.with_(*STAGE1) + """,
+m AS (""" + BT_METRICS_SQL + """)
+ SELECT (SELECT count(*) FROM train) AS train_rows, (SELECT count(*) FROM test) AS test_rows,
+        CAST((SELECT cutoff FROM cut) AS INTEGER) AS cutoff_year,
+        CAST((SELECT max(anio) FROM data) AS INTEGER) AS base_year,
+        'proyeccion_tendencial_grupo' AS selected_model,
+        'proyeccion_tendencial_grupo' AS future_forecast_method,
+        m.mae, m.rmse, m.r2 FROM m""", ["mae", "rmse", "r2"]))
+def q_backtest_run_summary(spark, d):
+    data = _data(spark, d)
+    train, test = bt.split_temporal(data)
+    m = _trend_metrics(spark, d)
+    counts = data.agg(
+        F.count_if(F.col("anio") <= bt.cutoff_year(data)).alias("train_rows"),
+        F.count_if(F.col("anio") > bt.cutoff_year(data)).alias("test_rows"),
+        bt.cutoff_year(data).cast("int").alias("cutoff_year"),
+        F.max("anio").cast("int").alias("base_year"))
+    from ..operators.common import attach_one_row
+    out = attach_one_row(counts, m.select(F.lit(bt.MODEL_TREND).alias("selected_model"),
+                                          F.lit(tr.TREND_METHOD).alias("future_forecast_method"),
+                                          "mae", "rmse", "r2"))
+    return r6(out)
+
+
+@register("positional_holdout", sql_r6(S.with_(*BASE, S.DATA) + """
+ SELECT *, row_number() OVER (ORDER BY anio, departamento, tipo_vehiculo) AS posicion,
+        CASE WHEN row_number() OVER (ORDER BY anio, departamento, tipo_vehiculo)
+                  > (SELECT count(*) FROM data) - greatest(1, (SELECT count(*) FROM data) // 5)
+             THEN 'test' ELSE 'train' END AS particion
+ FROM data""", PANEL_D))
+def q_positional_holdout(spark, d):
+    return r6(bt.positional_holdout(_data(spark, d), [F.col("anio"), F.col("departamento"),
+                                                      F.col("tipo_vehiculo")]))
+
+
+@register("imputation_stats", sql_r6(S.with_(*BASE, S.DATA) + """
+ SELECT median(CAST(anio AS DOUBLE)) AS median_anio, median(kwh_promedio) AS median_kwh_promedio,
+        median(potencia_carga) AS median_potencia_carga, median(consumo_wh_km) AS median_consumo_wh_km,
+        (SELECT departamento FROM train WHERE departamento IS NOT NULL GROUP BY departamento
+           ORDER BY count(*) DESC, departamento LIMIT 1) AS mode_departamento,
+        (SELECT tipo_vehiculo FROM train WHERE tipo_vehiculo IS NOT NULL GROUP BY tipo_vehiculo
+           ORDER BY count(*) DESC, tipo_vehiculo LIMIT 1) AS mode_tipo_vehiculo
+ FROM train""", ["median_anio", "median_kwh_promedio", "median_potencia_carga", "median_consumo_wh_km"]))
+def q_imputation_stats(spark, d):
+    from ..operators.forest import imputation_stats
+    train, _ = bt.split_temporal(_data(spark, d))
+    return r6(imputation_stats(train, ["anio", "kwh_promedio", "potencia_carga", "consumo_wh_km"],
+                               ["departamento", "tipo_vehiculo"]))
+
+
+@register("group_trend_sparse", sql_r6(S.with_(S.REGISTRATIONS, """
+cpanel AS (SELECT anio, CAST(o_custkey AS VARCHAR) AS departamento, tipo_vehiculo,
+                  coalesce(sum(cantidad_ev), 0.0) AS cantidad_ev FROM reg GROUP BY ALL)""",
+                                           S.trend_fit("tr", "cpanel"))
+                                   + " SELECT departamento, tipo_vehiculo, slope, intercept, n_years FROM tr",
+                                   ["slope", "intercept"]))
+def q_group_trend_sparse(spark, d):
+    reg = tb.registrations(spark, d).withColumn("departamento", F.col("o_custkey").cast("string"))
+    cpanel = reg.groupBy("anio", "departamento", "tipo_vehiculo").agg(
+        F.coalesce(F.sum("cantidad_ev"), F.lit(0.0)).alias("cantidad_ev"))
+    return r6(tr.fit_group_trend(cpanel))
+
+
+# ------------------------------------------------------------- stage 2 ---
+@register("forecast_overlay", sql_r6(S.with_(*ENERGY) + " SELECT * FROM overlay",
+                                     PANEL_D + ["cantidad_ev_pred", "cantidad_ev_modelada"]))
+def q_forecast_overlay(spark, d):
+    panel = _panel(spark, d)
+    preds, _ = stage1_trend(panel, DEFAULT_HORIZONS)
+    return r6(en.forecast_overlay(panel, preds))
+
+
+@register("history_future_union", sql_r6(S.with_(*ENERGY) + " SELECT * FROM unioned",
+                                         PANEL_D + ["cantidad_ev_pred", "cantidad_ev_modelada"]))
+def q_history_future_union(spark, d):
+    panel = _panel(spark, d)
+    preds, fc = stage1_trend(panel, DEFAULT_HORIZONS)
+    return r6(en.history_future_union(en.forecast_overlay(panel, preds), fc))
+
+
+@register("distinct_predictions", sql_r6(S.with_(*STAGE1) + """
+ SELECT DISTINCT anio, departamento, tipo_vehiculo, cantidad_ev_pred FROM predictions""", ["cantidad_ev_pred"]))
+def q_distinct_predictions(spark, d):
+    return r6(en.distinct_predictions(_stage1(spark, d)[0]))
+
+
+SCEN_COLS = en.SCENARIO_BASE_COLUMNS + ["escenario_simultaneidad", "simultaneidad", "demanda_futura",
+                                        "demanda_futura_kw"]
+
+
+@register("scenario_fanout", sql_r6(S.with_(*ENERGY) + f"""
+ SELECT {", ".join(c for c in en.SCENARIO_BASE_COLUMNS)}, s.n AS escenario_simultaneidad, s.f AS simultaneidad,
+        cantidad_ev_modelada * potencia_carga * s.f AS demanda_futura,
+        cantidad_ev_modelada * potencia_carga * s.f AS demanda_futura_kw
+ FROM energy CROSS JOIN (VALUES {", ".join(f"('{k}', {v})" for k, v in DEFAULT_SCENARIOS.items())}) s(n, f)""",
+                                    [c for c in ENERGY_D if c in SCEN_COLS]))
+def q_scenario_fanout(spark, d):
+    return r6(en.scenario_fanout(_energy(spark, d), DEFAULT_SCENARIOS))
+
+
+# ------------------------------------------------------------- stage 3 ---
+SNAP_D = ["cantidad_ev", "cantidad_ev_modelada", "consumo_energetico", "demanda_futura"]
+COV_D = ["total_activos_hidraulicos", "capacidad_hidraulica_total", "latitud_hidraulica_promedio",
+         "longitud_hidraulica_promedio"]
+CRIT = ["criterio_demanda", "criterio_crecimiento_ev", "criterio_soporte_hidraulico",
+        "criterio_cobertura_hidraulica", "criterio_brecha_soporte_hidraulico",
+        "criterio_brecha_cobertura_hidraulica"]
+
+
+@register("department_snapshot", sql_r6(S.with_(*FLOW) + " SELECT * FROM snap", SNAP_D))
+def q_department_snapshot(spark, d):
+    return r6(pr.department_snapshot(_energy(spark, d)))
+
+
+@register("asset_coverage", sql_r6(S.with_(S.ASSETS, *FLOW[-1:]).replace(
+    "WITH ", "WITH ", 1).split("snap AS")[0].rstrip().rstrip(",") + """,
+coverage AS (
+  SELECT departamento, CAST(count(nombre_activo) AS DOUBLE) AS total_activos_hidraulicos,
+         coalesce(sum(capacidad_hidraulica), 0.0) AS capacidad_hidraulica_total,
+         avg(latitud) AS latitud_hidraulica_promedio, avg(longitud) AS longitud_hidraulica_promedio
+  FROM assets GROUP BY departamento)
+ SELECT * FROM coverage""", COV_D))
+def q_asset_coverage(spark, d):
+    return r6(pr.asset_coverage(tb.assets(spark, d)))
+
+
+@register("demand_asset_join", sql_r6(S.with_(*FLOW) + " SELECT * FROM joined", SNAP_D + COV_D + ["latitud", "longitud"]))
+def q_demand_asset_join(spark, d):
+    return r6(pr.demand_asset_join(pr.department_snapshot(_energy(spark, d)), pr.asset_coverage(tb.assets(spark, d))))
+
+
+def _criteria(spark, d):
+    j = pr.demand_asset_join(pr.department_snapshot(_energy(spark, d)), pr.asset_coverage(tb.assets(spark, d)))
+    return pr.add_criteria(j)
+
+
+@register("min_max_scale", sql_r6(S.with_(*FLOW) + " SELECT departamento, " + ", ".join(CRIT) + " FROM crit2", CRIT))
+def q_min_max_scale(spark, d):
+    return r6(_criteria(spark, d).select("departamento", *CRIT))
+
+
+@register("weighted_priority_index", sql_r6(S.with_(*FLOW) + " SELECT departamento, indice_prioridad_territorial FROM idx",
+                                            ["indice_prioridad_territorial"]))
+def q_weighted_priority_index(spark, d):
+    return r6(_criteria(spark, d).select("departamento", pr.weighted_index().alias("indice_prioridad_territorial")))
+
+
+@register("dense_priority_rank", sql_r6(S.with_(*FLOW) + """
+ SELECT departamento, indice_prioridad_territorial, ranking_prioridad FROM gis""", ["indice_prioridad_territorial"]))
+def q_dense_priority_rank(spark, d):
+    return r6(_flow(spark, d).priority.select("departamento", "indice_prioridad_territorial", "ranking_prioridad"))
+
+
+@register("priority_category", S.with_(*FLOW) + " SELECT departamento, categoria_prioridad FROM gis")
+def q_priority_category(spark, d):
+    return _flow(spark, d).priority.select("departamento", "categoria_prioridad")
+
+
+@register("priority_observation", S.with_(*FLOW) + " SELECT departamento, observacion_prioridad FROM gis")
+def q_priority_observation(spark, d):
+    return _flow(spark, d).priority.select("departamento", "observacion_prioridad")
+
+
+VALID_SQL = f"""
+ SELECT departamento, anio_escenario, escenario_energetico_base, ranking_prioridad, categoria_prioridad,
+        indice_prioridad_territorial, demanda_futura, consumo_energetico, cantidad_ev_modelada,
+        capacidad_hidraulica_total, total_activos_hidraulicos, {", ".join(CRIT)},
+        {S.W['demanda']} AS peso_demanda, {S.W['crecimiento_ev']} AS peso_crecimiento_ev,
+        {S.W['soporte_hidraulico']} AS peso_brecha_soporte_hidraulico,
+        {S.W['cobertura_hidraulica']} AS peso_brecha_cobertura_hidraulica,
+        coalesce(capacidad_hidraulica_total, 0.0) = 0 AS sin_soporte_hidraulico,
+        coalesce(total_activos_hidraulicos, 0.0) = 0 AS sin_cobertura_hidraulica,
+        (indice_prioridad_territorial <= 0.33 OR criterio_demanda >= 0.10 OR criterio_crecimiento_ev >= 0.10)
+          AS consistencia_territorial_ok,
+        observacion_prioridad
+ FROM gis"""
+
+
+@register("priority_validation", sql_r6(S.with_(*FLOW) + VALID_SQL,
+                                        ["indice_prioridad_territorial", "demanda_futura", "consumo_energetico",
+                                         "cantidad_ev_modelada", "capacidad_hidraulica_total",
+                                         "total_activos_hidraulicos", "peso_demanda", "peso_crecimiento_ev",
+                                         "peso_brecha_soporte_hidraulico", "peso_brecha_cobertura_hidraulica"] + CRIT))
+def q_priority_validation(spark, d):
+    return r6(_flow(spark, d).validation)

@@ -308,3 +308,71 @@ def with_(*ctes: str) -> str:
 
 
 FLOW = with_(REGISTRATIONS, ASSETS, PANEL, DATA, BACKTEST, future(), energy(), PRIORITY)
+
+
+# ----------------------------------------------------------- side roles ---
+CUSTOMERS_GEO = f"""
+cgeo AS (
+  SELECT c.c_custkey, c.c_name AS nombre, c.c_mktsegment AS municipio,
+         {norm_dept('n.n_name')} AS departamento, r.r_name AS subarea,
+         CASE WHEN c.c_acctbal >= 0 THEN {synthetic_lat('c.c_custkey')} END AS latitud,
+         CASE WHEN c.c_acctbal >= 0 THEN {synthetic_lon('c.c_custkey')} END AS longitud
+  FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+)"""
+
+
+def _clean(x: str) -> str:
+    return strip(f"coalesce(CAST({x} AS VARCHAR), '')")
+
+
+def _edges(x: str) -> str:
+    return f"regexp_replace({x}, '^[, ]+|[, ]+$', '', 'g')"
+
+
+def lookup_queries(name: str, mun: str, reg: str, sub: str) -> str:
+    n, m, r, s = _clean(name), _clean(mun), _clean(reg), _clean(sub)
+    q1 = _edges(f"{n} || ', ' || {m} || ', ' || {r} || ', Colombia'")
+    q2 = _edges(f"{m} || ', ' || {r} || ', Colombia'")
+    q3 = _edges(f"CASE WHEN {s} <> '' THEN {s} || ', ' || {r} || ', Colombia' ELSE '' END")
+    q4 = _edges(f"{r} || ', Colombia'")
+    return (f"list_filter([{q1}, CASE WHEN {q2} <> {q1} THEN {q2} ELSE '' END, "
+            f"CASE WHEN {q3} NOT IN ({q1}, {q2}) THEN {q3} ELSE '' END, "
+            f"CASE WHEN {q4} NOT IN ({q1}, {q2}, {q3}) THEN {q4} ELSE '' END], x -> x <> '')")
+
+
+GAZETTEER = f"""
+gaz_seg AS (
+  SELECT municipio || ', ' || departamento || ', Colombia' AS query,
+         round_even(avg(latitud), 4) AS latitud, round_even(avg(longitud), 4) AS longitud
+  FROM cgeo WHERE latitud IS NOT NULL AND longitud IS NOT NULL GROUP BY municipio, departamento
+),
+gaz_reg AS (
+  SELECT subarea || ', ' || departamento || ', Colombia' AS query,
+         round_even(avg(latitud), 4) AS latitud, round_even(avg(longitud), 4) AS longitud
+  FROM assets GROUP BY subarea, departamento
+),
+gaz_dep AS (
+  SELECT {norm_dept('n.n_name')} || ', Colombia' AS query,
+         CASE WHEN EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)
+              THEN {synthetic_lat('n.n_nationkey')} END AS latitud,
+         CASE WHEN EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)
+              THEN {synthetic_lon('n.n_nationkey')} END AS longitud
+  FROM nation n
+),
+gazetteer AS (
+  SELECT query, latitud, longitud, query AS display_name FROM gaz_seg
+  UNION ALL SELECT query, latitud, longitud, query FROM gaz_reg
+  UNION ALL SELECT query, latitud, longitud, CASE WHEN latitud IS NOT NULL THEN query END FROM gaz_dep
+)"""
+
+EMB_REF = """
+refs_raw AS (
+  SELECT round_even(CAST(embedding[3] AS DOUBLE), 4) AS rx, round_even(CAST(embedding[4] AS DOUBLE), 4) AS ry,
+         label AS v, vec_id * 2 AS o FROM embeddings
+  UNION ALL
+  SELECT round_even(CAST(embedding[1] AS DOUBLE), 4), round_even(CAST(embedding[2] AS DOUBLE), 4),
+         label, vec_id * 2 + 1 FROM embeddings WHERE label = 0
+),
+ref AS (SELECT rx, ry, arg_max(v, o) AS v, min(o) AS o FROM refs_raw GROUP BY rx, ry),
+qpts AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS qx, CAST(embedding[2] AS DOUBLE) AS qy FROM embeddings)"""

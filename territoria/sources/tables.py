@@ -109,3 +109,52 @@ def table_if_exists(spark: SparkSession, name: str, fallback_path: str | None =
     if required:
         raise RuntimeError(f"required table '{name}' is not available; run the flow first")
     return None
+
+
+# ---------------------------------------------------------------------------
+# Raw registration records with the source's column names (before P1).
+def registrations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("departamento"))
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderstatus").alias("estado"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha_registro"),
+        F.year("o_orderdate").alias("anio_registro"))
+    part = read_table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_type").alias("clase"),
+        F.col("p_retailprice").alias("potencia_carga_dc_kw"),
+        F.col("p_size").alias("consumo_wh_km"))
+    lineitem = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", F.col("l_quantity").alias("cantidad"),
+        F.col("l_extendedprice").alias("capacidad_kwh"))
+    od = (orders.join(customer, orders.o_custkey == customer.c_custkey)
+          .join(nation, F.col("c_nationkey") == nation.n_nationkey))
+    return (lineitem.join(od, lineitem.l_orderkey == od.o_orderkey)
+            .join(part, lineitem.l_partkey == part.p_partkey)
+            .select("estado", "fecha_registro", "anio_registro", "clase", "departamento", "cantidad",
+                    "capacidad_kwh", "consumo_wh_km", "potencia_carga_dc_kw"))
+
+
+# rename map of the source columns (fixed values)
+MASTER_RENAMES = {
+    "anio_registro": "anio",
+    "clase": "tipo_vehiculo",
+    "cantidad": "cantidad_ev",
+    "capacidad_kwh": "kwh_promedio",
+    "potencia_carga_dc_kw": "potencia_carga",
+}
+
+
+def load_master(raw: DataFrame) -> DataFrame:
+    """P1 + P2: rename, keep the other columns, normalise the keys and
+    coerce the measures (count missing -> 0, absent measure -> NULL)."""
+    df = raw.withColumnsRenamed({k: v for k, v in MASTER_RENAMES.items() if k in raw.columns})
+    adds = {
+        "departamento": normalize_territory(F.col("departamento")),
+        "tipo_vehiculo": standardize_text(F.col("tipo_vehiculo")),
+        "anio": coerce_numeric(F.col("anio")),
+        "cantidad_ev": F.coalesce(coerce_numeric(F.col("cantidad_ev")), F.lit(0.0)),
+    }
+    for c in ("kwh_promedio", "potencia_carga", "consumo_wh_km"):
+        adds[c] = coerce_numeric(F.col(c)) if c in df.columns else F.lit(None).cast("double")
+    return df.withColumns(adds)
