@@ -111,9 +111,12 @@ def fold_accents(c: Column, null_as_empty: bool = True) -> Column:
     ``null_as_empty=False``.
     """
     src, dst, multi, marks = _fold_tables()
-    out = F.upper(strip_ws(c))
+    base = F.upper(strip_ws(c))
+    expanded = base
     for ch, rep in multi.items():
-        out = F.replace(out, F.lit(ch), F.lit(rep))
+        expanded = F.replace(expanded, F.lit(ch), F.lit(rep))
+    # the multi-letter expansions only run on the rare texts that need them
+    out = F.when(base.rlike(_regex_class("".join(multi))), expanded).otherwise(base) if multi else base
     out = F.regexp_replace(F.translate(out, src, dst), marks + "+", "")
     return F.coalesce(out, F.lit("")) if null_as_empty else out
 

@@ -66,7 +66,7 @@ def payload_flat(yearly: DataFrame, metrics: Sequence[str] = PAYLOAD_METRICS) ->
         v = F.coalesce(F.col(m), F.lit(0.0))
         if m.endswith("_pct"):
             v = v * 100
-        cols.append(F.round(v, 2).alias(m))
+        cols.append(F.bround(v, 2).alias(m))
     return yearly.select("departamento", F.col("anio").cast("int").alias("anio"), *cols)
 
 

@@ -40,9 +40,9 @@ def register(name: str, sql: str | None = None):
 
 # Columns whose magnitude needs fewer decimals for an engine-independent value
 # (about 10 significant digits survive any summation order).
-DIGITS = {"consumo_energetico": 4, "consumo_energetico_kwh": 4, "demanda_futura": 6,
-          "demanda_futura_kw": 6, "intercept": 4, "cantidad_ev_historica": 4,
-          "aumento_demanda": 3, "valor_total": 2, "capacidad_total": 4}
+DIGITS = {"consumo_energetico": 2, "consumo_energetico_kwh": 2, "demanda_futura": 4,
+          "demanda_futura_kw": 4, "intercept": 4, "cantidad_ev_historica": 4,
+          "aumento_demanda": 3}
 
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -412,3 +412,500 @@ VALID_SQL = f"""
                                          "peso_brecha_soporte_hidraulico", "peso_brecha_cobertura_hidraulica"] + CRIT))
 def q_priority_validation(spark, d):
     return r6(_flow(spark, d).validation)
+
+
+# ----------------------------------------------------- change, map data ---
+from ..operators import change as ch  # noqa: E402
+from ..operators import mapdata as md  # noqa: E402
+from ..sources import io as io_  # noqa: E402
+from ..sources import roles as rl  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+YEARLY_D = ["cantidad_ev_historica", "cantidad_ev_modelada", "consumo_energetico", "demanda_futura",
+            "aumento_demanda", "aumento_demanda_pct"]
+MAPS = FLOW + (S.YEARLY,)
+
+
+def _yearly(spark, d):
+    return ch.yearly_department_demand(_energy(spark, d))
+
+
+@register("yearly_department_demand", sql_r6(S.with_(*MAPS) + " SELECT * FROM chg", YEARLY_D))
+def q_yearly_department_demand(spark, d):
+    return r6(_yearly(spark, d))
+
+
+EVENTS_DAILY = """
+WITH daily AS (SELECT event_type, CAST(ts AS DATE) AS dia, coalesce(sum(value), 0.0) AS valor_total
+               FROM events GROUP BY event_type, CAST(ts AS DATE))
+SELECT *, CASE WHEN event_type IS NULL THEN 0.0 ELSE coalesce(valor_total - lag(valor_total) OVER w, 0.0) END
+            AS aumento_valor,
+          CASE WHEN event_type IS NULL THEN 0.0 ELSE coalesce((valor_total - lag(valor_total) OVER w)
+            / nullif(lag(valor_total) OVER w, 0), 0.0) END AS aumento_valor_pct
+FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY dia)"""
+
+
+def _events_change(spark, d):
+    ev = tb.read_table(spark, d, "events")
+    daily = ev.groupBy("event_type", F.to_date("ts").alias("dia")).agg(
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("valor_total"))
+    return ch.period_change(daily, "event_type", "dia", "valor_total", "aumento_valor", "aumento_valor_pct")
+
+
+@register("period_change", sql_r6("SELECT event_type, dia, valor_total, aumento_valor FROM (" + EVENTS_DAILY + ")",
+                                  ["valor_total", "aumento_valor"]))
+def q_period_change(spark, d):
+    return r6(_events_change(spark, d).select("event_type", "dia", "valor_total", "aumento_valor"))
+
+
+@register("period_change_pct", sql_r6("SELECT event_type, dia, valor_total, aumento_valor_pct FROM ("
+                                      + EVENTS_DAILY + ")", ["valor_total", "aumento_valor_pct"]))
+def q_period_change_pct(spark, d):
+    return r6(_events_change(spark, d).select("event_type", "dia", "valor_total", "aumento_valor_pct"))
+
+
+def _points(spark, d):
+    fl = _flow(spark, d)
+    return md.demand_points(fl.energy, fl.priority)
+
+
+POINTS_SQL = """,
+pts AS (
+  SELECT e.*, g.latitud, g.longitud, g.categoria_prioridad, g.ranking_prioridad
+  FROM energy e LEFT JOIN gis g ON e.departamento IS NOT DISTINCT FROM g.departamento
+  WHERE e.anio = (SELECT max(anio) FROM energy) AND g.latitud IS NOT NULL AND g.longitud IS NOT NULL
+)"""
+
+
+@register("demand_points", sql_r6(S.with_(*FLOW) + POINTS_SQL + " SELECT * FROM pts",
+                                  ENERGY_D + ["latitud", "longitud"]))
+def q_demand_points(spark, d):
+    return r6(_points(spark, d))
+
+
+@register("heat_points", sql_r6(S.with_(*FLOW) + POINTS_SQL + """
+ SELECT departamento, tipo_vehiculo, latitud, longitud, coalesce(demanda_futura, 0.0) AS peso FROM pts""",
+                                ["latitud", "longitud", "peso"]))
+def q_heat_points(spark, d):
+    return r6(md.heat_points(_points(spark, d)))
+
+
+@register("pressure_radius", sql_r6(S.with_(*FLOW) + POINTS_SQL + f"""
+ SELECT departamento, tipo_vehiculo, latitud, longitud,
+        greatest(coalesce(demanda_futura, 0.0) * 2.0, 5000.0) AS radio_m,
+        '<b>' || coalesce(departamento, 'N/A') || '</b><br>Demanda futura: ' || {S.fixed('demanda_futura', 2)}
+        || '<br>Consumo energetico: ' || {S.fixed('consumo_energetico', 2)} AS popup FROM pts""",
+                                    ["latitud", "longitud", "radio_m"]))
+def q_pressure_radius(spark, d):
+    return r6(md.pressure_circles(_points(spark, d)))
+
+
+def _boundaries(spark, d):
+    """Department shapes derived from the nation table: a small square around
+    each nation's synthetic centre, written as GeoJSON (one feature per
+    line) to the shared scratch folder and read back by the source."""
+    n = tb.read_table(spark, d, "nation")
+    lat, lon = tb.synthetic_lat(F.col("n_nationkey")), tb.synthetic_lon(F.col("n_nationkey"))
+    ring = F.array(*[F.array(lon + dx, lat + dy) for dx, dy in
+                     [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)]])
+    feat = F.to_json(F.struct(F.lit("Feature").alias("type"),
+                              F.struct(F.lower("n_name").alias("shapeName")).alias("properties"),
+                              F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+                              .alias("geometry")))
+    path = scratch_path(spark, "boundaries")
+    io_.write_geojson_lines(n.select(feat.alias("feature")), path)
+    return io_.read_boundaries(spark, path)
+
+
+BOUND_SQL = f""",
+bnd AS (SELECT lower(n_name) AS shapeName, {S.norm_dept('lower(n_name)')} AS departamento FROM nation),
+bm AS (SELECT b.shapeName, b.departamento, g.* EXCLUDE (departamento)
+       FROM bnd b LEFT JOIN gis g ON b.departamento IS NOT DISTINCT FROM g.departamento)"""
+
+
+@register("boundary_metrics", sql_r6(S.with_(*FLOW) + BOUND_SQL + " SELECT * FROM bm", GIS_D))
+def q_boundary_metrics(spark, d):
+    return r6(md.boundary_metrics(_boundaries(spark, d), _flow(spark, d).priority).drop("geometry"))
+
+
+@register("boundary_features")
+def q_boundary_features(spark, d):
+    return _boundaries(spark, d)
+
+
+CHORO_COLS = ["shapeName", "departamento", "demanda_futura", "demanda_futura_display", "consumo_energetico_display",
+              "cantidad_ev_modelada_display", "indice_prioridad_display"]
+
+
+@register("choropleth_frame", sql_r6(S.with_(*FLOW) + BOUND_SQL + f"""
+ SELECT shapeName, departamento, demanda_futura,
+        {S.format_metric('demanda_futura', 'kW', 2)} AS demanda_futura_display,
+        {S.format_metric('consumo_energetico', 'kWh', 2)} AS consumo_energetico_display,
+        {S.format_metric('cantidad_ev_modelada', 'vehiculos', 0)} AS cantidad_ev_modelada_display,
+        {S.format_metric('indice_prioridad_territorial', 'indice', 3)} AS indice_prioridad_display
+ FROM bm""", ["demanda_futura"]))
+def q_choropleth_frame(spark, d):
+    merged = md.boundary_metrics(_boundaries(spark, d), _flow(spark, d).priority)
+    out = md.choropleth_frame(merged, "demanda_futura", "kW")
+    return r6(out.select(*CHORO_COLS))
+
+
+@register("format_metric", S.with_(*FLOW) + f"""
+ SELECT departamento, {S.format_metric('demanda_futura', 'kW', 2)} AS demanda_texto,
+        {S.format_metric('consumo_energetico', 'kWh', 2)} AS consumo_texto,
+        {S.format_metric('cantidad_ev_modelada', 'vehiculos', 0)} AS vehiculos_texto,
+        {S.format_metric('indice_prioridad_territorial', 'indice', 3)} AS indice_texto,
+        {S.format_metric('capacidad_hidraulica_total', '', 2)} AS capacidad_texto
+ FROM gis""")
+def q_format_metric(spark, d):
+    from ..functions.text import format_metric as fm
+    g = _flow(spark, d).priority
+    return g.select("departamento", fm(F.col("demanda_futura"), "kW", 2).alias("demanda_texto"),
+                    fm(F.col("consumo_energetico"), "kWh", 2).alias("consumo_texto"),
+                    fm(F.col("cantidad_ev_modelada"), "vehiculos", 0).alias("vehiculos_texto"),
+                    fm(F.col("indice_prioridad_territorial"), "indice", 3).alias("indice_texto"),
+                    fm(F.col("capacidad_hidraulica_total"), "", 2).alias("capacidad_texto"))
+
+
+@register("display_label", f"""
+SELECT n_nationkey, {S.display_label(S.norm_dept('n_name'))} AS etiqueta FROM nation
+UNION ALL
+SELECT 1000 + r_regionkey, {S.display_label('r_name')} FROM region""")
+def q_display_label(spark, d):
+    from ..functions.text import display_label, normalize_territory
+    n = tb.read_table(spark, d, "nation").select(
+        "n_nationkey", display_label(normalize_territory(F.col("n_name"))).alias("etiqueta"))
+    r = tb.read_table(spark, d, "region").select(
+        (F.col("r_regionkey") + 1000).alias("n_nationkey"), display_label(F.col("r_name")).alias("etiqueta"))
+    return n.unionByName(r)
+
+
+@register("category_color", S.with_(*FLOW) + f"""
+ SELECT departamento, categoria_prioridad, {S.category_color('categoria_prioridad')} AS color FROM gis""")
+def q_category_color(spark, d):
+    from ..functions.text import category_color
+    g = _flow(spark, d).priority
+    return g.select("departamento", "categoria_prioridad", category_color(F.col("categoria_prioridad")).alias("color"))
+
+
+PRIORITY_POPUP_SQL = (f"'<b>' || coalesce(departamento, 'None') || '</b><br>Indice: ' || "
+                      f"{S.fixed('indice_prioridad_territorial', 3)} || '<br>Ranking: ' || "
+                      f"coalesce(CAST(ranking_prioridad AS VARCHAR), '0') || '<br>Categoria: ' || "
+                      f"coalesce(categoria_prioridad, 'N/A') || '<br>Demanda futura: ' || {S.fixed('demanda_futura', 2)}")
+
+
+@register("priority_markers", sql_r6(S.with_(*FLOW) + f"""
+ SELECT departamento, latitud, longitud, ranking_prioridad, categoria_prioridad,
+        {S.category_color('categoria_prioridad')} AS color, {PRIORITY_POPUP_SQL} AS popup
+ FROM gis WHERE latitud IS NOT NULL AND longitud IS NOT NULL""", ["latitud", "longitud"]))
+def q_priority_markers(spark, d):
+    return r6(md.priority_markers(_flow(spark, d).priority))
+
+
+@register("popup_text", S.with_(*FLOW) + f" SELECT departamento, {PRIORITY_POPUP_SQL} AS popup FROM gis")
+def q_popup_text(spark, d):
+    return _flow(spark, d).priority.select("departamento", md.priority_popup().alias("popup"))
+
+
+@register("asset_markers", sql_r6(S.with_(S.ASSETS) + """
+ SELECT id_activo, nombre_activo, departamento, latitud, longitud,
+        '<b>' || coalesce(nombre_activo, 'Activo hidraulico') || '</b><br>Departamento: ' ||
+        coalesce(departamento, 'N/A') || '<br>Municipio: ' || coalesce(municipio, 'N/A') ||
+        '<br>Capacidad hidraulica: ' || coalesce(CAST(capacidad_hidraulica AS VARCHAR), '0') AS popup
+ FROM assets WHERE latitud IS NOT NULL AND longitud IS NOT NULL""", ["latitud", "longitud"]))
+def q_asset_markers(spark, d):
+    return r6(md.asset_markers(tb.assets(spark, d)))
+
+
+PAYLOAD_SQL = """,
+flat AS (
+  SELECT departamento, CAST(anio AS INTEGER) AS anio,
+         round_even(coalesce(demanda_futura, 0.0), 2) AS demanda_futura,
+         round_even(coalesce(consumo_energetico, 0.0), 2) AS consumo_energetico,
+         round_even(coalesce(cantidad_ev_modelada, 0.0), 2) AS cantidad_ev_modelada,
+         round_even(coalesce(cantidad_ev_historica, 0.0), 2) AS cantidad_ev_historica,
+         round_even(coalesce(aumento_demanda, 0.0), 2) AS aumento_demanda,
+         round_even(coalesce(aumento_demanda_pct, 0.0) * 100, 2) AS aumento_demanda_pct
+  FROM chg
+)"""
+
+
+@register("yearly_payload_flat", S.with_(*MAPS) + PAYLOAD_SQL + " SELECT * FROM flat")
+def q_yearly_payload_flat(spark, d):
+    return md.payload_flat(_yearly(spark, d))
+
+
+@register("yearly_payload")
+def q_yearly_payload(spark, d):
+    return md.payload_nested(md.payload_flat(_yearly(spark, d)))
+
+
+DOMAIN_SQL = """,
+dom AS (
+  SELECT CASE WHEN mn = mx THEN least(0.0, mn) ELSE mn END AS dominio_min,
+         CASE WHEN mn = mx THEN greatest(1.0, mx) ELSE mx END AS dominio_max,
+         0.0 AS escala_min, greatest(1.0, mx) AS escala_max
+  FROM (SELECT coalesce(min(coalesce(demanda_futura, 0.0)), 0.0) AS mn,
+               coalesce(max(coalesce(demanda_futura, 0.0)), 0.0) AS mx FROM chg)
+)"""
+
+
+@register("metric_domain", sql_r6(S.with_(*MAPS) + DOMAIN_SQL + " SELECT * FROM dom",
+                                  ["dominio_min", "dominio_max", "escala_min", "escala_max"]))
+def q_metric_domain(spark, d):
+    return r6(md.metric_domain(_yearly(spark, d), "demanda_futura"))
+
+
+@register("projected_years", S.with_(*MAPS) + """
+ SELECT DISTINCT CAST(anio AS INTEGER) AS anio,
+        (SELECT coalesce(max(CASE WHEN cantidad_ev_historica > 0 THEN anio END), min(anio)) FROM chg)
+          AS ultimo_anio_historico,
+        anio > (SELECT coalesce(max(CASE WHEN cantidad_ev_historica > 0 THEN anio END), min(anio)) FROM chg)
+          AS proyectado
+ FROM chg WHERE anio IS NOT NULL""")
+def q_projected_years(spark, d):
+    return md.projected_years(_yearly(spark, d))
+
+
+@register("color_bin", sql_r6(S.with_(*MAPS) + DOMAIN_SQL + f"""
+ SELECT c.departamento, c.anio, c.demanda_futura,
+        CASE WHEN c.demanda_futura IS NULL THEN NULL
+             WHEN d.dominio_max <= d.dominio_min THEN 8
+             ELSE CAST(least(floor(greatest(least((c.demanda_futura - d.dominio_min)
+                  / (d.dominio_max - d.dominio_min), 1.0), 0.0) * 8 + 0.5), 8) AS INTEGER) END AS bin_color,
+        coalesce(list_extract({S.PALETTE_SQL},
+          CASE WHEN c.demanda_futura IS NULL THEN NULL
+             WHEN d.dominio_max <= d.dominio_min THEN 8
+             ELSE CAST(least(floor(greatest(least((c.demanda_futura - d.dominio_min)
+                  / (d.dominio_max - d.dominio_min), 1.0), 0.0) * 8 + 0.5), 8) AS INTEGER) END + 1), '#d9d9d9')
+          AS color
+ FROM chg c, dom d WHERE c.anio = (SELECT max(anio) FROM chg)""", ["demanda_futura"]))
+def q_color_bin(spark, d):
+    y = _yearly(spark, d)
+    last = pn.latest_snapshot(y, "anio").select("departamento", "anio", "demanda_futura")
+    return r6(md.color_bins(last, "demanda_futura", md.metric_domain(y, "demanda_futura")))
+
+
+@register("clean_horizons", S.with_(*BASE, S.DATA) + """,
+offs AS (SELECT departamento, tipo_vehiculo,
+                list_sort(list_distinct(list_filter(list(CAST(anio - (SELECT min(anio) FROM data) AS INTEGER)),
+                                                    lambda x: x > 0))) AS h
+         FROM data GROUP BY departamento, tipo_vehiculo)
+ SELECT departamento, tipo_vehiculo, array_to_string(CASE WHEN len(h) > 0 THEN h ELSE [5, 10, 15, 20, 30] END, ',')
+        AS horizontes FROM offs""")
+def q_clean_horizons(spark, d):
+    out = md.observed_horizons(_data(spark, d), ["departamento", "tipo_vehiculo"])
+    return out.select("departamento", "tipo_vehiculo", F.array_join("horizontes", ",").alias("horizontes"))
+
+
+# ------------------------------------------------------------ text, places --
+from ..functions import text as tx  # noqa: E402
+from ..operators import places as pl  # noqa: E402
+
+
+@register("normalize_territory", f"SELECT doc_id, {S.norm_dept('text')} AS departamento FROM documents")
+def q_normalize_territory(spark, d):
+    docs = tb.read_table(spark, d, "documents")
+    return docs.select("doc_id", tx.normalize_territory(F.col("text")).alias("departamento"))
+
+
+@register("standardize_text", f"SELECT doc_id, {S.standardize('text')} AS texto FROM documents")
+def q_standardize_text(spark, d):
+    docs = tb.read_table(spark, d, "documents")
+    return docs.select("doc_id", tx.standardize_text(F.col("text")).alias("texto"))
+
+
+@register("fold_accents", f"SELECT doc_id, {S.fold('text')} AS clave FROM documents")
+def q_fold_accents(spark, d):
+    docs = tb.read_table(spark, d, "documents")
+    return docs.select("doc_id", tx.fold_accents(F.col("text")).alias("clave"))
+
+
+def _lookup_rows(spark, d):
+    cg = rl.customers_geo(spark, d)
+    return cg, pl.lookup_queries(F.col("nombre"), F.col("municipio"), F.col("departamento"), F.col("subarea"))
+
+
+QS_SQL = S.lookup_queries("nombre", "municipio", "departamento", "subarea")
+
+
+@register("build_lookup_queries", S.with_(S.CUSTOMERS_GEO) + f"""
+ SELECT c_custkey, array_to_string({QS_SQL}, ' | ') AS consultas, CAST(len({QS_SQL}) AS INTEGER) AS n_consultas
+ FROM cgeo""")
+def q_build_lookup_queries(spark, d):
+    cg, qs = _lookup_rows(spark, d)
+    return cg.select("c_custkey", F.array_join(qs, " | ").alias("consultas"), F.size(qs).alias("n_consultas"))
+
+
+WATERFALL_SQL = S.with_(S.CUSTOMERS_GEO, S.ASSETS, S.GAZETTEER) + f""",
+need AS (SELECT c_custkey, {QS_SQL} AS qs FROM cgeo WHERE latitud IS NULL OR longitud IS NULL),
+ex AS (SELECT c_custkey, qs[i] AS q, i AS pos FROM need, range(1, len(qs) + 1) r(i)),
+hits AS (
+  SELECT ex.c_custkey, arg_min(struct_pack(q := g.query, lat := g.latitud, lon := g.longitud,
+                                           src := g.display_name), ex.pos) AS h
+  FROM ex JOIN gazetteer g ON ex.q = g.query
+  WHERE g.latitud IS NOT NULL AND g.longitud IS NOT NULL GROUP BY ex.c_custkey
+)
+ SELECT c.c_custkey, coalesce(c.latitud, h.h.lat) AS latitud, coalesce(c.longitud, h.h.lon) AS longitud,
+        h.h.q AS geocoding_query, h.h.src AS geocoding_source
+ FROM cgeo c LEFT JOIN hits h ON c.c_custkey = h.c_custkey"""
+
+
+@register("waterfall_lookup", WATERFALL_SQL)
+def q_waterfall_lookup(spark, d):
+    cg, qs = _lookup_rows(spark, d)
+    out = pl.waterfall_lookup(cg, rl.gazetteer(spark, d), "c_custkey", qs)
+    return out.select("c_custkey", "latitud", "longitud", "geocoding_query", "geocoding_source")
+
+
+@register("lookup_dry_run", S.with_(S.CUSTOMERS_GEO) + f"""
+ SELECT c_custkey, latitud, longitud,
+        CASE WHEN latitud IS NULL OR longitud IS NULL THEN ({QS_SQL})[1] END AS geocoding_query,
+        CASE WHEN latitud IS NULL OR longitud IS NULL THEN 'dry_run' END AS geocoding_source
+ FROM cgeo""")
+def q_lookup_dry_run(spark, d):
+    cg, qs = _lookup_rows(spark, d)
+    out = pl.waterfall_lookup(cg, rl.gazetteer(spark, d), "c_custkey", qs, dry_run=True)
+    return out.select("c_custkey", "latitud", "longitud", "geocoding_query", "geocoding_source")
+
+
+@register("lookup_cache_upsert", S.with_(S.CUSTOMERS_GEO, S.ASSETS, S.GAZETTEER) + """,
+cache AS (SELECT query, latitud, longitud, CASE WHEN latitud IS NOT NULL THEN query END AS display_name
+          FROM gaz_reg UNION ALL
+          SELECT query, latitud, longitud, CASE WHEN latitud IS NOT NULL THEN query END FROM gaz_dep),
+res AS (SELECT query, latitud, longitud, query AS display_name FROM gaz_seg
+        UNION ALL
+        SELECT departamento || ', Colombia', round_even(avg(latitud), 4), round_even(avg(longitud), 4),
+               departamento || ', Colombia'
+        FROM cgeo WHERE latitud IS NOT NULL GROUP BY departamento)
+ SELECT * FROM cache
+ UNION ALL
+ SELECT * FROM (SELECT DISTINCT ON (query) * FROM res WHERE query NOT IN (SELECT query FROM cache)
+                ORDER BY query)""")
+def q_lookup_cache_upsert(spark, d):
+    cache = rl.gazetteer(spark, d, include_segments=False)
+    seg = rl.gazetteer(spark, d).join(cache.select("query"), "query", "left_anti")
+    cg = rl.customers_geo(spark, d).where(F.col("latitud").isNotNull())
+    dep = cg.groupBy("departamento").agg(F.bround(F.avg("latitud"), 4).alias("latitud"),
+                                         F.bround(F.avg("longitud"), 4).alias("longitud"))
+    dep = dep.select(F.concat("departamento", F.lit(", Colombia")).alias("query"), "latitud", "longitud") \
+        .withColumn("display_name", F.col("query"))
+    return pl.cache_upsert(cache, seg.unionByName(dep))
+
+
+COMPLETED_SQL = f"""
+cat AS (SELECT upper(source) AS municipio,
+               round_even(avg({S.synthetic_lat('doc_id')}), 4) AS latitud,
+               round_even(avg({S.synthetic_lon('doc_id')}), 4) AS longitud
+        FROM documents GROUP BY upper(source)),
+ovr AS (SELECT l.doc_id AS id, ' ' || d.source || ' ' AS municipio,
+               CASE WHEN l.quality = 1 THEN {S.synthetic_lat('l.doc_id')} END AS latitud,
+               CASE WHEN l.quality = 1 AND l.toxic = 0 THEN {S.synthetic_lon('l.doc_id')} END AS longitud
+        FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id),
+completed AS (
+  SELECT CAST(o.id AS BIGINT) AS id, {S.strip('o.municipio')} AS municipio,
+         coalesce(o.latitud, c.latitud) AS latitud, coalesce(o.longitud, c.longitud) AS longitud,
+         '{pl.PRECISION_OVERRIDE}' AS precision_ubicacion, '{pl.DETAIL_OVERRIDE}' AS detalle_ubicacion
+  FROM ovr o LEFT JOIN cat c ON {S.fold('o.municipio')} = {S.fold('c.municipio')}
+  WHERE o.id IS NOT NULL AND {S.strip('o.municipio')} IS NOT NULL AND {S.strip('o.municipio')} <> ''
+)"""
+
+
+def _completed(spark, d):
+    return pl.complete_overrides(rl.raw_overrides(spark, d), rl.municipality_catalogue(spark, d))
+
+
+@register("catalog_completion", sql_r6("WITH " + COMPLETED_SQL + " SELECT * FROM completed", ["latitud", "longitud"]))
+def q_catalog_completion(spark, d):
+    return r6(_completed(spark, d))
+
+
+@register("override_join", sql_r6("WITH " + COMPLETED_SQL + f""",
+base AS (SELECT doc_id AS id, upper(lang) AS departamento,
+                round_even({S.synthetic_lat('doc_id')} / 2, 4) AS latitud,
+                round_even({S.synthetic_lon('doc_id')} / 2, 4) AS longitud FROM documents)
+ SELECT b.id, b.departamento,
+        CASE WHEN h THEN o.municipio ELSE '{pl.NO_MUNICIPALITY}' END AS municipio,
+        CASE WHEN h THEN o.latitud ELSE b.latitud END AS latitud,
+        CASE WHEN h THEN o.longitud ELSE b.longitud END AS longitud,
+        CASE WHEN h THEN o.precision_ubicacion ELSE '{pl.PRECISION_APPROX}' END AS precision_ubicacion,
+        CASE WHEN h THEN o.detalle_ubicacion ELSE '{pl.DETAIL_APPROX}' END AS detalle_ubicacion
+ FROM (SELECT b.*, o.id AS oid, coalesce(o.municipio IS NOT NULL AND o.latitud IS NOT NULL
+                                         AND o.longitud IS NOT NULL, false) AS h
+       FROM base b LEFT JOIN completed o ON b.id = o.id) b
+ LEFT JOIN completed o ON b.oid = o.id""", ["latitud", "longitud"]))
+def q_override_join(spark, d):
+    out = pl.apply_overrides(rl.plants(spark, d), _completed(spark, d))
+    return r6(out.select("id", "departamento", "municipio", "latitud", "longitud", "precision_ubicacion",
+                         "detalle_ubicacion"))
+
+
+@register("nearest_reference_lookup", S.with_(S.EMB_REF) + """,
+ex AS (SELECT q.vec_id, r.v FROM qpts q JOIN ref r ON round_even(q.qx, 4) = r.rx AND round_even(q.qy, 4) = r.ry),
+nr AS (
+  SELECT q.vec_id, arg_min(r.v, struct_pack(d := (q.qx - r.rx) * (q.qx - r.rx) + (q.qy - r.ry) * (q.qy - r.ry),
+                                            o := r.o)) AS v
+  FROM qpts q, ref r WHERE q.vec_id NOT IN (SELECT vec_id FROM ex) AND q.qx IS NOT NULL AND q.qy IS NOT NULL
+  GROUP BY q.vec_id
+)
+ SELECT q.vec_id, coalesce(CAST(coalesce(ex.v, nr.v) AS VARCHAR), 'UNKNOWN') AS valor,
+        CASE WHEN ex.vec_id IS NOT NULL THEN 'exacta' WHEN nr.vec_id IS NOT NULL THEN 'cercana'
+             ELSE 'sin_coordenadas' END AS metodo
+ FROM qpts q LEFT JOIN ex ON q.vec_id = ex.vec_id LEFT JOIN nr ON q.vec_id = nr.vec_id""")
+def q_nearest_reference_lookup(spark, d):
+    out = pl.nearest_lookup(rl.embedding_queries(spark, d), rl.embedding_reference(spark, d),
+                            "vec_id", "x", "y", "x", "y", "valor", "orden")
+    return out.select("vec_id", "valor", "metodo")
+
+
+ASSIGN_SQL = f"""
+dem AS (SELECT c.c_custkey, c.c_name, {S.fold('n.n_name')} AS clave,
+               row_number() OVER (PARTITION BY {S.fold('n.n_name')} ORDER BY c.c_custkey) AS posicion
+        FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
+cand AS (SELECT s.s_suppkey, s.s_name, {S.fold('n.n_name')} AS clave,
+                row_number() OVER (PARTITION BY {S.fold('n.n_name')} ORDER BY s.s_suppkey) AS posicion
+         FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey),
+asg AS (SELECT d.c_custkey, d.c_name, d.clave, d.posicion, c.s_suppkey, c.s_name, c.s_suppkey IS NOT NULL AS asignado
+        FROM dem d LEFT JOIN cand c ON d.clave IS NOT DISTINCT FROM c.clave AND d.posicion = c.posicion)"""
+
+
+def _assignment(spark, d):
+    dem = rl.customers_by_nation(spark, d).withColumn("clave", tx.fold_accents(F.col("n_name"))).drop("n_name")
+    cand = rl.suppliers_by_nation(spark, d).withColumn("clave", tx.fold_accents(F.col("n_name"))).drop("n_name")
+    return pl.positional_assignment(dem, cand, ["clave"], [F.col("c_custkey")], [F.col("s_suppkey")])
+
+
+@register("positional_assignment", "WITH " + ASSIGN_SQL + " SELECT * FROM asg")
+def q_positional_assignment(spark, d):
+    return _assignment(spark, d).select("c_custkey", "c_name", "clave", "posicion", "s_suppkey", "s_name", "asignado")
+
+
+@register("unassigned_rows", "WITH " + ASSIGN_SQL + " SELECT c_custkey, clave, posicion FROM asg WHERE NOT asignado")
+def q_unassigned_rows(spark, d):
+    return _assignment(spark, d).where(~F.col("asignado")).select("c_custkey", "clave", "posicion")
+
+
+@register("assignment_summary", "WITH " + ASSIGN_SQL + """
+ SELECT count(*) AS total, count_if(asignado) AS asignados, count_if(NOT asignado) AS sin_asignar FROM asg""")
+def q_assignment_summary(spark, d):
+    return pl.assignment_summary(_assignment(spark, d))
+
+
+NULL_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+
+
+@register("null_profile", "WITH j AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l "
+                          "ON d.doc_id = l.doc_id), c AS (" + " UNION ALL ".join(
+                              f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS null_count FROM j"
+                              for c in NULL_COLS) + ") SELECT * FROM c ORDER BY null_count DESC, column_name LIMIT 20")
+def q_null_profile(spark, d):
+    docs = tb.read_table(spark, d, "documents")
+    j = docs.join(tb.read_table(spark, d, "labels"), "doc_id", "left").select(*NULL_COLS)
+    return pn.null_profile(j, 20)
+
+
+@register("group_sum_preview", S.with_(S.REGISTRATIONS) + """
+ SELECT departamento, tipo_vehiculo, coalesce(sum(cantidad_ev), 0.0) AS cantidad_ev FROM reg
+ GROUP BY departamento, tipo_vehiculo ORDER BY departamento NULLS FIRST, tipo_vehiculo NULLS FIRST LIMIT 20""")
+def q_group_sum_preview(spark, d):
+    return pn.group_sum_preview(tb.registrations(spark, d), ["departamento", "tipo_vehiculo"], "cantidad_ev")

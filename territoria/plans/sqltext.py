@@ -338,7 +338,7 @@ def lookup_queries(name: str, mun: str, reg: str, sub: str) -> str:
     q4 = _edges(f"{r} || ', Colombia'")
     return (f"list_filter([{q1}, CASE WHEN {q2} <> {q1} THEN {q2} ELSE '' END, "
             f"CASE WHEN {q3} NOT IN ({q1}, {q2}) THEN {q3} ELSE '' END, "
-            f"CASE WHEN {q4} NOT IN ({q1}, {q2}, {q3}) THEN {q4} ELSE '' END], x -> x <> '')")
+            f"CASE WHEN {q4} NOT IN ({q1}, {q2}, {q3}) THEN {q4} ELSE '' END], lambda x: x <> '')")
 
 
 GAZETTEER = f"""
@@ -376,3 +376,28 @@ refs_raw AS (
 ),
 ref AS (SELECT rx, ry, arg_max(v, o) AS v, min(o) AS o FROM refs_raw GROUP BY rx, ry),
 qpts AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS qx, CAST(embedding[2] AS DOUBLE) AS qy FROM embeddings)"""
+
+
+YEARLY = """
+yearly AS (
+  SELECT anio, departamento, coalesce(sum(cantidad_ev), 0.0) AS cantidad_ev_historica,
+         coalesce(sum(cantidad_ev_modelada), 0.0) AS cantidad_ev_modelada,
+         coalesce(sum(consumo_energetico), 0.0) AS consumo_energetico,
+         coalesce(sum(demanda_futura), 0.0) AS demanda_futura
+  FROM energy GROUP BY anio, departamento
+),
+chg AS (
+  SELECT *,
+    CASE WHEN departamento IS NULL THEN 0.0
+         ELSE coalesce(demanda_futura - lag(demanda_futura) OVER w, 0.0) END AS aumento_demanda,
+    CASE WHEN departamento IS NULL THEN 0.0
+         ELSE coalesce((demanda_futura - lag(demanda_futura) OVER w) / nullif(lag(demanda_futura) OVER w, 0), 0.0)
+    END AS aumento_demanda_pct
+  FROM yearly WINDOW w AS (PARTITION BY departamento ORDER BY anio)
+)"""
+
+PALETTE_SQL = "['#ffffcc', '#ffeda0', '#fed976', '#feb24c', '#fd8d3c', '#fc4e2a', '#e31a1c', '#bd0026', '#800026']"
+
+
+def fixed(x: str, decimals: int) -> str:
+    return f"printf('%.{decimals}f', coalesce(CAST({x} AS DOUBLE), 0.0))"
