@@ -69,7 +69,17 @@ class ForestModel:
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], target: str, num_trees: int = 300,
-               seed: int = 42, max_depth: int = 30) -> ForestModel:
+               seed: int = 42, max_depth: int = 30, aggregate_duplicates: bool = True,
+               max_memory_mb: int = 512) -> ForestModel:
+    """Fit the preprocessing and a regression forest.
+
+    With ``aggregate_duplicates`` the training rows are first collapsed per
+    distinct (imputed) feature vector into (mean target, weight = count).
+    Rows with equal features always fall into the same leaf, so every split
+    gain and leaf mean is unchanged; only the bootstrap draws groups instead
+    of rows. The fit then scales with the number of distinct feature
+    vectors, not with the number of records.
+    """
     numeric = [c for c in features if c in NUMERIC]
     categorical = [c for c in features if c in CATEGORICAL]
     stats = imputation_stats(train, numeric, categorical).first()
@@ -85,11 +95,20 @@ def fit_forest(train: DataFrame, features: Sequence[str], target: str, num_trees
                                     handleInvalid="keep", dropLast=True))
     stages.append(VectorAssembler(inputCols=[f"_f_{c}" for c in numeric] + [f"_oh_{c}" for c in categorical],
                                   outputCol="_features"))
-    stages.append(RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol="_prediction",
-                                        numTrees=num_trees, seed=seed, minInstancesPerNode=1,
-                                        featureSubsetStrategy="all", maxDepth=max_depth, maxBins=64,
-                                        subsamplingRate=1.0, bootstrap=True))
     model = ForestModel(None, fills, numeric, categorical)
     prepared = model._prep(train.where(F.col(target).isNotNull()))
-    model.pipeline = Pipeline(stages=stages).fit(prepared)
+    fcols = [f"_f_{c}" for c in numeric + categorical]
+    weight = None
+    if aggregate_duplicates:
+        prepared = prepared.groupBy(*fcols).agg(F.avg(target).alias(target),
+                                                F.count(F.lit(1)).cast("double").alias("_w"))
+        weight = "_w"
+    rf = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol="_prediction",
+                               numTrees=num_trees, seed=seed, minInstancesPerNode=1,
+                               featureSubsetStrategy="all", maxDepth=max_depth, maxBins=64,
+                               subsamplingRate=1.0, bootstrap=True, maxMemoryInMB=max_memory_mb,
+                               cacheNodeIds=True)
+    if weight:
+        rf = rf.setWeightCol(weight)
+    model.pipeline = Pipeline(stages=stages + [rf]).fit(prepared)
     return model

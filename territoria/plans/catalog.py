@@ -909,3 +909,194 @@ def q_null_profile(spark, d):
  GROUP BY departamento, tipo_vehiculo ORDER BY departamento NULLS FIRST, tipo_vehiculo NULLS FIRST LIMIT 20""")
 def q_group_sum_preview(spark, d):
     return pn.group_sum_preview(tb.registrations(spark, d), ["departamento", "tipo_vehiculo"], "cantidad_ev")
+
+
+# ------------------------------------------------------------ sources, sinks --
+MESSY_HEADERS = {"c_custkey": " Código Cliente ", "c_name": "Nombre  del Cliente", "c_nationkey": "NACIÓN-Clave",
+                 "c_acctbal": "Saldo (COP)", "c_mktsegment": "Segmento de Mercado"}
+
+
+@register("normalize_headers", """
+SELECT c_custkey AS codigo_cliente, c_name AS nombre_del_cliente, c_nationkey AS nacion_clave,
+       c_acctbal AS saldo_cop, c_mktsegment AS segmento_de_mercado FROM customer""")
+def q_normalize_headers(spark, d):
+    c = tb.read_table(spark, d, "customer")
+    messy = c.select(*[F.col(k).alias(v) for k, v in MESSY_HEADERS.items()])
+    return io_.normalize_headers(messy)
+
+
+RAW_SQL = S.with_(S.REGISTRATIONS).split("reg AS")[0] + """raw AS (
+  SELECT o.o_orderstatus AS estado, strftime(o.o_orderdate, '%Y-%m-%d') AS fecha_registro,
+         CAST(year(o.o_orderdate) AS INTEGER) AS anio_registro, p.p_type AS clase, n.n_name AS departamento,
+         l.l_quantity AS cantidad, l.l_extendedprice AS capacidad_kwh, p.p_size AS consumo_wh_km,
+         p.p_retailprice AS potencia_carga_dc_kw
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+ALIASES = {"capacidad_kwh": "kwh_promedio", "potencia_carga_dc_kw": "potencia_carga", "clase": "clase"}
+REQUIRED = {"combustible": "string", "marca_ev_colombia": "string", "autonomia_km": "double", "cantidad": "double"}
+
+
+@register("alias_and_require_columns", RAW_SQL + """
+ SELECT *, capacidad_kwh AS kwh_promedio, potencia_carga_dc_kw AS potencia_carga,
+        CAST(NULL AS VARCHAR) AS combustible, CAST(NULL AS VARCHAR) AS marca_ev_colombia,
+        CAST(NULL AS DOUBLE) AS autonomia_km FROM raw""")
+def q_alias_and_require_columns(spark, d):
+    return io_.alias_and_require(tb.registrations_raw(spark, d), ALIASES, REQUIRED)
+
+
+PREFERRED = ["departamento", "anio_registro", "clase", "cantidad", "departamento", "no_existe"]
+
+
+@register("order_columns", RAW_SQL + """
+ SELECT departamento, anio_registro, clase, cantidad, estado, fecha_registro, capacidad_kwh, consumo_wh_km,
+        potencia_carga_dc_kw FROM raw""")
+def q_order_columns(spark, d):
+    return io_.order_columns(tb.registrations_raw(spark, d), PREFERRED)
+
+
+@register("scan_registrations", RAW_SQL + " SELECT * FROM raw")
+def q_scan_registrations(spark, d):
+    raw = tb.registrations_raw(spark, d)
+    path = scratch_path(spark, "registrations_csv")
+    raw.write.mode("overwrite").option("header", True).csv(path)
+    return io_.scan_csv(spark, path, raw.schema)
+
+
+@register("optional_source_fallback", "SELECT * FROM lineitem")
+def q_optional_source_fallback(spark, d):
+    import os
+    return tb.table_if_exists(spark, "vehiculos_ev_no_registrada", os.path.join(d, "lineitem.parquet"))
+
+
+@register("sink_overwrite_roundtrip", sql_r6(S.with_(*BASE) + " SELECT * FROM panel", PANEL_D))
+def q_sink_overwrite_roundtrip(spark, d):
+    return r6(io_.overwrite_roundtrip(spark, _panel(spark, d), scratch_path(spark, "panel_parquet")))
+
+
+@register("refresh_result_table", sql_r6(S.with_(*BASE) + " SELECT * FROM panel", PANEL_D))
+def q_refresh_result_table(spark, d):
+    return r6(io_.refresh_result_table(spark, _panel(spark, d), "etapa1_temporal",
+                                       scratch_path(spark, "etapa1_temporal")))
+
+
+@register("sink_csv_roundtrip", sql_r6(S.with_(*BASE) + " SELECT * FROM panel", PANEL_D))
+def q_sink_csv_roundtrip(spark, d):
+    return r6(io_.csv_roundtrip(spark, _panel(spark, d), scratch_path(spark, "panel_csv")))
+
+
+@register("geojson_point_features")
+def q_geojson_point_features(spark, d):
+    return io_.geojson_point_features(_flow(spark, d).priority)
+
+
+@register("streaming_daily_panel", """
+SELECT CAST(ts AS DATE) AS dia, event_type, coalesce(sum(value), 0.0) AS valor_total, count(*) AS eventos
+FROM events GROUP BY CAST(ts AS DATE), event_type""")
+def q_streaming_daily_panel(spark, d):
+    from ..streaming.panel_stream import daily_event_panel_stream
+    base = scratch_path(spark, "stream")
+    out = daily_event_panel_stream(spark, d, "events.parquet", base + "/out", base + "/ckpt")
+    return r6(out)
+
+
+# ------------------------------------------------------------------ forests --
+from ..operators import forest as fr  # noqa: E402
+
+
+_FOREST_MEMO: dict = {}
+
+
+def _memo(kind, spark, d, fn):
+    """Fitted forests are reused by the queries of one application (the
+    model lives on the driver; its training data is the small panel)."""
+    key = (kind, spark.sparkContext.applicationId, d)
+    if key not in _FOREST_MEMO:
+        _FOREST_MEMO[key] = fn()
+    return _FOREST_MEMO[key]
+
+
+def _forest_backtest(spark, d):
+    return _memo("backtest", spark, d, lambda: _forest_backtest_fit(spark, d))
+
+
+def _forest_backtest_fit(spark, d):
+    data = _data(spark, d)
+    train, test = bt.split_temporal(data)
+    ma = fr.fit_forest(train, fr.FEATURES_A, "cantidad_ev", num_trees=300)
+    mb = fr.fit_forest(train, fr.FEATURES_B, "cantidad_ev", num_trees=300)
+    trend = tr.fit_group_trend(train)
+    frame = tr.predict_group_trend(test, trend)
+    frame = ma.predict(frame, "cantidad_ev_pred_modelo_a")
+    frame = mb.predict(frame, "cantidad_ev_pred_modelo_b")
+    frame = cut_lineage(frame)
+    metrics = None
+    for name, col in ((bt.MODEL_A, "cantidad_ev_pred_modelo_a"), (bt.MODEL_B, "cantidad_ev_pred_modelo_b"),
+                      (bt.MODEL_TREND, "cantidad_ev_pred_tendencia")):
+        m = bt.error_metrics(frame, "cantidad_ev", col).select(F.lit(name).alias("model"), "mae", "rmse", "r2", "n")
+        metrics = m if metrics is None else metrics.unionByName(m)
+    best = bt.select_model(metrics)
+    return frame, metrics, best, {bt.MODEL_A: ma, bt.MODEL_B: mb}
+
+
+@register("forest_backtest")
+def q_forest_backtest(spark, d):
+    frame, _, best, _ = _forest_backtest(spark, d)
+    name = best.first()["model"]
+    col = {bt.MODEL_A: "cantidad_ev_pred_modelo_a", bt.MODEL_B: "cantidad_ev_pred_modelo_b"}.get(
+        name, "cantidad_ev_pred_tendencia")
+    frame = (frame.withColumn("tipo_prediccion", F.lit("backtest"))
+             .withColumn("anio_base", F.lit(None).cast("int")).withColumn("horizonte_anios", F.lit(None).cast("int")))
+    return bt.finish_backtest(frame, F.col(col), F.lit(name))
+
+
+@register("model_selection")
+def q_model_selection(spark, d):
+    return _forest_backtest(spark, d)[2]
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    _, _, best, models = _forest_backtest(spark, d)
+    name = best.first()["model"]
+    if name not in models:  # the trend won: no forest, empty importance table
+        return spark.createDataFrame([], "feature string, importance double")
+    return models[name].feature_importance(spark)
+
+
+def _holdout(spark, d):
+    return _memo("holdout", spark, d, lambda: _holdout_fit(spark, d))
+
+
+def _holdout_fit(spark, d):
+    reg = tb.registrations(spark, d)
+    rows = reg.select("anio", "departamento", "tipo_vehiculo", "cantidad_ev", "kwh_promedio", "potencia_carga",
+                      "l_orderkey", "l_linenumber").dropna(subset=["anio", "departamento", "tipo_vehiculo",
+                                                                    "cantidad_ev"])
+    split = cut_lineage(bt.positional_holdout(rows, [F.col("anio"), F.col("l_orderkey"), F.col("l_linenumber")]))
+    train, test = split.where(F.col("particion") == "train"), split.where(F.col("particion") == "test")
+    model = fr.fit_forest(train, fr.FEATURES_A, "cantidad_ev", num_trees=200)
+    return cut_lineage(model.predict(test, "cantidad_ev_pred")), reg
+
+
+@register("holdout_forest")
+def q_holdout_forest(spark, d):
+    pred, _ = _holdout(spark, d)
+    mae = bt.error_metrics(pred, "cantidad_ev", "cantidad_ev_pred").select("mae")
+    from ..operators.common import attach_one_row
+    return attach_one_row(pred.select("anio", "departamento", "tipo_vehiculo", "cantidad_ev", "cantidad_ev_pred",
+                                      "l_orderkey", "l_linenumber"), mae)
+
+
+@register("holdout_energy")
+def q_holdout_energy(spark, d):
+    pred, reg = _holdout(spark, d)
+    med = reg.agg(F.median("kwh_promedio").alias("_mk"), F.median("potencia_carga").alias("_mp"))
+    from ..operators.common import attach_one_row
+    out = attach_one_row(pred, med)
+    out = (out.withColumn("kwh_promedio", F.coalesce("kwh_promedio", "_mk"))
+           .withColumn("potencia_carga", F.coalesce("potencia_carga", "_mp"))
+           .withColumn("simultaneidad", F.lit(0.3))
+           .withColumn("consumo_energetico", F.col("cantidad_ev_pred") * F.col("kwh_promedio"))
+           .withColumn("demanda_futura", F.col("cantidad_ev_pred") * F.col("potencia_carga") * F.col("simultaneidad")))
+    return out.drop("_mk", "_mp")

@@ -66,7 +66,7 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         coerce_numeric(F.col("p_retailprice")).alias("potencia_carga"),
         coerce_numeric(F.col("p_size")).alias("consumo_wh_km"))
     lineitem = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey",
+        "l_orderkey", "l_partkey", "l_linenumber",
         F.coalesce(coerce_numeric(F.col("l_quantity")), F.lit(0.0)).alias("cantidad_ev"),
         coerce_numeric(F.col("l_extendedprice")).alias("kwh_promedio"))
     # orders-side dimension first (orders << lineitem), then the fact joins
@@ -76,7 +76,7 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (lineitem.join(order_dim, lineitem.l_orderkey == order_dim.o_orderkey)
             .join(part, lineitem.l_partkey == part.p_partkey)
             .select("anio", "departamento", "tipo_vehiculo", "cantidad_ev", "kwh_promedio",
-                    "potencia_carga", "consumo_wh_km", "o_custkey"))
+                    "potencia_carga", "consumo_wh_km", "o_custkey", "l_orderkey", "l_linenumber"))
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
