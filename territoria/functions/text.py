@@ -47,7 +47,19 @@ def _python_space_chars() -> str:
 
 
 def _regex_class(chars: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    """Regex character class for a set of characters, written as ranges of
+    consecutive code points (a long list of single characters is scanned
+    linearly per input character by the regex engine)."""
+    cps = sorted({ord(c) for c in chars})
+    parts, i = [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        lo, hi = cps[i], cps[j]
+        parts.append(f"\\x{{{lo:x}}}" if lo == hi else f"\\x{{{lo:x}}}-\\x{{{hi:x}}}")
+        i = j + 1
+    return "[" + "".join(parts) + "]"
 
 
 # Java-regex character class equal to Python's white space set; used for
@@ -116,7 +128,9 @@ def fold_accents(c: Column, null_as_empty: bool = True) -> Column:
     for ch, rep in multi.items():
         expanded = F.replace(expanded, F.lit(ch), F.lit(rep))
     # the multi-letter expansions only run on the rare texts that need them
-    out = F.when(base.rlike(_regex_class("".join(multi))), expanded).otherwise(base) if multi else base
+    # (a length change under ``translate`` to nothing is the cheapest test)
+    needs = F.length(F.translate(base, "".join(multi), "")) < F.length(base)
+    out = F.when(needs, expanded).otherwise(base) if multi else base
     out = F.regexp_replace(F.translate(out, src, dst), marks + "+", "")
     return F.coalesce(out, F.lit("")) if null_as_empty else out
 

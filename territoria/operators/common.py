@@ -23,13 +23,11 @@ def null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str],
 def attach_one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row.
 
-    ``stats`` is a global aggregate (exactly one row, size bounded by its
-    column count), so it is broadcast and joined on a constant key: a
-    BroadcastHashJoin with no shuffle of ``df``.
+    Each column becomes a scalar subquery; Catalyst merges the subqueries on
+    the same aggregate into one, runs it once and inlines the values as
+    literals - no join and no shuffle of ``df``.
     """
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one", "inner")
-            .drop("_one"))
+    return df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

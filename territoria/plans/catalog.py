@@ -46,14 +46,16 @@ DIGITS = {"consumo_energetico": 2, "consumo_energetico_kwh": 2, "demanda_futura"
 
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles half-to-even (summation order differs across engines)."""
-    return df.select(*[F.bround(F.col(f.name), DIGITS.get(f.name, digits)).alias(f.name)
+    """Round doubles half-up on their shortest decimal form, so that two
+    engines whose sums differ in the last bit still print the same value."""
+    return df.select(*[F.round(F.col(f.name), DIGITS.get(f.name, digits)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
 
 def sql_r6(body: str, cols: list[str], digits: int = 6) -> str:
-    rep = ", ".join(f"round_even({c}, {DIGITS.get(c, digits)}) AS {c}" for c in cols)
+    rep = ", ".join(f"CAST(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 12)), {DIGITS.get(c, digits)}) "
+                    f"AS DOUBLE) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({body}) _q"
 
 
@@ -68,13 +70,14 @@ def _data(spark, d):
 
 
 def _stage1(spark, d):
-    return stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)
+    preds, fc = stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)
+    return cut_lineage(preds), cut_lineage(fc)
 
 
 def _energy(spark, d, sim=0.3):
     panel = _panel(spark, d)
     preds, fc = stage1_trend(panel, DEFAULT_HORIZONS)
-    return en.build_energy_table(panel, preds, fc, sim)
+    return cut_lineage(en.build_energy_table(panel, cut_lineage(preds), cut_lineage(fc), sim))
 
 
 def _flow(spark, d):

@@ -49,17 +49,20 @@ def stage1_trend(panel: DataFrame, horizons) -> tuple[DataFrame, DataFrame]:
 
 
 def run_flow(registrations: DataFrame, assets: DataFrame, params: FlowParams | None = None,
-             checkpoint_panel: bool = True) -> FlowResult:
+             cut_stages: bool = True) -> FlowResult:
+    """Run the flow. With ``cut_stages`` every stage result (panel,
+    predictions, forecast, energy, ranking - all at panel or department
+    grain, so bounded by the key cardinalities rather than the record count)
+    is written once to the shared checkpoint folder, like the reference's
+    stage tables; later stages read it instead of re-planning the lineage."""
     params = params or FlowParams()
-    panel = panel_aggregate(registrations, mean_scale=params.mean_scale)
-    if checkpoint_panel:
-        # the panel feeds the fit, the split, the latest rows and the overlay;
-        # writing it once keeps the registrations join from running again
-        panel = cut_lineage(panel)
+    cut = cut_lineage if cut_stages else (lambda df: df)
+    panel = cut(panel_aggregate(registrations, mean_scale=params.mean_scale))
     predictions, forecast = stage1_trend(panel, params.horizons)
-    energy = build_energy_table(panel, predictions, forecast, params.simultaneity)
+    predictions, forecast = cut(predictions), cut(forecast)
+    energy = cut(build_energy_table(panel, predictions, forecast, params.simultaneity))
     scenarios = scenario_fanout(energy, params.scenarios)
     weights = params.effective_weights()
-    priority = build_priority_table(energy, assets, weights, params.scenario_label)
+    priority = cut(build_priority_table(energy, assets, weights, params.scenario_label))
     validation = build_validation_table(priority, weights)
     return FlowResult(panel, predictions, forecast, energy, scenarios, priority, validation)

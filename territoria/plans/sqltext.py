@@ -4,11 +4,10 @@ helpers, written as SQL expressions over the pre-registered test views."""
 from __future__ import annotations
 
 from ..functions.text import (CATEGORY_COLORS, DEFAULT_CATEGORY_COLOR, DEPARTMENT_ACCENTS_FROM,
-                              DEPARTMENT_ACCENTS_TO, DEPARTMENT_ALIASES, DISPLAY_LABELS,
-                              _python_space_chars)
+                              DEPARTMENT_ACCENTS_TO, DEPARTMENT_ALIASES, DISPLAY_LABELS, WS_CLASS)
 from ..params import DEFAULT_WEIGHTS
 
-WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _python_space_chars()) + "]"
+WS = WS_CLASS
 
 
 def q(s: str) -> str:
