@@ -64,8 +64,22 @@ def color_bin(value: Column, vmin: Column, vmax: Column, bins: int = 9) -> Colum
 
 def bin_color(idx: Column) -> Column:
     palette = F.array(*[F.lit(x) for x in BIN_PALETTE])
-    return F.coalesce(F.element_at(palette, idx + 1), F.lit(MISSING_COLOR))
+    return F.when(idx.isNull(), F.lit(MISSING_COLOR)).otherwise(F.element_at(palette, idx + 1))
 
 
 def pressure_radius(demand: Column) -> Column:
     return F.greatest(F.coalesce(demand, F.lit(0.0)) * RADIUS_PER_KW, F.lit(MIN_RADIUS))
+
+
+def exact_sum(c: Column, scale: int = 12) -> Column:
+    """Sum of doubles carried out in DECIMAL(38, scale): exact, so the
+    result is the same for any partitioning or retry order (a double sum
+    is not, in its last bits). Meant for the small grains (department,
+    year) where the decimal arithmetic costs nothing."""
+    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
+
+
+def exact_avg(c: Column, scale: int = 12) -> Column:
+    """Mean from an exact decimal sum and the count of non-null values."""
+    d = c.cast(f"decimal(38,{scale})")
+    return F.sum(d).cast("double") / F.count(d).cast("double")

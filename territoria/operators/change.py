@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import safe_div
+from ..functions.numeric import exact_sum, safe_div
 
 
 def yearly_totals(energy: DataFrame, time_col: str = "anio", key: str = "departamento") -> DataFrame:
     """Per (time, territory): historic count, modelled count, consumption and
     demand sums (NULL territory kept as a group)."""
-    s = lambda c, a=None: F.coalesce(F.sum(c), F.lit(0.0)).alias(a or c)
+    s = lambda c, a=None: F.coalesce(exact_sum(F.col(c)), F.lit(0.0)).alias(a or c)
     return energy.groupBy(time_col, key).agg(
         s("cantidad_ev", "cantidad_ev_historica"), s("cantidad_ev_modelada"),
         s("consumo_energetico"), s("demanda_futura"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import exact_avg, exact_sum
 from ..params import DEFAULT_WEIGHTS
 from .common import attach_one_row, cut_lineage
 from .ordinal import dense_rank_desc
@@ -47,7 +48,7 @@ def department_snapshot(energy: DataFrame, dept: str = "departamento", time_col:
     """Rows of the latest year summed per department (NULL department kept)."""
     top = energy.select(F.max(time_col)).scalar()
     snap = energy.where(F.col(time_col) == top)
-    s = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
+    s = lambda c: F.coalesce(exact_sum(F.col(c)), F.lit(0.0)).alias(c)
     return snap.groupBy(dept).agg(
         F.min(time_col).cast("int").alias("anio_min"), F.max(time_col).cast("int").alias("anio_max"),
         s("cantidad_ev"), s("cantidad_ev_modelada"), s("consumo_energetico"), s("demanda_futura"))
@@ -57,9 +58,9 @@ def asset_coverage(assets: DataFrame, dept: str = "departamento") -> DataFrame:
     """Per department: non-null asset names, total capacity, mean coords."""
     return assets.groupBy(dept).agg(
         F.count("nombre_activo").cast("double").alias("total_activos_hidraulicos"),
-        F.coalesce(F.sum("capacidad_hidraulica"), F.lit(0.0)).alias("capacidad_hidraulica_total"),
-        F.avg("latitud").alias("latitud_hidraulica_promedio"),
-        F.avg("longitud").alias("longitud_hidraulica_promedio"))
+        F.coalesce(exact_sum(F.col("capacidad_hidraulica")), F.lit(0.0)).alias("capacidad_hidraulica_total"),
+        exact_avg(F.col("latitud")).alias("latitud_hidraulica_promedio"),
+        exact_avg(F.col("longitud")).alias("longitud_hidraulica_promedio"))
 
 
 def demand_asset_join(snapshot: DataFrame, coverage: DataFrame, dept: str = "departamento") -> DataFrame:

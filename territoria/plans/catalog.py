@@ -348,8 +348,9 @@ def q_department_snapshot(spark, d):
     "WITH ", "WITH ", 1).split("snap AS")[0].rstrip().rstrip(",") + """,
 coverage AS (
   SELECT departamento, CAST(count(nombre_activo) AS DOUBLE) AS total_activos_hidraulicos,
-         coalesce(sum(capacidad_hidraulica), 0.0) AS capacidad_hidraulica_total,
-         avg(latitud) AS latitud_hidraulica_promedio, avg(longitud) AS longitud_hidraulica_promedio
+         coalesce(""" + S.esum("capacidad_hidraulica") + """, 0.0) AS capacidad_hidraulica_total,
+         """ + S.eavg("latitud") + """ AS latitud_hidraulica_promedio,
+         """ + S.eavg("longitud") + """ AS longitud_hidraulica_promedio
   FROM assets GROUP BY departamento)
  SELECT * FROM coverage""", COV_D))
 def q_asset_coverage(spark, d):
@@ -772,13 +773,13 @@ def q_lookup_dry_run(spark, d):
     return out.select("c_custkey", "latitud", "longitud", "geocoding_query", "geocoding_source")
 
 
-@register("lookup_cache_upsert", S.with_(S.CUSTOMERS_GEO, S.ASSETS, S.GAZETTEER) + """,
+@register("lookup_cache_upsert", S.with_(S.CUSTOMERS_GEO, S.ASSETS, S.GAZETTEER) + f""",
 cache AS (SELECT query, latitud, longitud, CASE WHEN latitud IS NOT NULL THEN query END AS display_name
           FROM gaz_reg UNION ALL
           SELECT query, latitud, longitud, CASE WHEN latitud IS NOT NULL THEN query END FROM gaz_dep),
 res AS (SELECT query, latitud, longitud, query AS display_name FROM gaz_seg
         UNION ALL
-        SELECT departamento || ', Colombia', round_even(avg(latitud), 4), round_even(avg(longitud), 4),
+        SELECT departamento || ', Colombia', round_even({S.eavg('latitud')}, 4), round_even({S.eavg('longitud')}, 4),
                departamento || ', Colombia'
         FROM cgeo WHERE latitud IS NOT NULL GROUP BY departamento)
  SELECT * FROM cache
@@ -789,8 +790,9 @@ def q_lookup_cache_upsert(spark, d):
     cache = rl.gazetteer(spark, d, include_segments=False)
     seg = rl.gazetteer(spark, d).join(cache.select("query"), "query", "left_anti")
     cg = rl.customers_geo(spark, d).where(F.col("latitud").isNotNull())
-    dep = cg.groupBy("departamento").agg(F.bround(F.avg("latitud"), 4).alias("latitud"),
-                                         F.bround(F.avg("longitud"), 4).alias("longitud"))
+    from ..functions.numeric import exact_avg
+    dep = cg.groupBy("departamento").agg(F.bround(exact_avg(F.col("latitud")), 4).alias("latitud"),
+                                         F.bround(exact_avg(F.col("longitud")), 4).alias("longitud"))
     dep = dep.select(F.concat("departamento", F.lit(", Colombia")).alias("query"), "latitud", "longitud") \
         .withColumn("display_name", F.col("query"))
     return pl.cache_upsert(cache, seg.unionByName(dep))
@@ -798,8 +800,8 @@ def q_lookup_cache_upsert(spark, d):
 
 COMPLETED_SQL = f"""
 cat AS (SELECT upper(source) AS municipio,
-               round_even(avg({S.synthetic_lat('doc_id')}), 4) AS latitud,
-               round_even(avg({S.synthetic_lon('doc_id')}), 4) AS longitud
+               round_even({S.eavg(S.synthetic_lat('doc_id'))}, 4) AS latitud,
+               round_even({S.eavg(S.synthetic_lon('doc_id'))}, 4) AS longitud
         FROM documents GROUP BY upper(source)),
 ovr AS (SELECT l.doc_id AS id, ' ' || d.source || ' ' AS municipio,
                CASE WHEN l.quality = 1 THEN {S.synthetic_lat('l.doc_id')} END AS latitud,

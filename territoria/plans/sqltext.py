@@ -240,16 +240,20 @@ def _scaled(col: str, out: str, src: str) -> str:
 PRIORITY = f"""
 snap AS (
   SELECT departamento, CAST(min(anio) AS INTEGER) AS anio_min, CAST(max(anio) AS INTEGER) AS anio_max,
-         coalesce(sum(cantidad_ev), 0.0) AS cantidad_ev,
-         coalesce(sum(cantidad_ev_modelada), 0.0) AS cantidad_ev_modelada,
-         coalesce(sum(consumo_energetico), 0.0) AS consumo_energetico,
-         coalesce(sum(demanda_futura), 0.0) AS demanda_futura
+         coalesce(CAST(CAST(sum(CAST(CAST(cantidad_ev AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0) AS cantidad_ev,
+         coalesce(CAST(CAST(sum(CAST(CAST(cantidad_ev_modelada AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0) AS cantidad_ev_modelada,
+         coalesce(CAST(CAST(sum(CAST(CAST(consumo_energetico AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0) AS consumo_energetico,
+         coalesce(CAST(CAST(sum(CAST(CAST(demanda_futura AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0) AS demanda_futura
   FROM energy WHERE anio = (SELECT max(anio) FROM energy) GROUP BY departamento
 ),
 coverage AS (
   SELECT departamento, CAST(count(nombre_activo) AS DOUBLE) AS total_activos_hidraulicos,
-         coalesce(sum(capacidad_hidraulica), 0.0) AS capacidad_hidraulica_total,
-         avg(latitud) AS latitud_hidraulica_promedio, avg(longitud) AS longitud_hidraulica_promedio
+         coalesce(CAST(CAST(sum(CAST(CAST(capacidad_hidraulica AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0)
+           AS capacidad_hidraulica_total,
+         CAST(CAST(sum(CAST(CAST(latitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(latitud) AS DOUBLE)
+           AS latitud_hidraulica_promedio,
+         CAST(CAST(sum(CAST(CAST(longitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(longitud) AS DOUBLE)
+           AS longitud_hidraulica_promedio
   FROM assets GROUP BY departamento
 ),
 joined AS (
@@ -343,12 +347,14 @@ def lookup_queries(name: str, mun: str, reg: str, sub: str) -> str:
 GAZETTEER = f"""
 gaz_seg AS (
   SELECT municipio || ', ' || departamento || ', Colombia' AS query,
-         round_even(avg(latitud), 4) AS latitud, round_even(avg(longitud), 4) AS longitud
+         round_even(CAST(CAST(sum(CAST(CAST(latitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(latitud) AS DOUBLE), 4) AS latitud,
+         round_even(CAST(CAST(sum(CAST(CAST(longitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(longitud) AS DOUBLE), 4) AS longitud
   FROM cgeo WHERE latitud IS NOT NULL AND longitud IS NOT NULL GROUP BY municipio, departamento
 ),
 gaz_reg AS (
   SELECT subarea || ', ' || departamento || ', Colombia' AS query,
-         round_even(avg(latitud), 4) AS latitud, round_even(avg(longitud), 4) AS longitud
+         round_even(CAST(CAST(sum(CAST(CAST(latitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(latitud) AS DOUBLE), 4) AS latitud,
+         round_even(CAST(CAST(sum(CAST(CAST(longitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(longitud) AS DOUBLE), 4) AS longitud
   FROM assets GROUP BY subarea, departamento
 ),
 gaz_dep AS (
@@ -379,10 +385,11 @@ qpts AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS qx, CAST(embedding[2] AS
 
 YEARLY = """
 yearly AS (
-  SELECT anio, departamento, coalesce(sum(cantidad_ev), 0.0) AS cantidad_ev_historica,
-         coalesce(sum(cantidad_ev_modelada), 0.0) AS cantidad_ev_modelada,
-         coalesce(sum(consumo_energetico), 0.0) AS consumo_energetico,
-         coalesce(sum(demanda_futura), 0.0) AS demanda_futura
+  SELECT anio, departamento,
+         coalesce(CAST(CAST(sum(CAST(CAST(cantidad_ev AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0) AS cantidad_ev_historica,
+         coalesce(CAST(CAST(sum(CAST(CAST(cantidad_ev_modelada AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0) AS cantidad_ev_modelada,
+         coalesce(CAST(CAST(sum(CAST(CAST(consumo_energetico AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0) AS consumo_energetico,
+         coalesce(CAST(CAST(sum(CAST(CAST(demanda_futura AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE), 0.0) AS demanda_futura
   FROM energy GROUP BY anio, departamento
 ),
 chg AS (
@@ -400,3 +407,12 @@ PALETTE_SQL = "['#ffffcc', '#ffeda0', '#fed976', '#feb24c', '#fd8d3c', '#fc4e2a'
 
 def fixed(x: str, decimals: int) -> str:
     return f"printf('%.{decimals}f', coalesce(CAST({x} AS DOUBLE), 0.0))"
+
+
+
+def esum(x: str) -> str:
+    return f"CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE)"
+
+
+def eavg(x: str) -> str:
+    return f"(CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count({x}) AS DOUBLE))"

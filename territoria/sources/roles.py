@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import exact_avg
 from ..functions.text import normalize_territory
 from .tables import assets, departments, read_table, synthetic_lat, synthetic_lon
 
@@ -37,12 +38,12 @@ def gazetteer(spark: SparkSession, d: str, include_segments: bool = True) -> Dat
     if include_segments:
         cg = customers_geo(spark, d).where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
         seg = cg.groupBy("municipio", "departamento").agg(
-            F.bround(F.avg("latitud"), 4).alias("latitud"), F.bround(F.avg("longitud"), 4).alias("longitud"))
+            F.bround(exact_avg(F.col("latitud")), 4).alias("latitud"), F.bround(exact_avg(F.col("longitud")), 4).alias("longitud"))
         parts.append(seg.select(F.concat(F.col("municipio"), F.lit(", "), F.col("departamento"),
                                           F.lit(", Colombia")).alias("query"),
                                 "latitud", "longitud"))
     reg = assets(spark, d).groupBy("subarea", "departamento").agg(
-        F.bround(F.avg("latitud"), 4).alias("latitud"), F.bround(F.avg("longitud"), 4).alias("longitud"))
+        F.bround(exact_avg(F.col("latitud")), 4).alias("latitud"), F.bround(exact_avg(F.col("longitud")), 4).alias("longitud"))
     parts.append(reg.select(F.concat(F.col("subarea"), F.lit(", "), F.col("departamento"),
                                      F.lit(", Colombia")).alias("query"), "latitud", "longitud"))
     nation = read_table(spark, d, "nation")
@@ -78,8 +79,8 @@ def municipality_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """(municipio, latitud, longitud): one row per document source."""
     docs = read_table(spark, d, "documents")
     return docs.groupBy(F.upper("source").alias("municipio")).agg(
-        F.bround(F.avg(synthetic_lat(F.col("doc_id"))), 4).alias("latitud"),
-        F.bround(F.avg(synthetic_lon(F.col("doc_id"))), 4).alias("longitud"))
+        F.bround(exact_avg(synthetic_lat(F.col("doc_id"))), 4).alias("latitud"),
+        F.bround(exact_avg(synthetic_lon(F.col("doc_id"))), 4).alias("longitud"))
 
 
 def raw_overrides(spark: SparkSession, d: str) -> DataFrame:
