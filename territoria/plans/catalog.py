@@ -621,15 +621,15 @@ def q_asset_markers(spark, d):
     return r6(md.asset_markers(tb.assets(spark, d)))
 
 
-PAYLOAD_SQL = """,
+PAYLOAD_SQL = f""",
 flat AS (
   SELECT departamento, CAST(anio AS INTEGER) AS anio,
-         round_even(coalesce(demanda_futura, 0.0), 2) AS demanda_futura,
-         round_even(coalesce(consumo_energetico, 0.0), 2) AS consumo_energetico,
-         round_even(coalesce(cantidad_ev_modelada, 0.0), 2) AS cantidad_ev_modelada,
-         round_even(coalesce(cantidad_ev_historica, 0.0), 2) AS cantidad_ev_historica,
-         round_even(coalesce(aumento_demanda, 0.0), 2) AS aumento_demanda,
-         round_even(coalesce(aumento_demanda_pct, 0.0) * 100, 2) AS aumento_demanda_pct
+         {S.rnd('coalesce(demanda_futura, 0.0)', 2)} AS demanda_futura,
+         {S.rnd('coalesce(consumo_energetico, 0.0)', 2)} AS consumo_energetico,
+         {S.rnd('coalesce(cantidad_ev_modelada, 0.0)', 2)} AS cantidad_ev_modelada,
+         {S.rnd('coalesce(cantidad_ev_historica, 0.0)', 2)} AS cantidad_ev_historica,
+         {S.rnd('coalesce(aumento_demanda, 0.0)', 2)} AS aumento_demanda,
+         {S.rnd('coalesce(aumento_demanda_pct, 0.0) * 100', 2)} AS aumento_demanda_pct
   FROM chg
 )"""
 
@@ -779,7 +779,7 @@ cache AS (SELECT query, latitud, longitud, CASE WHEN latitud IS NOT NULL THEN qu
           SELECT query, latitud, longitud, CASE WHEN latitud IS NOT NULL THEN query END FROM gaz_dep),
 res AS (SELECT query, latitud, longitud, query AS display_name FROM gaz_seg
         UNION ALL
-        SELECT departamento || ', Colombia', round_even({S.eavg('latitud')}, 4), round_even({S.eavg('longitud')}, 4),
+        SELECT departamento || ', Colombia', {S.rnd(S.eavg('latitud'), 4)}, {S.rnd(S.eavg('longitud'), 4)},
                departamento || ', Colombia'
         FROM cgeo WHERE latitud IS NOT NULL GROUP BY departamento)
  SELECT * FROM cache
@@ -791,8 +791,8 @@ def q_lookup_cache_upsert(spark, d):
     seg = rl.gazetteer(spark, d).join(cache.select("query"), "query", "left_anti")
     cg = rl.customers_geo(spark, d).where(F.col("latitud").isNotNull())
     from ..functions.numeric import exact_avg
-    dep = cg.groupBy("departamento").agg(F.bround(exact_avg(F.col("latitud")), 4).alias("latitud"),
-                                         F.bround(exact_avg(F.col("longitud")), 4).alias("longitud"))
+    dep = cg.groupBy("departamento").agg(F.round(exact_avg(F.col("latitud")), 4).alias("latitud"),
+                                         F.round(exact_avg(F.col("longitud")), 4).alias("longitud"))
     dep = dep.select(F.concat("departamento", F.lit(", Colombia")).alias("query"), "latitud", "longitud") \
         .withColumn("display_name", F.col("query"))
     return pl.cache_upsert(cache, seg.unionByName(dep))
@@ -800,8 +800,8 @@ def q_lookup_cache_upsert(spark, d):
 
 COMPLETED_SQL = f"""
 cat AS (SELECT upper(source) AS municipio,
-               round_even({S.eavg(S.synthetic_lat('doc_id'))}, 4) AS latitud,
-               round_even({S.eavg(S.synthetic_lon('doc_id'))}, 4) AS longitud
+               {S.rnd(S.eavg(S.synthetic_lat('doc_id')), 4)} AS latitud,
+               {S.rnd(S.eavg(S.synthetic_lon('doc_id')), 4)} AS longitud
         FROM documents GROUP BY upper(source)),
 ovr AS (SELECT l.doc_id AS id, ' ' || d.source || ' ' AS municipio,
                CASE WHEN l.quality = 1 THEN {S.synthetic_lat('l.doc_id')} END AS latitud,
@@ -827,8 +827,8 @@ def q_catalog_completion(spark, d):
 
 @register("override_join", sql_r6("WITH " + COMPLETED_SQL + f""",
 base AS (SELECT doc_id AS id, upper(lang) AS departamento,
-                round_even({S.synthetic_lat('doc_id')} / 2, 4) AS latitud,
-                round_even({S.synthetic_lon('doc_id')} / 2, 4) AS longitud FROM documents)
+                {S.rnd(S.synthetic_lat('doc_id') + ' / 2', 4)} AS latitud,
+                {S.rnd(S.synthetic_lon('doc_id') + ' / 2', 4)} AS longitud FROM documents)
  SELECT b.id, b.departamento,
         CASE WHEN h THEN o.municipio ELSE '{pl.NO_MUNICIPALITY}' END AS municipio,
         CASE WHEN h THEN o.latitud ELSE b.latitud END AS latitud,

@@ -14,6 +14,20 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def esum(x: str) -> str:
+    return f"CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE)"
+
+
+def eavg(x: str) -> str:
+    return f"(CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count({x}) AS DOUBLE))"
+
+
+
+def rnd(x: str, d: int) -> str:
+    """Half-up rounding of the shortest decimal form (Spark ``round``)."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12)), {d}) AS DOUBLE)"
+
+
 def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
@@ -347,14 +361,12 @@ def lookup_queries(name: str, mun: str, reg: str, sub: str) -> str:
 GAZETTEER = f"""
 gaz_seg AS (
   SELECT municipio || ', ' || departamento || ', Colombia' AS query,
-         round_even(CAST(CAST(sum(CAST(CAST(latitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(latitud) AS DOUBLE), 4) AS latitud,
-         round_even(CAST(CAST(sum(CAST(CAST(longitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(longitud) AS DOUBLE), 4) AS longitud
+         {rnd(eavg('latitud'), 4)} AS latitud, {rnd(eavg('longitud'), 4)} AS longitud
   FROM cgeo WHERE latitud IS NOT NULL AND longitud IS NOT NULL GROUP BY municipio, departamento
 ),
 gaz_reg AS (
   SELECT subarea || ', ' || departamento || ', Colombia' AS query,
-         round_even(CAST(CAST(sum(CAST(CAST(latitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(latitud) AS DOUBLE), 4) AS latitud,
-         round_even(CAST(CAST(sum(CAST(CAST(longitud AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count(longitud) AS DOUBLE), 4) AS longitud
+         {rnd(eavg('latitud'), 4)} AS latitud, {rnd(eavg('longitud'), 4)} AS longitud
   FROM assets GROUP BY subarea, departamento
 ),
 gaz_dep AS (
@@ -408,11 +420,3 @@ PALETTE_SQL = "['#ffffcc', '#ffeda0', '#fed976', '#feb24c', '#fd8d3c', '#fc4e2a'
 def fixed(x: str, decimals: int) -> str:
     return f"printf('%.{decimals}f', coalesce(CAST({x} AS DOUBLE), 0.0))"
 
-
-
-def esum(x: str) -> str:
-    return f"CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE)"
-
-
-def eavg(x: str) -> str:
-    return f"(CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12))) AS VARCHAR) AS DOUBLE) / CAST(count({x}) AS DOUBLE))"

@@ -38,12 +38,12 @@ def gazetteer(spark: SparkSession, d: str, include_segments: bool = True) -> Dat
     if include_segments:
         cg = customers_geo(spark, d).where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
         seg = cg.groupBy("municipio", "departamento").agg(
-            F.bround(exact_avg(F.col("latitud")), 4).alias("latitud"), F.bround(exact_avg(F.col("longitud")), 4).alias("longitud"))
+            F.round(exact_avg(F.col("latitud")), 4).alias("latitud"), F.round(exact_avg(F.col("longitud")), 4).alias("longitud"))
         parts.append(seg.select(F.concat(F.col("municipio"), F.lit(", "), F.col("departamento"),
                                           F.lit(", Colombia")).alias("query"),
                                 "latitud", "longitud"))
     reg = assets(spark, d).groupBy("subarea", "departamento").agg(
-        F.bround(exact_avg(F.col("latitud")), 4).alias("latitud"), F.bround(exact_avg(F.col("longitud")), 4).alias("longitud"))
+        F.round(exact_avg(F.col("latitud")), 4).alias("latitud"), F.round(exact_avg(F.col("longitud")), 4).alias("longitud"))
     parts.append(reg.select(F.concat(F.col("subarea"), F.lit(", "), F.col("departamento"),
                                      F.lit(", Colombia")).alias("query"), "latitud", "longitud"))
     nation = read_table(spark, d, "nation")
@@ -79,8 +79,8 @@ def municipality_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """(municipio, latitud, longitud): one row per document source."""
     docs = read_table(spark, d, "documents")
     return docs.groupBy(F.upper("source").alias("municipio")).agg(
-        F.bround(exact_avg(synthetic_lat(F.col("doc_id"))), 4).alias("latitud"),
-        F.bround(exact_avg(synthetic_lon(F.col("doc_id"))), 4).alias("longitud"))
+        F.round(exact_avg(synthetic_lat(F.col("doc_id"))), 4).alias("latitud"),
+        F.round(exact_avg(synthetic_lon(F.col("doc_id"))), 4).alias("longitud"))
 
 
 def raw_overrides(spark: SparkSession, d: str) -> DataFrame:
@@ -101,8 +101,8 @@ def plants(spark: SparkSession, d: str) -> DataFrame:
     (department-level) coordinate."""
     docs = read_table(spark, d, "documents")
     return docs.select(F.col("doc_id").alias("id"), F.upper("lang").alias("departamento"),
-                       F.bround(synthetic_lat(F.col("doc_id")) / 2, 4).alias("latitud"),
-                       F.bround(synthetic_lon(F.col("doc_id")) / 2, 4).alias("longitud"))
+                       F.round(synthetic_lat(F.col("doc_id")) / 2, 4).alias("latitud"),
+                       F.round(synthetic_lon(F.col("doc_id")) / 2, 4).alias("longitud"))
 
 
 def suppliers_by_nation(spark: SparkSession, d: str) -> DataFrame:
