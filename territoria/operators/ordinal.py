@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
     cond = F.lit(True)
@@ -37,9 +39,12 @@ def ordinal_within_key(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     pid = "_tt_pid"
     ranged = df.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order) \
         .withColumn(pid, F.spark_partition_id())
-    local = ranged.withColumn(
-        "_tt_lrn", F.row_number().over(Window.partitionBy(pid, *keys).orderBy(*order)))
-    counts = ranged.groupBy(*keys, pid).agg(F.count(F.lit(1)).alias("_tt_cnt"))
+    # The partition id is only meaningful for one execution of the range
+    # exchange, so the numbered slices are written once (reliable checkpoint
+    # in the shared folder) and both the counts and the join read that copy.
+    local = cut_lineage(ranged.withColumn(
+        "_tt_lrn", F.row_number().over(Window.partitionBy(pid, *keys).orderBy(*order))))
+    counts = local.groupBy(*keys, pid).agg(F.count(F.lit(1)).alias("_tt_cnt"))
     offsets_w = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1) \
         if keys else Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_tt_off", F.coalesce(F.sum("_tt_cnt").over(offsets_w), F.lit(0))) \

@@ -41,9 +41,11 @@ def synthetic_lon(key: Column) -> Column:
     return F.round(F.lit(-79.0) + F.pmod(key * 53, F.lit(1201)).cast("double") / 100.0, 4)
 
 
-def departments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation -> (n_nationkey, departamento, region)."""
+def departments(spark: SparkSession, sf_dir: str, with_region: bool = True) -> DataFrame:
+    """nation -> (n_nationkey, departamento[, region])."""
     nation = read_table(spark, sf_dir, "nation")
+    if not with_region:
+        return nation.select("n_nationkey", normalize_territory(F.col("n_name")).alias("departamento"))
     region = read_table(spark, sf_dir, "region")
     return (nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
             .select("n_nationkey", normalize_territory(F.col("n_name")).alias("departamento"),
@@ -56,7 +58,7 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: anio, departamento, tipo_vehiculo, cantidad_ev, kwh_promedio,
     potencia_carga, consumo_wh_km. Only the needed columns reach the scans.
     """
-    dept = departments(spark, sf_dir).select("n_nationkey", "departamento")
+    dept = departments(spark, sf_dir, with_region=False)
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.year("o_orderdate").alias("anio"))
