@@ -981,8 +981,9 @@ def q_sink_overwrite_roundtrip(spark, d):
 
 @register("refresh_result_table", sql_r6(S.with_(*BASE) + " SELECT * FROM panel", PANEL_D))
 def q_refresh_result_table(spark, d):
-    return r6(io_.refresh_result_table(spark, _panel(spark, d), "etapa1_temporal",
-                                       scratch_path(spark, "etapa1_temporal")))
+    # ensures database and table (CREATE ... IF NOT EXISTS), then one overwrite job
+    return r6(io_.refresh_catalog_table(spark, _panel(spark, d), "etapa1_temporal",
+                                        scratch_path(spark, "etapa1_temporal"), "territoria_resultados"))
 
 
 @register("sink_csv_roundtrip", sql_r6(S.with_(*BASE) + " SELECT * FROM panel", PANEL_D))

@@ -112,3 +112,17 @@ def test_headers_and_columns(spark):
     assert out.columns == ["a", "b", "alias_a", "req"]
     assert io_.order_columns(out, ["req", "a", "req", "zz"]).columns == ["req", "a", "b", "alias_a"]
     assert io_.order_columns(out, ["req"], keep_rest=False).columns == ["req"]
+
+
+def test_refresh_catalog_table_overwrites(spark, tmp_path):
+    df = spark.createDataFrame([(2020, "A", "T", 1.0, 2.0, 3.0, 4.0)],
+                               "anio int, departamento string, tipo_vehiculo string, cantidad_ev double, "
+                               "kwh_promedio double, potencia_carga double, consumo_wh_km double")
+    loc = str(tmp_path / "t")
+    assert io_.refresh_catalog_table(spark, df, "etapa1_temporal", loc, "prueba_resultados").count() == 1
+    assert io_.refresh_catalog_table(spark, df.union(df), "etapa1_temporal", loc, "prueba_resultados").count() == 2
+    try:
+        io_.conform(df, "tabla_desconocida")
+        raise AssertionError("unknown table accepted")
+    except ValueError:
+        pass
