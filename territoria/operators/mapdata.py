@@ -161,3 +161,20 @@ def observed_horizons(panel: DataFrame, series: Sequence[str], time_col: str = "
     cleaned = F.array_sort(F.array_distinct(F.filter(F.col("_o"), lambda x: x > 0)))
     dflt = F.array(*[F.lit(int(h)) for h in default])
     return offs.select(*series, F.when(F.size(cleaned) > 0, cleaned).otherwise(dflt).alias("horizontes"))
+
+
+def generation_markers(plants: DataFrame, kind_col: str | None = None) -> DataFrame:
+    """Generation plant markers (after the override join): point table plus
+    popup with type, department, municipality, location precision and the
+    coordinates used (4 decimals)."""
+    pts = point_table(plants)
+    kind = F.coalesce(F.col(kind_col), F.lit("Infraestructura")) if kind_col else F.lit("Infraestructura")
+    popup = F.concat(
+        F.lit("<b>"), kind, F.lit("</b><br>Departamento: "), F.coalesce(F.col("departamento"), F.lit("N/A")),
+        F.lit("<br>Municipio: "), F.coalesce(F.col("municipio"), F.lit("NO DISPONIBLE")),
+        F.lit("<br>Prioridad energetica: N/A<br>Tipo de ubicacion: "),
+        F.coalesce(F.col("precision_ubicacion"), F.lit("N/A")),
+        F.lit("<br>Latitud usada: "), _fixed(F.col("latitud"), 4),
+        F.lit("<br>Longitud usada: "), _fixed(F.col("longitud"), 4),
+        F.lit("<br><span style='color:#666;'>La fuente no trae municipio ni coordenada exacta de planta.</span>"))
+    return pts.select("id", "departamento", "municipio", "latitud", "longitud", popup.alias("popup"))

@@ -1112,3 +1112,32 @@ def q_holdout_energy(spark, d):
            .withColumn("consumo_energetico", F.col("cantidad_ev_pred") * F.col("kwh_promedio"))
            .withColumn("demanda_futura", F.col("cantidad_ev_pred") * F.col("potencia_carga") * F.col("simultaneidad")))
     return out.drop("_mk", "_mp")
+
+
+OVERRIDE_SQL = sql_r6("WITH " + COMPLETED_SQL + f""",
+base AS (SELECT doc_id AS id, upper(lang) AS departamento,
+                {S.rnd(S.synthetic_lat('doc_id') + ' / 2', 4)} AS latitud,
+                {S.rnd(S.synthetic_lon('doc_id') + ' / 2', 4)} AS longitud FROM documents)
+ SELECT b.id, b.departamento,
+        CASE WHEN h THEN o.municipio ELSE '{pl.NO_MUNICIPALITY}' END AS municipio,
+        CASE WHEN h THEN o.latitud ELSE b.latitud END AS latitud,
+        CASE WHEN h THEN o.longitud ELSE b.longitud END AS longitud,
+        CASE WHEN h THEN o.precision_ubicacion ELSE '{pl.PRECISION_APPROX}' END AS precision_ubicacion,
+        CASE WHEN h THEN o.detalle_ubicacion ELSE '{pl.DETAIL_APPROX}' END AS detalle_ubicacion
+ FROM (SELECT b.*, o.id AS oid, coalesce(o.municipio IS NOT NULL AND o.latitud IS NOT NULL
+                                         AND o.longitud IS NOT NULL, false) AS h
+       FROM base b LEFT JOIN completed o ON b.id = o.id) b
+ LEFT JOIN completed o ON b.oid = o.id""", ["latitud", "longitud"])
+
+
+@register("generation_markers", sql_r6("WITH ov AS (" + OVERRIDE_SQL + f""")
+ SELECT id, departamento, municipio, latitud, longitud,
+        '<b>Infraestructura</b><br>Departamento: ' || coalesce(departamento, 'N/A') || '<br>Municipio: ' ||
+        coalesce(municipio, 'NO DISPONIBLE') || '<br>Prioridad energetica: N/A<br>Tipo de ubicacion: ' ||
+        coalesce(precision_ubicacion, 'N/A') || '<br>Latitud usada: ' || {S.fixed('latitud', 4)} ||
+        '<br>Longitud usada: ' || {S.fixed('longitud', 4)} ||
+        '<br><span style=''color:#666;''>La fuente no trae municipio ni coordenada exacta de planta.</span>' AS popup
+ FROM ov WHERE latitud IS NOT NULL AND longitud IS NOT NULL""", ["latitud", "longitud"]))
+def q_generation_markers(spark, d):
+    plants = pl.apply_overrides(rl.plants(spark, d), _completed(spark, d))
+    return r6(md.generation_markers(plants))
