@@ -69,9 +69,12 @@ def _data(spark, d):
     return model_input(_panel(spark, d))
 
 
-def _stage1(spark, d):
-    preds, fc = stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)
-    return cut_lineage(preds), cut_lineage(fc)
+def _preds(spark, d):
+    return cut_lineage(stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)[0])
+
+
+def _forecast(spark, d):
+    return cut_lineage(stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)[1])
 
 
 def _energy(spark, d, sim=0.3):
@@ -118,12 +121,12 @@ def q_group_trend(spark, d):
 
 @register("trend_backtest", sql_r6(S.with_(*STAGE1) + " SELECT * FROM predictions", PRED_D))
 def q_trend_backtest(spark, d):
-    return r6(_stage1(spark, d)[0])
+    return r6(_preds(spark, d))
 
 
 @register("future_forecast", sql_r6(S.with_(*STAGE1) + " SELECT * FROM forecast", PRED_D))
 def q_future_forecast(spark, d):
-    return r6(_stage1(spark, d)[1])
+    return r6(_forecast(spark, d))
 
 
 @register("energy_demand", sql_r6(S.with_(*ENERGY) + " SELECT * FROM energy", ENERGY_D))
@@ -220,7 +223,7 @@ BT_METRICS_SQL = """
 
 
 def _trend_metrics(spark, d):
-    preds = _stage1(spark, d)[0]
+    preds = _preds(spark, d)
     return bt.error_metrics(preds, "cantidad_ev", "cantidad_ev_pred").select(
         F.lit(bt.MODEL_TREND).alias("model"), "mae", "rmse", "n", "r2")
 
@@ -313,7 +316,7 @@ def q_history_future_union(spark, d):
 @register("distinct_predictions", sql_r6(S.with_(*STAGE1) + """
  SELECT DISTINCT anio, departamento, tipo_vehiculo, cantidad_ev_pred FROM predictions""", ["cantidad_ev_pred"]))
 def q_distinct_predictions(spark, d):
-    return r6(en.distinct_predictions(_stage1(spark, d)[0]))
+    return r6(en.distinct_predictions(_preds(spark, d)))
 
 
 SCEN_COLS = en.SCENARIO_BASE_COLUMNS + ["escenario_simultaneidad", "simultaneidad", "demanda_futura",
