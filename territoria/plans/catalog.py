@@ -535,7 +535,15 @@ def q_boundary_metrics(spark, d):
     return r6(md.boundary_metrics(_boundaries(spark, d), _flow(spark, d).priority).drop("geometry"))
 
 
-@register("boundary_features")
+def _boundary_sql() -> str:
+    lat, lon = S.synthetic_lat("n_nationkey"), S.synthetic_lon("n_nationkey")
+    ring = ", ".join(f"[{lon} + ({dx}), {lat} + ({dy})]"
+                     for dx, dy in [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)])
+    return (f"SELECT lower(n_name) AS shapeName, {S.norm_dept('lower(n_name)')} AS departamento, "
+            f"CAST(to_json({{'coordinates': [[{ring}]], 'type': 'Polygon'}}) AS VARCHAR) AS geometry FROM nation")
+
+
+@register("boundary_features", _boundary_sql())
 def q_boundary_features(spark, d):
     return _boundaries(spark, d)
 
