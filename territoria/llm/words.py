@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEP = 0xD6E8FEB86659FD93
+_64 = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -108,19 +109,18 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     count = len(words) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    total, done, span, power, factor = None, 0, 1, words, _STEP
-    scale = np.uint64(1)
-    rest = n
+    total, done, span, power = None, 0, 1, words
+    scale, factor, rest = 1, _STEP, n
     while rest:
         if rest & 1:
-            part = power[done: done + count] * scale
+            part = power[done: done + count] * np.uint64(scale)
             total = part if total is None else total + part
             done += span
-            scale = scale * factor
+            scale = scale * factor & _64
         rest >>= 1
         if rest:
-            power = power[: len(power) - span] + power[span:] * factor
-            factor = factor * factor
+            power = power[: len(power) - span] + power[span:] * np.uint64(factor)
+            factor = factor * factor & _64
             span *= 2
     return mix(total)
 
