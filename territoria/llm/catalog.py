@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territoria.llm import packing, recipes, winnow
+from territoria.llm import packing, recipes, toxicity, winnow
 from territoria.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op2_decontamination": op2_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLE: dict[str, str] = {
