@@ -10,8 +10,7 @@ Items shorter than ``window`` words are one k-gram of their own length, looked
 up at every document position (winnowing with one k-gram per window).
 
 Before the join a document's fingerprints pass a bitmap of all benchmark
-fingerprints. It has ``2**FILTER_BITS`` bits whatever the benchmark's size and
-only spares shuffle: a set bit is still joined and compared.
+fingerprints, which only spares shuffle: a set bit is still joined and compared.
 
 Defined cases: null and empty texts have no words and no hits; an item without
 words is never found; repeated item rows count once by item_id, a null item_id
@@ -29,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from territoria.llm.bitmap import bitmap, listed
 from territoria.llm.common import cut, text_key
 from territoria.llm.words import (ALNUM, lowered, mix, ngram_hashes, same_row, split_words, text_blocks,
                                   word_hashes)
 
 WINDOW, K = 10, 5
-FILTER_BITS = 24
 
 HIT = pa.struct([("fp", pa.int64()), ("size", pa.int32()), ("short", pa.bool_()), ("pos", pa.int64()), ("left", pa.list_(pa.string())),
                  ("mid", pa.string()), ("right", pa.list_(pa.string()))])
@@ -74,9 +73,7 @@ class Fingerprints:
     def _listed(self, at: np.ndarray, fps: np.ndarray):
         if self.bitmap is None or not len(fps):
             return at, fps
-        table = self.bitmap.value
-        slot = fps & np.uint64((1 << FILTER_BITS) - 1)
-        seen = (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+        seen = listed(self.bitmap.value, fps)
         return at[seen], fps[seen]
 
     def _hits(self, data, starts, ends, rows, count: int) -> list[list[dict] | None]:
@@ -124,17 +121,6 @@ class Fingerprints:
                 names=[*kept, "n_words", "hits"])
 
 
-def _bitmap(items: DataFrame):
-    """Broadcast bitmap of the items' fingerprints: 2**FILTER_BITS bits."""
-    slot = F.col("fp").bitwiseAND((1 << FILTER_BITS) - 1)
-    cells = (items.select(F.shiftright(slot, 6).alias("cell"),
-                          F.expr(f"shiftleft(1L, cast((fp & {(1 << FILTER_BITS) - 1}) & 63 as int))").alias("bit"))
-             .groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow())
-    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    return items.sparkSession.sparkContext.broadcast(table.view(np.uint64))
-
-
 def _run(mine: str, theirs: str, reach: int) -> Column:
     """How many leading words of two context lists are equal."""
     total, alike = F.lit(0), F.lit(1)
@@ -158,7 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = item_fingerprints(benchmark)
     short = sorted(r[0] for r in items.where("short").select("size").distinct().collect())
     seen = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_key().alias("text_key"), "text")
-    base = cut(seen.mapInArrow(Fingerprints(short, _bitmap(items)),
+    base = cut(seen.mapInArrow(Fingerprints(short, bitmap(items, "fp")),
                                f"doc_id bigint, row bigint, text_key bigint, n_words bigint, hits {HIT_SQL}"))
     hit = base.select("row", F.explode("hits").alias("h")).select("row", "h.*")
     both = hit.join(items, ["fp", "size", "short", "mid"]).select(
