@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territoria.llm import chosen_path, packing, recipes, toxicity, winnow
+from territoria.llm import chosen_path, packing, recipes, substrings, toxicity, winnow
 from territoria.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,17 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "row", "root")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_toxicity": op6_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
