@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territoria.llm import chosen_path, packing, recipes, substrings, toxicity, winnow
+from territoria.llm import chosen_path, packing, quality, recipes, substrings, toxicity, winnow
 from territoria.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op2_decontamination": op2_decontamination,
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {
