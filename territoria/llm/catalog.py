@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territoria.llm import chosen_path, packing, quality, recipes, substrings, toxicity, winnow
+from territoria.llm import chosen_path, html_mincut, packing, quality, recipes, substrings, toxicity, winnow
 from territoria.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": op1_html_extraction,
     "op9_exact_dedup": op9_exact_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
