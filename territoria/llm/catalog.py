@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territoria.llm import chosen_path, html_mincut, packing, quality, recipes, substrings, toxicity, winnow
+from territoria.llm import chosen_path, html_mincut, packing, quality, quotes, recipes, sharding, substrings, toxicity, winnow
 from territoria.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,13 +45,23 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_mincut.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op9_exact_dedup": op9_exact_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_label_propagation_shards": op5_label_propagation_shards,
     "op6_toxicity": op6_toxicity,
+    "op7_quotation_linking": op7_quotation_linking,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_quality": op10_quality,
 }
