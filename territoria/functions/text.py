@@ -1,7 +1,8 @@
-"""Text normalisation as built-in Spark column expressions (no Python UDF).
+"""Text normalisation as Spark column expressions.
 
 All helpers take and return ``Column`` objects so Catalyst keeps them inside
-whole-stage codegen.
+whole-stage codegen; only ``fold_accents`` hands the rare texts beyond Latin
+letters to a vectorised function.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values (must equal the reference) ------------------------------
 # Department accent map applied after upper-casing.
@@ -69,7 +72,7 @@ WS_CLASS = _regex_class(_python_space_chars())
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: remove all Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.btrim(c, F.lit(_python_space_chars()))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -92,46 +95,43 @@ def normalize_territory(c: Column, aliases: dict[str, str] | None = None) -> Col
     return F.coalesce(lookup[base], base)
 
 
+def unaccented(text: str) -> str:
+    """Compatibility-decomposed text without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@F.pandas_udf(StringType())
+def _unaccented(texts: pd.Series) -> pd.Series:
+    return texts.map(unaccented, na_action="ignore")
+
+
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, dict[str, str], str]:
-    """Build, by rule from ``unicodedata``, the accent-fold translation for
-    the Latin blocks: one-to-one mappings for ``translate``, multi-letter
-    expansions, and the class of combining marks to drop."""
-    src, dst, multi = [], [], {}
-    ranges = [(0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2070, 0x2190), (0xFB00, 0xFB07)]
-    for lo, hi in ranges:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            folded = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-            if folded == ch:
-                continue
-            if len(folded) == 1:
-                src.append(ch)
-                dst.append(folded)
-            else:
-                multi[ch] = folded
-    marks = []
-    for lo, hi in [(0x0300, 0x0370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)]:
-        marks.extend(chr(cp) for cp in range(lo, hi) if unicodedata.combining(chr(cp)))
-    return "".join(src), "".join(dst), multi, _regex_class("".join(marks))
+def _latin_fold() -> tuple[str, str, str]:
+    """By rule from ``unicodedata``: Latin letters that fold to one letter,
+    those letters, and the class of all characters that need more than that."""
+    single = {}
+    plain = []
+    for cp in (*range(0x250), *range(0x1E00, 0x1F00)):
+        folded = unaccented(chr(cp))
+        if len(folded) == 1:
+            plain.append(chr(cp))
+            if folded != chr(cp):
+                single[chr(cp)] = folded
+    return "".join(single), "".join(single.values()), "[^" + _regex_class("".join(plain))[1:]
 
 
 def fold_accents(c: Column, null_as_empty: bool = True) -> Column:
     """Strip, upper, compatibility-decompose and drop combining marks.
 
-    NULL becomes ``""`` (municipality key semantics) unless
-    ``null_as_empty=False``.
+    Latin texts fold with one ``translate``; only texts with another character
+    (other scripts, ligatures, combining marks) pass a vectorised function,
+    which gets NULL for all others. NULL becomes ``""`` (municipality key
+    semantics) unless ``null_as_empty=False``.
     """
-    src, dst, multi, marks = _fold_tables()
+    src, dst, other = _latin_fold()
     base = F.upper(strip_ws(c))
-    expanded = base
-    for ch, rep in multi.items():
-        expanded = F.replace(expanded, F.lit(ch), F.lit(rep))
-    # the multi-letter expansions only run on the rare texts that need them
-    # (a length change under ``translate`` to nothing is the cheapest test)
-    needs = F.length(F.translate(base, "".join(multi), "")) < F.length(base)
-    out = F.when(needs, expanded).otherwise(base) if multi else base
-    out = F.regexp_replace(F.translate(out, src, dst), marks + "+", "")
+    more = base.rlike(other)
+    out = F.coalesce(_unaccented(F.when(more, base)), F.translate(base, src, dst))
     return F.coalesce(out, F.lit("")) if null_as_empty else out
 
 

@@ -59,14 +59,14 @@ def choropleth_frame(merged: DataFrame, metric: str, unit: str) -> DataFrame:
 
 
 def payload_flat(yearly: DataFrame, metrics: Sequence[str] = PAYLOAD_METRICS) -> DataFrame:
-    """One row per (territory, year): metrics NULL->0 rounded to 2 places
+    """One row per (territory, year): metrics NULL->0 rounded half-to-even to 2 places
     (the percent change times 100)."""
     cols = []
     for m in metrics:
         v = F.coalesce(F.col(m), F.lit(0.0))
         if m.endswith("_pct"):
             v = v * 100
-        cols.append(F.round(v, 2).alias(m))
+        cols.append(F.bround(v, 2).alias(m))
     return yearly.select("departamento", F.col("anio").cast("int").alias("anio"), *cols)
 
 

@@ -20,13 +20,6 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def ordinal_within_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                        out: str = "rn", num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row inside its key, following
@@ -59,15 +52,15 @@ def ordinal_within_key(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
         .drop(pid, "_tt_lrn", "_tt_off", "_tt_k_pid", *["_tt_k_" + k for k in keys])
 
 
-def dense_rank_desc(df: DataFrame, score: str, out: str, decimals: int = 12) -> DataFrame:
+def dense_rank_desc(df: DataFrame, score: str, out: str, decimals: int | None = None) -> DataFrame:
     """Dense rank of ``score`` descending (1 = highest), as int.
 
-    The score is rounded to ``decimals`` places first so ties do not depend on
-    summation order. Distinct scores are numbered with the distributed
+    Raw scores are ranked; with ``decimals`` they are rounded first, so that
+    ties do not depend on summation order. Distinct scores are numbered with the distributed
     ordinal and joined back; no global window over the input.
     """
     key = "_tt_score"
-    scored = df.withColumn(key, F.round(F.col(score), decimals))
+    scored = df.withColumn(key, F.col(score) if decimals is None else F.round(F.col(score), decimals))
     distinct = scored.select(key).distinct()
     ranked = ordinal_within_key(distinct, [], [F.col(key).desc_nulls_last()], out="_tt_rank")
     ranked = ranked.withColumnRenamed(key, "_tt_score_r")

@@ -5,35 +5,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_mean(c: str, scale: int) -> Column:
-    """Mean of a measure with ``scale`` decimals, summed as 64-bit fixed
-    point: the sum is exact, so the result does not depend on partitioning
-    or task retries (a double ``avg`` does, in the last bits)."""
-    units = F.round(F.col(c) * (10 ** scale)).cast("long")
-    return F.sum(units).cast("double") / float(10 ** scale) / F.count(units).cast("double")
-
-
 def panel_aggregate(df: DataFrame, keys: Sequence[str] = ("anio", "departamento", "tipo_vehiculo"),
                     sum_cols: Sequence[str] = ("cantidad_ev",),
-                    mean_cols: Sequence[str] = ("kwh_promedio", "potencia_carga", "consumo_wh_km"),
-                    mean_scale: int | None = None) -> DataFrame:
+                    mean_cols: Sequence[str] = ("kwh_promedio", "potencia_carga", "consumo_wh_km")) -> DataFrame:
     """Group by the panel key (NULL keys form their own group); sum the
-    counts (all-missing -> 0) and take unweighted means of the specs.
-
-    With ``mean_scale`` the means are exact fixed-point means (for measures
-    with that many decimals, e.g. money), identical on every run.
+    counts (all-missing -> 0) and take plain unweighted means of the specs.
     Partial aggregation runs map-side, so a hot key costs one row per task
     before the shuffle.
     """
     aggs = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sum_cols]
-    if mean_scale is None:
-        aggs += [F.avg(c).alias(c) for c in mean_cols]
-    else:
-        aggs += [exact_mean(c, mean_scale).alias(c) for c in mean_cols]
+    aggs += [F.avg(c).alias(c) for c in mean_cols]
     return df.groupBy(*keys).agg(*aggs)
 
 

@@ -120,21 +120,29 @@ def waterfall_lookup(rows: DataFrame, gazetteer: DataFrame, row_id: str,
             F.col("longitud").alias("_glon"), F.col("display_name").alias("_gsrc"))
         matched = exploded.join(hits, exploded["_q"] == hits["_gq"], "inner")
         picked = matched.groupBy("_rid").agg(
-            F.min_by(F.struct("_q", "_glat", "_glon", "_gsrc"), F.col("_pos")).alias("_hit")
+            F.min_by(F.struct("_q", "_glat", "_glon", "_gsrc"),
+                     F.struct("_pos", "_gsrc", "_glat", "_glon")).alias("_hit")
         ).select("_rid", F.col("_hit._q").alias("_q"), F.col("_hit._glat").alias("_lat"),
                  F.col("_hit._glon").alias("_lon"), F.col("_hit._gsrc").alias("_src"))
     out = with_q.drop("_queries").join(picked, F.col(row_id) == F.col("_rid"), "left")
-    return (out.withColumn("latitud", F.coalesce(F.col("latitud"), F.col("_lat")))
-            .withColumn("longitud", F.coalesce(F.col("longitud"), F.col("_lon")))
+    # a hit replaces both coordinates: half of one place is never joined to half of another
+    hit = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
+    return (out.withColumn("latitud", F.when(hit, F.col("_lat")).otherwise(F.col("latitud")))
+            .withColumn("longitud", F.when(hit, F.col("_lon")).otherwise(F.col("longitud")))
             .withColumn("geocoding_query", F.col("_q"))
             .withColumn("geocoding_source", F.col("_src"))
             .drop("_rid", "_q", "_lat", "_lon", "_src"))
 
 
-def cache_upsert(cache: DataFrame, results: DataFrame, key: str = "query") -> DataFrame:
+def cache_upsert(cache: DataFrame, results: DataFrame, key: str = "query",
+                 order: Sequence[str] | None = None) -> DataFrame:
     """New lookups (hits and misses) are added for queries not yet cached;
-    existing cache rows win (a cached query is never looked up again)."""
-    new = results.join(cache.select(key), key, "left_anti").dropDuplicates([key])
+    existing cache rows win (a cached query is never looked up again). Of
+    several new rows of one query the first by ``order`` wins."""
+    others = [c for c in cache.columns if c != key]
+    rank = F.struct(*[F.col(c) for c in (order or others)])
+    new = (results.join(cache.select(key), key, "left_anti").groupBy(key)
+           .agg(F.min_by(F.struct(*others), rank).alias("_first")).select(key, "_first.*"))
     return cache.unionByName(new.select(*cache.columns))
 
 
@@ -142,9 +150,10 @@ def cache_upsert(cache: DataFrame, results: DataFrame, key: str = "query") -> Da
 def _ref_table(reference: DataFrame, x: str, y: str, value: str, order: str, decimals: int) -> DataFrame:
     """Unique rounded reference points: the last value in reference order
     wins, the first position is kept (dict-insertion semantics)."""
-    return (reference.select(F.bround(F.col(x).cast("double"), decimals).alias("_rx"),
-                             F.bround(F.col(y).cast("double"), decimals).alias("_ry"),
+    return (reference.select(F.bround(coerce_numeric(F.col(x)), decimals).alias("_rx"),
+                             F.bround(coerce_numeric(F.col(y)), decimals).alias("_ry"),
                              F.col(value).alias("_rv"), F.col(order).alias("_ro"))
+            .where(F.col("_rx").isNotNull() & F.col("_ry").isNotNull())
             .groupBy("_rx", "_ry")
             .agg(F.max_by("_rv", "_ro").alias("_rv"), F.min("_ro").alias("_ro")))
 
@@ -157,7 +166,8 @@ def nearest_lookup(queries: DataFrame, reference: DataFrame, qid: str, qx: str,
     Query points are rounded to ``decimals``; an exact rounded hit takes the
     reference value. Otherwise the nearest reference point by squared
     Euclidean distance from the unrounded query wins, ties going to the first
-    reference position. Query rows with a NULL coordinate get ``unknown``.
+    reference position. Query rows with a NULL or NaN
+    coordinate get ``unknown``.
 
     Nearest search is exact without any all-pairs join: reference points go
     into square grid cells; each unresolved query looks at the 3x3 cells
@@ -170,8 +180,8 @@ def nearest_lookup(queries: DataFrame, reference: DataFrame, qid: str, qx: str,
     """
     ref = _ref_table(reference, rx, ry, rvalue, rorder, decimals)
     ref = cut_lineage(ref)
-    q = queries.select(F.col(qid).alias("_qid"), F.col(qx).cast("double").alias("_qx"),
-                       F.col(qy).cast("double").alias("_qy"))
+    q = queries.select(F.col(qid).alias("_qid"), coerce_numeric(F.col(qx)).alias("_qx"),
+                       coerce_numeric(F.col(qy)).alias("_qy"))
     q = q.withColumn("_kx", F.bround("_qx", decimals)).withColumn("_ky", F.bround("_qy", decimals))
     exact = (q.join(ref, (q["_kx"] == ref["_rx"]) & (q["_ky"] == ref["_ry"]), "inner")
              .select("_qid", F.col("_rv").alias("_val"), F.lit("exacta").alias("_how")))

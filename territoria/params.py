@@ -1,13 +1,18 @@
-"""Parameter resolution (simultaneity, horizons, scenarios, weights).
+"""Parameters of the flow: one validated object and its column forms.
 
-Parameters arrive as plain Python dicts (the YAML reader is not part of the
-engine); they become literals or a tiny parameter DataFrame.
+Settings come as plain mappings (no file reader is part of the engine). A
+parameter either is a literal of the plan or is looked up per row, e.g. a
+simultaneity for every row's scenario name.
 """
 
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
@@ -22,57 +27,84 @@ DEFAULT_WEIGHTS = {
     "soporte_hidraulico": 0.15,
     "cobertura_hidraulica": 0.05,
 }
+# names of the settings
+SCENARIOS_KEY, SCENARIO_KEY = "simultaneidad", "default_scenario"
+HORIZONS_KEY, WEIGHTS_KEY = "forecast_horizons_anios", "weights"
 # ---------------------------------------------------------------------------
 
 
-def resolve_simultaneity(scenario_name: str | None = None, override: float | None = None,
-                         config: dict | None = None) -> float:
-    """override -> named scenario -> configured default scenario -> 0.3."""
-    if override is not None:
-        return float(override)
-    config = config or {}
-    table = config.get("simultaneidad", {}) or {}
-    chosen = scenario_name or config.get("default_scenario")
-    if chosen in table:
-        return float(table[chosen])
-    if chosen is not None:
-        log.warning("unknown simultaneity scenario %r, using %s", chosen, DEFAULT_SIMULTANEITY)
-    return DEFAULT_SIMULTANEITY
-
-
-def clean_horizons(values=None, config: dict | None = None) -> list[int]:
-    """Positive ints, de-duplicated, sorted; empty -> default list."""
-    if values:
-        raw = values
-    else:
-        raw = (config or {}).get("forecast_horizons_anios", DEFAULT_HORIZONS)
-    cleaned = sorted({int(v) for v in raw if int(v) > 0})
-    return cleaned or list(DEFAULT_HORIZONS)
+class ParameterError(ValueError):
+    """A setting that cannot be read as what it should be."""
 
 
-def scenario_table(config: dict | None = None) -> dict[str, float]:
-    table = (config or {}).get("simultaneidad", {}) or DEFAULT_SCENARIOS
-    return {str(k): float(v) for k, v in table.items()}
+def _numbers(what: str, values: Mapping) -> dict[str, float]:
+    out = {}
+    for name, value in values.items():
+        try:
+            out[str(name)] = float(value)
+        except (TypeError, ValueError) as e:
+            raise ParameterError(f"{what} '{name}' is not a number: {value!r}") from e
+    return out
 
 
-def resolve_weights(config: dict | None = None) -> dict[str, float]:
-    given = (config or {}).get("weights", {}) or {}
-    return {k: float(given.get(k, d)) for k, d in DEFAULT_WEIGHTS.items()}
+def _years_ahead(values: Iterable) -> tuple[int, ...]:
+    """Distinct positive whole years in order; none left means the defaults."""
+    kept = set()
+    for value in values:
+        try:
+            kept.add(int(value))
+        except (TypeError, ValueError) as e:
+            raise ParameterError(f"horizon is not a whole number of years: {value!r}") from e
+    return tuple(sorted(y for y in kept if y > 0)) or tuple(DEFAULT_HORIZONS)
 
 
 @dataclass(frozen=True)
 class FlowParams:
+    """Typed parameters; every way to build one ends in the same checks."""
+
     simultaneity: float = DEFAULT_SIMULTANEITY
-    horizons: list[int] = field(default_factory=lambda: list(DEFAULT_HORIZONS))
-    scenarios: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_SCENARIOS))
-    weights: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
+    horizons: tuple[int, ...] = tuple(DEFAULT_HORIZONS)
+    scenarios: Mapping[str, float] = None
+    weights: Mapping[str, float] = None
     scenario_label: str = DEFAULT_SCENARIO_NAME
     renormalise_weights: bool = False
-    # decimals of the spec measures; exact fixed-point means when set
-    mean_scale: int | None = 2
+
+    def __post_init__(self):
+        own = object.__setattr__
+        own(self, "simultaneity", _numbers("simultaneity", {"": self.simultaneity})[""])
+        own(self, "horizons", _years_ahead(self.horizons or ()))
+        own(self, "scenarios", _numbers("scenario", self.scenarios or DEFAULT_SCENARIOS))
+        known = {k: v for k, v in (self.weights or {}).items() if k in DEFAULT_WEIGHTS}
+        own(self, "weights", _numbers("weight", {**DEFAULT_WEIGHTS, **known}))
+
+    @classmethod
+    def configured(cls, settings: Mapping | None = None, scenario: str | None = None,
+                   simultaneity: float | None = None, horizons: Iterable | None = None) -> FlowParams:
+        """From a settings mapping; explicit arguments come before it."""
+        given = settings or {}
+        params = cls(scenarios=given.get(SCENARIOS_KEY), weights=given.get(WEIGHTS_KEY),
+                     horizons=horizons or given.get(HORIZONS_KEY) or ())
+        offered = _numbers("scenario", given.get(SCENARIOS_KEY) or {})
+        return replace(params, simultaneity=cls._choose(offered, scenario or given.get(SCENARIO_KEY), simultaneity))
+
+    @staticmethod
+    def _choose(offered: Mapping[str, float], name: str | None, fixed: float | None) -> float:
+        if fixed is None and name is not None and name not in offered:
+            log.warning("scenario %r is not among %s; simultaneity stays %s", name, sorted(offered), DEFAULT_SIMULTANEITY)
+        return fixed if fixed is not None else offered.get(name, DEFAULT_SIMULTANEITY)
 
     def effective_weights(self) -> dict[str, float]:
-        if not self.renormalise_weights:
-            return dict(self.weights)
-        total = sum(self.weights.values()) or 1.0
-        return {k: v / total for k, v in self.weights.items()}
+        total = sum(self.weights.values()) if self.renormalise_weights else 1.0
+        return {k: v / (total or 1.0) for k, v in self.weights.items()}
+
+    # ---- the same rules for values that stand in rows ----------------------
+    def simultaneity_of(self, scenario: Column, fixed: Column | None = None) -> Column:
+        """Per row: the fixed value, else the named scenario's, else the default."""
+        table = F.create_map(*[F.lit(x) for kv in self.scenarios.items() for x in kv])
+        found = [table[scenario], F.lit(DEFAULT_SIMULTANEITY)]
+        return F.coalesce(*([fixed.cast("double")] if fixed is not None else []), *found)
+
+    def weighted(self, criteria: Mapping[str, Column]) -> Column:
+        """Weighted sum of the criteria that have a weight."""
+        weights = self.effective_weights()
+        return sum((F.lit(weights[k]) * c for k, c in criteria.items() if k in weights), F.lit(0.0))

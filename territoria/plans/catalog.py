@@ -62,7 +62,7 @@ def sql_r6(body: str, cols: list[str], digits: int = 6) -> str:
 def _panel(spark, d):
     # the small panel is written once to the shared checkpoint folder; every
     # later stage reads it instead of re-running the registrations join
-    return cut_lineage(pn.panel_aggregate(tb.registrations(spark, d), mean_scale=2))
+    return cut_lineage(pn.panel_aggregate(tb.registrations(spark, d)))
 
 
 def _data(spark, d):

@@ -57,7 +57,7 @@ def run_flow(registrations: DataFrame, assets: DataFrame, params: FlowParams | N
     stage tables; later stages read it instead of re-planning the lineage."""
     params = params or FlowParams()
     cut = cut_lineage if cut_stages else (lambda df: df)
-    panel = cut(panel_aggregate(registrations, mean_scale=params.mean_scale))
+    panel = cut(panel_aggregate(registrations))
     predictions, forecast = stage1_trend(panel, params.horizons)
     predictions, forecast = cut(predictions), cut(forecast)
     energy = cut(build_energy_table(panel, predictions, forecast, params.simultaneity))

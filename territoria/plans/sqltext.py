@@ -80,11 +80,6 @@ def synthetic_lon(k: str) -> str:
 W = DEFAULT_WEIGHTS
 
 
-def exact_mean(c: str, scale: int = 2) -> str:
-    u = f"CAST(round({c} * {10 ** scale}) AS BIGINT)"
-    return f"(CAST(sum({u}) AS DOUBLE) / {float(10 ** scale)} / CAST(count({u}) AS DOUBLE))"
-
-
 REGISTRATIONS = f"""
 reg AS (
   SELECT CAST(year(o.o_orderdate) AS INTEGER) AS anio,
@@ -111,15 +106,14 @@ assets AS (
   FROM supplier s
   LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE s.s_acctbal > 8000.0
 )"""
 
 PANEL = f"""
 panel AS (
   SELECT anio, departamento, tipo_vehiculo,
          coalesce(sum(cantidad_ev), 0.0) AS cantidad_ev,
-         {exact_mean('kwh_promedio')} AS kwh_promedio, {exact_mean('potencia_carga')} AS potencia_carga,
-         {exact_mean('consumo_wh_km')} AS consumo_wh_km
+         avg(kwh_promedio) AS kwh_promedio, avg(potencia_carga) AS potencia_carga,
+         avg(consumo_wh_km) AS consumo_wh_km
   FROM reg GROUP BY anio, departamento, tipo_vehiculo
 )"""
 
@@ -303,7 +297,7 @@ gis AS (
          criterio_demanda, criterio_crecimiento_ev, criterio_soporte_hidraulico,
          criterio_cobertura_hidraulica, criterio_brecha_soporte_hidraulico,
          criterio_brecha_cobertura_hidraulica, indice_prioridad_territorial,
-         CAST(dense_rank() OVER (ORDER BY round(indice_prioridad_territorial, 12) DESC) AS INTEGER)
+         CAST(dense_rank() OVER (ORDER BY indice_prioridad_territorial DESC) AS INTEGER)
            AS ranking_prioridad,
          CASE WHEN indice_prioridad_territorial >= 0.66 THEN 'ALTA'
               WHEN indice_prioridad_territorial < 0.33 THEN 'BAJA' ELSE 'MEDIA' END AS categoria_prioridad,

@@ -20,13 +20,6 @@ from ..functions.text import normalize_territory, standardize_text
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-# --- fixed values of the re-aim (documented in README) ---------------------
-# Suppliers with a balance above this threshold stand for infrastructure
-# assets; capacity = balance. Coordinates are derived from the key.
-ASSET_MIN_BALANCE = 8000.0
-# ---------------------------------------------------------------------------
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -82,11 +75,10 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Infrastructure assets (re-aim: suppliers with a large balance)."""
+    """Infrastructure assets (re-aim: every supplier; capacity = balance)."""
     supplier = read_table(spark, sf_dir, "supplier")
     dept = departments(spark, sf_dir)
-    return (supplier.filter(F.col("s_acctbal") > ASSET_MIN_BALANCE)
-            .join(dept, supplier.s_nationkey == dept.n_nationkey, "left")
+    return (supplier.join(dept, supplier.s_nationkey == dept.n_nationkey, "left")
             .select(F.col("s_suppkey").alias("id_activo"),
                     F.col("s_name").alias("nombre_activo"),
                     "departamento",
@@ -97,17 +89,20 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
                     synthetic_lon(F.col("s_suppkey")).alias("longitud")))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in any store Spark can read; other errors show."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - public Hadoop API
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)  # noqa: SLF001
+
+
 def table_if_exists(spark: SparkSession, name: str, fallback_path: str | None = None,
                     fmt: str = "parquet", required: bool = False) -> DataFrame | None:
     """Catalog table if it exists, else a file path if it exists, else None
     (or an error when ``required``)."""
     if spark.catalog.tableExists(name):
         return spark.table(name)
-    if fallback_path:
-        try:
-            return spark.read.format(fmt).option("header", True).load(fallback_path)
-        except Exception:  # path missing or unreadable
-            pass
+    if fallback_path and path_exists(spark, fallback_path):
+        return spark.read.format(fmt).option("header", True).load(fallback_path)
     if required:
         raise RuntimeError(f"required table '{name}' is not available; run the flow first")
     return None

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from territoria.operators import backtest as bt
 from territoria.operators import panel as pn
 from territoria.operators import trend as tr
-from territoria.params import clean_horizons, resolve_simultaneity, resolve_weights, scenario_table
+from territoria.params import FlowParams, ParameterError
 
 SCHEMA = "anio int, departamento string, tipo_vehiculo string, cantidad_ev double"
 
@@ -18,8 +18,14 @@ def test_panel_aggregate_means_and_null_keys(spark):
     rows = {(r.departamento): r for r in pn.panel_aggregate(df).collect()}
     assert rows["A"].cantidad_ev == 3.0 and rows["A"].kwh_promedio == 10.0 and rows["A"].potencia_carga == 2.0
     assert rows[None].cantidad_ev == 5.0
-    exact = {(r.departamento): r for r in pn.panel_aggregate(df, mean_scale=2).collect()}
-    assert exact["A"].kwh_promedio == 10.0
+
+
+def test_panel_means_keep_all_decimals(spark):
+    df = spark.createDataFrame([(2020, "A", "T", 1.0, 0.125, 38.4567, 0.004)],
+                               "anio int, departamento string, tipo_vehiculo string, cantidad_ev double, "
+                               "kwh_promedio double, potencia_carga double, consumo_wh_km double")
+    r = pn.panel_aggregate(df).first()
+    assert (r.kwh_promedio, r.potencia_carga, r.consumo_wh_km) == (0.125, 38.4567, 0.004)
 
 
 def test_group_trend_cases(spark):
@@ -81,9 +87,21 @@ def test_positional_holdout_matches_sort(spark):
 
 
 def test_params():
-    assert clean_horizons([10, 5, -1, 5]) == [5, 10]
-    assert clean_horizons([]) == [5, 10, 15, 20, 30]
-    assert resolve_simultaneity("nope") == 0.3 and resolve_simultaneity(override=0.7) == 0.7
-    assert resolve_simultaneity("alto", config={"simultaneidad": {"alto": 0.5}}) == 0.5
-    assert scenario_table() == {"bajo": 0.2, "medio": 0.3, "alto": 0.5}
-    assert resolve_weights({"weights": {"demanda": 1.0, "otro": 3}})["demanda"] == 1.0
+    made = FlowParams.configured
+    assert made(horizons=[10, "5", -1, 5]).horizons == (5, 10)
+    assert made(horizons=[]).horizons == made({"forecast_horizons_anios": [-3]}).horizons == (5, 10, 15, 20, 30)
+    assert made(scenario="nope").simultaneity == 0.3 and made(simultaneity=0.7, scenario="nope").simultaneity == 0.7
+    assert made({"simultaneidad": {"alto": "0.5"}}, scenario="alto").simultaneity == 0.5
+    assert made({"simultaneidad": {"alto": 0.5}, "default_scenario": "alto"}).simultaneity == 0.5
+    assert made().scenarios == {"bajo": 0.2, "medio": 0.3, "alto": 0.5}
+    weights = made({"weights": {"demanda": 1.0, "otro": 3}}).weights
+    assert weights["demanda"] == 1.0 and weights["crecimiento_ev"] == 0.3 and "otro" not in weights
+    for bad in ({"weights": {"demanda": "x"}}, {"simultaneidad": {"alto": None}}, {"forecast_horizons_anios": ["y"]}):
+        with pytest.raises(ParameterError):
+            made(bad)
+
+
+def test_simultaneity_per_row(spark):
+    df = spark.createDataFrame([("alto", None), ("nope", None), (None, None), ("bajo", 0.9)], "s string, f double")
+    got = [r[0] for r in df.select(FlowParams().simultaneity_of(F.col("s"), F.col("f"))).collect()]
+    assert got == [0.5, 0.3, 0.3, 0.9]
