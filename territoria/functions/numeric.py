@@ -27,12 +27,6 @@ def coerce_numeric(c: Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-def coerce_int(c: Column) -> Column:
-    """Integer through double so '2052.0' parses (direct cast gives NULL)."""
-    d = coerce_numeric(c)
-    return F.when(d == F.floor(d), d.cast("int"))
-
-
 def safe_div(num: Column, den: Column, default: float | None = 0.0) -> Column:
     """x / y without raising; division by zero, inf and NaN -> default."""
     q = F.try_divide(num, den)
@@ -41,10 +35,6 @@ def safe_div(num: Column, den: Column, default: float | None = 0.0) -> Column:
     return F.when(q.isNull() | F.isnan(q) | (F.abs(q) == float("inf")), F.lit(default)).otherwise(q)
 
 
-def clip_lower(c: Column, lower: float = 0.0) -> Column:
-    return F.when(c.isNull(), c).otherwise(F.greatest(c, F.lit(lower)))
-
-
 def official_round(c: Column) -> Column:
     """Half-to-even to an integer, applied to the value rounded at 6 places so
     float noise of the fit cannot move a value off an exact half."""

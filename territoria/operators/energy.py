@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values: column names and order ---------------------------------
 PANEL_KEY = ("anio", "departamento", "tipo_vehiculo")
 SCENARIO_BASE_COLUMNS = [
     "anio", "anio_base", "horizonte_anios", "departamento", "tipo_vehiculo", "cantidad_ev",
@@ -22,6 +23,7 @@ ENERGY_COLUMNS = [
 ]
 FUTURE_COLUMNS = ["anio", "departamento", "tipo_vehiculo", "kwh_promedio", "potencia_carga",
                   "consumo_wh_km", "cantidad_ev_pred", "anio_base", "horizonte_anios"]
+# ---------------------------------------------------------------------------
 
 
 def distinct_predictions(predictions: DataFrame, keys: Sequence[str] = PANEL_KEY,

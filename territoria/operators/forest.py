@@ -17,6 +17,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .median import exact_median, most_frequent
+
 NUMERIC = ("anio", "kwh_promedio", "potencia_carga", "consumo_wh_km")
 CATEGORICAL = ("departamento", "tipo_vehiculo")
 FEATURES_A = ["anio", "departamento", "tipo_vehiculo"]
@@ -26,9 +28,9 @@ FEATURES_B = ["anio", "departamento", "tipo_vehiculo", "kwh_promedio", "potencia
 def imputation_stats(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """One row: exact median of each numeric and most frequent value of each
     categorical column (smallest value on a tie), fitted on ``train``."""
-    aggs = [F.median(F.col(c).cast("double")).alias(f"median_{c}") for c in numeric]
-    aggs += [F.mode(F.col(c), True).alias(f"mode_{c}") for c in categorical]
-    return train.agg(*aggs)
+    names = [(f"median_{c}", "double", exact_median(train, c)) for c in numeric]
+    names += [(f"mode_{c}", "string", most_frequent(train, c)) for c in categorical]
+    return train.sparkSession.createDataFrame([tuple(v for _, _, v in names)], ", ".join(f"{n} {t}" for n, t, _ in names))
 
 
 class ForestModel:
@@ -69,16 +71,16 @@ class ForestModel:
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], target: str, num_trees: int = 300,
-               seed: int = 42, max_depth: int = 30, aggregate_duplicates: bool = True,
+               seed: int = 42, max_depth: int = 30, instances: int | None = 32,
                max_memory_mb: int = 512) -> ForestModel:
     """Fit the preprocessing and a regression forest.
 
-    With ``aggregate_duplicates`` the training rows are first collapsed per
-    distinct (imputed) feature vector into (mean target, weight = count).
-    Rows with equal features always fall into the same leaf, so every split
-    gain and leaf mean is unchanged; only the bootstrap draws groups instead
-    of rows. The fit then scales with the number of distinct feature
-    vectors, not with the number of records.
+    Rows with equal (imputed) features always fall into the same leaf, so they
+    are reduced to their mean target. For the bootstrap a group of n rows stands
+    as min(n, ``instances``) instances that share its weight: groups up to that
+    size are drawn row by row as in an unreduced fit, larger ones vary a little
+    more than row by row. The fit scales with the number of distinct feature
+    vectors, not with the number of records; ``instances=None`` fits all rows.
     """
     numeric = [c for c in features if c in NUMERIC]
     categorical = [c for c in features if c in CATEGORICAL]
@@ -99,9 +101,11 @@ def fit_forest(train: DataFrame, features: Sequence[str], target: str, num_trees
     prepared = model._prep(train.where(F.col(target).isNotNull()))
     fcols = [f"_f_{c}" for c in numeric + categorical]
     weight = None
-    if aggregate_duplicates:
-        prepared = prepared.groupBy(*fcols).agg(F.avg(target).alias(target),
-                                                F.count(F.lit(1)).cast("double").alias("_w"))
+    if instances:
+        drawn = F.least(F.col("_n"), F.lit(instances))
+        prepared = (prepared.groupBy(*fcols).agg(F.avg(target).alias(target), F.count(F.lit(1)).alias("_n"))
+                    .withColumn("_w", F.col("_n") / drawn)
+                    .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), drawn))).drop("_n", "_i"))
         weight = "_w"
     rf = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol="_prediction",
                                numTrees=num_trees, seed=seed, minInstancesPerNode=1,

@@ -7,7 +7,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -169,14 +169,8 @@ def nearest_lookup(queries: DataFrame, reference: DataFrame, qid: str, qx: str,
     reference position. Query rows with a NULL or NaN
     coordinate get ``unknown``.
 
-    Nearest search is exact without any all-pairs join: reference points go
-    into square grid cells; each unresolved query looks at the 3x3 cells
-    around it and is resolved when the best distance is below the cell size
-    (no point outside the block can then be as close). Unresolved queries
-    move to a grid twice as coarse; the coarsest grid covers every point,
-    so every query resolves. The finest cell size is chosen from the data so
-    that no cell holds more than ``bucket_size`` reference points, which
-    bounds the candidates per query even in a dense hot spot.
+    Nearest search is exact without any all-pairs join; see
+    :func:`nearest_candidates`.
     """
     ref = _ref_table(reference, rx, ry, rvalue, rorder, decimals)
     ref = cut_lineage(ref)
@@ -188,36 +182,10 @@ def nearest_lookup(queries: DataFrame, reference: DataFrame, qid: str, qx: str,
     pending = q.where(F.col("_qx").isNotNull() & F.col("_qy").isNotNull()) \
         .join(exact.select("_qid"), "_qid", "left_anti").select("_qid", "_qx", "_qy")
 
-    st = ref.agg(F.count(F.lit(1)).alias("n"), F.min("_rx").alias("x0"), F.max("_rx").alias("x1"),
-                 F.min("_ry").alias("y0"), F.max("_ry").alias("y1")).first()
-    qst = pending.agg(F.min("_qx").alias("x0"), F.max("_qx").alias("x1"),
-                      F.min("_qy").alias("y0"), F.max("_qy").alias("y1")).first()
-    parts = [exact]
-    if st["n"] and qst["x0"] is not None:
-        x0, x1 = min(st["x0"], qst["x0"]), max(st["x1"], qst["x1"])
-        y0, y1 = min(st["y0"], qst["y0"]), max(st["y1"], qst["y1"])
-        span = max(x1 - x0, y1 - y0, 10.0 ** -decimals)
-        cell = max(span / max(1.0, math.sqrt(st["n"] / 4.0)), 10.0 ** -decimals)
-        # refine until the densest cell is bounded (rounded points are at
-        # least 10^-decimals apart, so this terminates)
-        while cell > 10.0 ** -decimals:
-            dense = (ref.groupBy(F.floor(F.col("_rx") / cell), F.floor(F.col("_ry") / cell))
-                     .count().agg(F.max("count")).first()[0])
-            if dense <= bucket_size:
-                break
-            cell = max(cell / 4.0, 10.0 ** -decimals)
-        levels = max(0, math.ceil(math.log2(span / cell))) + 1
-        for level in range(levels + 1):
-            g = cell * (2.0 ** level)
-            final = level == levels
-            found, pending = _grid_level(pending, ref, g, final)
-            parts.append(found)
-            if final:
-                break
-            pending = cut_lineage(pending)
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
+    pairs = nearest_candidates(pending, ref, decimals, bucket_size)
+    d = (F.col("_qx") - F.col("_rx")) ** 2 + (F.col("_qy") - F.col("_ry")) ** 2
+    near = pairs.groupBy("_qid").agg(F.min_by("_rv", F.struct(d, F.col("_ro"))).alias("_val"))
+    res = exact.unionByName(near.withColumn("_how", F.lit("cercana")))
     out_df = queries.join(res, queries[qid] == res["_qid"], "left").drop("_qid")
     val = F.col("_val").cast("string")
     return (out_df.withColumn(out, F.coalesce(val, F.lit(unknown)) if unknown is not None else val)
@@ -225,20 +193,56 @@ def nearest_lookup(queries: DataFrame, reference: DataFrame, qid: str, qx: str,
             .drop("_val", "_how"))
 
 
-def _grid_level(pending: DataFrame, ref: DataFrame, g: float, final: bool) -> tuple[DataFrame, DataFrame]:
-    offs = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    qc = (pending.withColumn("_cx", F.floor(F.col("_qx") / g)).withColumn("_cy", F.floor(F.col("_qy") / g))
-          .withColumn("_dx", F.explode(offs)).withColumn("_dy", F.explode(offs))
-          .withColumn("_bx", F.col("_cx") + F.col("_dx")).withColumn("_by", F.col("_cy") + F.col("_dy")))
-    rc = ref.withColumn("_bx", F.floor(F.col("_rx") / g)).withColumn("_by", F.floor(F.col("_ry") / g))
-    pairs = qc.join(rc, ["_bx", "_by"], "inner")
-    d = (F.col("_qx") - F.col("_rx")) ** 2 + (F.col("_qy") - F.col("_ry")) ** 2
-    best = pairs.groupBy("_qid").agg(F.min_by(F.struct(d.alias("d"), F.col("_rv").alias("v")),
-                                              F.struct(d, F.col("_ro"))).alias("_b"))
-    ok = F.lit(True) if final else (F.col("_b.d") < (g * (1 - 1e-9)) ** 2)
-    found = best.where(ok).select("_qid", F.col("_b.v").alias("_val"), F.lit("cercana").alias("_how"))
-    rest = pending.join(found.select("_qid"), "_qid", "left_anti")
-    return found, rest
+def nearest_candidates(queries: DataFrame, ref: DataFrame, decimals: int = 4, bucket_size: int = 64) -> DataFrame:
+    """Query rows (_qid, _qx, _qy) joined with the few reference points that can
+    be nearest, found by a descent through square cells.
+
+    All reference points are summarised once at every cell size from the whole
+    extent down to cells of at most ``bucket_size`` points (or the rounding
+    step). A query starts with the one coarsest cell and at every level keeps
+    those children whose nearest possible point is no farther than some
+    point certainly is in another child (by the cells' bounding boxes). A query
+    far from all points thus meets a few cells per level instead of all points.
+    """
+    step = 10.0 ** -decimals
+    st = ref.agg(F.count(F.lit(1)).alias("n"), F.min("_rx").alias("x0"), F.max("_rx").alias("x1"),
+                 F.min("_ry").alias("y0"), F.max("_ry").alias("y1")).first()
+    if not st["n"]:
+        return queries.join(ref, F.lit(False))
+    extent = max(st["x1"] - st["x0"], st["y1"] - st["y0"], step) * (1 + 1e-9)
+    deepest = max(0, math.ceil(math.log2(extent / step)))
+
+    def cell(level: int) -> list[Column]:
+        size = extent / 2 ** level
+        return [F.floor((F.col("_rx") - st["x0"]) / size).alias("_cx"), F.floor((F.col("_ry") - st["y0"]) / size).alias("_cy")]
+
+    depth = min(deepest, max(0, math.ceil(math.log2(max(1.0, math.sqrt(st["n"] / bucket_size))))))
+    while depth < deepest:
+        dense = ref.groupBy(*cell(depth)).count().agg(F.max("count")).first()[0]
+        if dense <= bucket_size:
+            break
+        depth = min(deepest, depth + 2)
+    kept = queries.withColumns({"_cx": F.lit(0).cast("long"), "_cy": F.lit(0).cast("long")})
+    per_query = Window.partitionBy("_qid")
+    for level in range(1, depth + 1):
+        boxes = ref.groupBy(*cell(level)).agg(
+            F.min("_rx").alias("_x0"), F.max("_rx").alias("_x1"), F.min("_ry").alias("_y0"), F.max("_ry").alias("_y1"))
+        children = boxes.withColumns({"_px": F.shiftright("_cx", 1), "_py": F.shiftright("_cy", 1)})
+        above = kept.withColumnsRenamed({"_cx": "_px", "_cy": "_py"})
+        both = above.join(children, ["_px", "_py"])
+        least, most = [], []
+        for q, lo, hi in (("_qx", "_x0", "_x1"), ("_qy", "_y0", "_y1")):
+            off = F.greatest(F.col(lo) - F.col(q), F.col(q) - F.col(hi), F.lit(0.0))
+            far = F.greatest(F.abs(F.col(q) - F.col(lo)), F.abs(F.col(q) - F.col(hi)))
+            least.append(off * off)
+            most.append(far * far)
+        ranked = both.select("_qid", "_qx", "_qy", "_cx", "_cy", (least[0] + least[1]).alias("_least"),
+                             F.min(most[0] + most[1]).over(per_query).alias("_most"))
+        kept = ranked.where(F.col("_least") <= F.col("_most") * (1 + 1e-9)).drop("_least", "_most")
+        if level % 3 == 0:
+            kept = cut_lineage(kept)
+    points = ref.select("*", *cell(depth))
+    return kept.join(points, ["_cx", "_cy"]).drop("_cx", "_cy")
 
 
 # ------------------------------------------------------------ J9 / J10 ----

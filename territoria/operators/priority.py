@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_avg, exact_sum
 from ..params import DEFAULT_WEIGHTS
-from .common import attach_one_row, cut_lineage
+from .common import attach_one_row
 from .ordinal import dense_rank_desc
 
 # --- fixed values (thresholds and texts of the reference) ------------------
@@ -19,8 +19,7 @@ OBS_BALANCED = "Prioridad balanceada"
 OBS_SUPPORT_GAP = "Alta demanda proyectada y brecha de soporte hidraulico"
 OBS_COVERAGE_GAP = "Alta demanda proyectada y baja cobertura hidraulica"
 OBS_LOW_PRESSURE = "Presion territorial baja en el escenario base"
-# ---------------------------------------------------------------------------
-
+# column names and order of the ranking and validation tables
 GIS_COLUMNS = [
     "departamento", "anio_min", "anio_max", "cantidad_ev", "cantidad_ev_modelada",
     "consumo_energetico", "demanda_futura", "total_activos_hidraulicos",
@@ -42,6 +41,7 @@ VALIDATION_COLUMNS = [
     "sin_soporte_hidraulico", "sin_cobertura_hidraulica", "consistencia_territorial_ok",
     "observacion_prioridad",
 ]
+# ---------------------------------------------------------------------------
 
 
 def department_snapshot(energy: DataFrame, dept: str = "departamento", time_col: str = "anio") -> DataFrame:
@@ -139,9 +139,7 @@ def build_priority_table(energy: DataFrame, assets: DataFrame, weights: dict[str
     """Department ranking table (25 columns), ordered by (rank, department)."""
     gis = demand_asset_join(department_snapshot(energy), asset_coverage(assets))
     gis = add_criteria(gis).withColumn("indice_prioridad_territorial", weighted_index(weights))
-    # department grain (bounded by the number of territories): written once so
-    # the rank's two reads do not re-run the snapshot, join and scaling
-    gis = dense_rank_desc(cut_lineage(gis), "indice_prioridad_territorial", "ranking_prioridad")
+    gis = dense_rank_desc(gis, "indice_prioridad_territorial", "ranking_prioridad")
     gis = (gis.withColumn("categoria_prioridad", priority_category(F.col("indice_prioridad_territorial")))
            .withColumn("anio_escenario", F.col("anio_max"))
            .withColumn("escenario_energetico_base", F.lit(scenario_label))

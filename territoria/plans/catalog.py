@@ -47,15 +47,20 @@ DIGITS = {"consumo_energetico": 2, "consumo_energetico_kwh": 2, "demanda_futura"
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles half-up on their shortest decimal form, so that two
-    engines whose sums differ in the last bit still print the same value."""
-    return df.select(*[F.round(F.col(f.name), DIGITS.get(f.name, digits)).alias(f.name)
+    engines whose sums differ in the last bit still print the same value. Three
+    more places are settled first: a sum that is a half but for its last bit is a half."""
+    def settled(c):
+        n = DIGITS.get(c, digits)
+        return F.round(F.round(F.col(c), n + 3), n)
+
+    return df.select(*[settled(f.name).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
 
 def sql_r6(body: str, cols: list[str], digits: int = 6) -> str:
-    rep = ", ".join(f"CAST(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 12)), {DIGITS.get(c, digits)}) "
-                    f"AS DOUBLE) AS {c}" for c in cols)
+    rep = ", ".join(f"CAST(round(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 12)), {DIGITS.get(c, digits) + 3}), "
+                    f"{DIGITS.get(c, digits)}) AS DOUBLE) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({body}) _q"
 
 
@@ -70,21 +75,22 @@ def _data(spark, d):
 
 
 def _preds(spark, d):
-    return cut_lineage(stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)[0])
+    return stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)[0]
 
 
 def _forecast(spark, d):
-    return cut_lineage(stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)[1])
+    return stage1_trend(_panel(spark, d), DEFAULT_HORIZONS)[1]
 
 
 def _energy(spark, d, sim=0.3):
     panel = _panel(spark, d)
     preds, fc = stage1_trend(panel, DEFAULT_HORIZONS)
-    return cut_lineage(en.build_energy_table(panel, cut_lineage(preds), cut_lineage(fc), sim))
+    return en.build_energy_table(panel, preds, fc, sim)
 
 
 def _flow(spark, d):
-    return run_flow(tb.registrations(spark, d), tb.assets(spark, d), FlowParams())
+    # the trend alone competes: forests have no SQL equivalent (forest_backtest has them)
+    return run_flow(tb.registrations(spark, d), tb.assets(spark, d), FlowParams(), with_forests=False)
 
 
 PANEL_D = ["cantidad_ev", "kwh_promedio", "potencia_carga", "consumo_wh_km"]
@@ -238,23 +244,16 @@ m AS (""" + BT_METRICS_SQL + """)
  SELECT (SELECT count(*) FROM train) AS train_rows, (SELECT count(*) FROM test) AS test_rows,
         CAST((SELECT cutoff FROM cut) AS INTEGER) AS cutoff_year,
         CAST((SELECT max(anio) FROM data) AS INTEGER) AS base_year,
-        'proyeccion_tendencial_grupo' AS selected_model,
-        'proyeccion_tendencial_grupo' AS future_forecast_method,
+        (SELECT list_sort(list(DISTINCT CAST(anio AS INTEGER))) FROM test) AS test_years,
+        [5, 10, 15, 20, 30] AS forecast_horizons_anios,
+        (SELECT list_sort(list(DISTINCT CAST(anio AS INTEGER))) FROM forecast) AS forecast_years,
+        m.model AS selected_model, 'proyeccion_tendencial_grupo' AS future_forecast_method,
+        ['anio', 'departamento', 'tipo_vehiculo'] AS selected_features,
         m.mae, m.rmse, m.r2 FROM m""", ["mae", "rmse", "r2"]))
 def q_backtest_run_summary(spark, d):
     data = _data(spark, d)
-    train, test = bt.split_temporal(data)
-    m = _trend_metrics(spark, d)
-    counts = data.agg(
-        F.count_if(F.col("anio") <= bt.cutoff_year(data)).alias("train_rows"),
-        F.count_if(F.col("anio") > bt.cutoff_year(data)).alias("test_rows"),
-        bt.cutoff_year(data).cast("int").alias("cutoff_year"),
-        F.max("anio").cast("int").alias("base_year"))
-    from ..operators.common import attach_one_row
-    out = attach_one_row(counts, m.select(F.lit(bt.MODEL_TREND).alias("selected_model"),
-                                          F.lit(tr.TREND_METHOD).alias("future_forecast_method"),
-                                          "mae", "rmse", "r2"))
-    return r6(out)
+    chosen = bt.select_model(_trend_metrics(spark, d)).first()["model"]
+    return r6(fl.run_summary(data, _forecast(spark, d), _trend_metrics(spark, d), chosen, DEFAULT_HORIZONS))
 
 
 @register("positional_holdout", sql_r6(S.with_(*BASE, S.DATA) + """
@@ -1019,79 +1018,49 @@ def q_streaming_daily_panel(spark, d):
 
 # ------------------------------------------------------------------ forests --
 from ..operators import forest as fr  # noqa: E402
-
-
-_FOREST_MEMO: dict = {}
-
-
-def _memo(kind, spark, d, fn):
-    """Fitted forests are reused by the queries of one application (the
-    model lives on the driver; its training data is the small panel)."""
-    key = (kind, spark.sparkContext.applicationId, d)
-    if key not in _FOREST_MEMO:
-        _FOREST_MEMO[key] = fn()
-    return _FOREST_MEMO[key]
+from ..operators.median import exact_median  # noqa: E402
+from . import flow as fl  # noqa: E402
 
 
 def _forest_backtest(spark, d):
-    return _memo("backtest", spark, d, lambda: _forest_backtest_fit(spark, d))
-
-
-def _forest_backtest_fit(spark, d):
-    data = _data(spark, d)
-    train, test = bt.split_temporal(data)
-    # the two fits are independent Spark ML jobs: submit them concurrently so
-    # their many small per-level stages overlap on the cluster
-    from concurrent.futures import ThreadPoolExecutor
-    train = cut_lineage(train)
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        fa = pool.submit(fr.fit_forest, train, fr.FEATURES_A, "cantidad_ev", 300)
-        fb = pool.submit(fr.fit_forest, train, fr.FEATURES_B, "cantidad_ev", 300)
-        ma, mb = fa.result(), fb.result()
-    trend = tr.fit_group_trend(train)
-    frame = tr.predict_group_trend(test, trend)
-    frame = ma.predict(frame, "cantidad_ev_pred_modelo_a")
-    frame = mb.predict(frame, "cantidad_ev_pred_modelo_b")
-    frame = cut_lineage(frame)
-    metrics = None
-    for name, col in ((bt.MODEL_A, "cantidad_ev_pred_modelo_a"), (bt.MODEL_B, "cantidad_ev_pred_modelo_b"),
-                      (bt.MODEL_TREND, "cantidad_ev_pred_tendencia")):
-        m = bt.error_metrics(frame, "cantidad_ev", col).select(F.lit(name).alias("model"), "mae", "rmse", "r2", "n")
-        metrics = m if metrics is None else metrics.unionByName(m)
-    best = bt.select_model(metrics)
-    return frame, metrics, best, {bt.MODEL_A: ma, bt.MODEL_B: mb}
+    return fl.backtest(_data(spark, d))
 
 
 @register("forest_backtest")
 def q_forest_backtest(spark, d):
-    frame, _, best, _ = _forest_backtest(spark, d)
-    name = best.first()["model"]
-    col = {bt.MODEL_A: "cantidad_ev_pred_modelo_a", bt.MODEL_B: "cantidad_ev_pred_modelo_b"}.get(
-        name, "cantidad_ev_pred_tendencia")
-    frame = (frame.withColumn("tipo_prediccion", F.lit("backtest"))
-             .withColumn("anio_base", F.lit(None).cast("int")).withColumn("horizonte_anios", F.lit(None).cast("int")))
-    return bt.finish_backtest(frame, F.col(col), F.lit(name))
+    return _forest_backtest(spark, d).predictions()
 
 
 @register("model_selection")
 def q_model_selection(spark, d):
-    return _forest_backtest(spark, d)[2]
+    tested = _forest_backtest(spark, d)
+    return tested.metrics.where(F.col("model") == tested.selected)
 
 
 @register("feature_importance")
 def q_feature_importance(spark, d):
-    _, _, best, models = _forest_backtest(spark, d)
-    name = best.first()["model"]
-    if name not in models:  # the trend won: no forest, empty importance table
-        return spark.createDataFrame([], "feature string, importance double")
-    return models[name].feature_importance(spark)
+    return _forest_backtest(spark, d).importance()
 
 
-def _holdout(spark, d):
-    return _memo("holdout", spark, d, lambda: _holdout_fit(spark, d))
+@register("forecast_with_forests")
+def q_forecast_with_forests(spark, d):
+    data = _data(spark, d)
+    return fl.forecast(data, DEFAULT_HORIZONS, fl.backtest(data).models)
+
+
+@register("given_model_selection", """
+SELECT * FROM (
+  SELECT event_type AS model, sqrt(avg(value * value)) AS rmse, count(*) AS n FROM events GROUP BY event_type) q
+ORDER BY round(rmse, 6), model LIMIT 1""".replace("SELECT * FROM (", "SELECT model, round(rmse, 6) AS rmse, n FROM ("))
+def q_given_model_selection(spark, d):
+    ev = tb.read_table(spark, d, "events")
+    metrics = ev.groupBy(F.col("event_type").alias("model")).agg(
+        F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    names = sorted(r[0] for r in metrics.select("model").collect())
+    return bt.select_model(metrics, priority={m: i for i, m in enumerate(names)})
 
 
-def _holdout_fit(spark, d):
+def _holdout(spark, d):
     reg = tb.registrations(spark, d)
     rows = reg.select("anio", "departamento", "tipo_vehiculo", "cantidad_ev", "kwh_promedio", "potencia_carga",
                       "l_orderkey", "l_linenumber").dropna(subset=["anio", "departamento", "tipo_vehiculo",
@@ -1114,15 +1083,13 @@ def q_holdout_forest(spark, d):
 @register("holdout_energy")
 def q_holdout_energy(spark, d):
     pred, reg = _holdout(spark, d)
-    med = reg.agg(F.median("kwh_promedio").alias("_mk"), F.median("potencia_carga").alias("_mp"))
-    from ..operators.common import attach_one_row
-    out = attach_one_row(pred, med)
-    out = (out.withColumn("kwh_promedio", F.coalesce("kwh_promedio", "_mk"))
-           .withColumn("potencia_carga", F.coalesce("potencia_carga", "_mp"))
+    measures = cut_lineage(reg.select("kwh_promedio", "potencia_carga"))
+    out = (pred.withColumn("kwh_promedio", F.coalesce("kwh_promedio", F.lit(exact_median(measures, "kwh_promedio"))))
+           .withColumn("potencia_carga", F.coalesce("potencia_carga", F.lit(exact_median(measures, "potencia_carga"))))
            .withColumn("simultaneidad", F.lit(0.3))
            .withColumn("consumo_energetico", F.col("cantidad_ev_pred") * F.col("kwh_promedio"))
            .withColumn("demanda_futura", F.col("cantidad_ev_pred") * F.col("potencia_carga") * F.col("simultaneidad")))
-    return out.drop("_mk", "_mp")
+    return out
 
 
 OVERRIDE_SQL = sql_r6("WITH " + COMPLETED_SQL + f""",

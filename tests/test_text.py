@@ -14,10 +14,6 @@ def test_coerce_numeric(spark):
     assert got == [3.0, 3.0, 1000.0, None, None, None, None]
 
 
-def test_coerce_int_through_double(spark):
-    assert col1(spark, ["2052.0", "2052", "2052.5"], nu.coerce_int) == [2052, 2052, None]
-
-
 def test_normalize_territory(spark):
     got = col1(spark, [" Bogotá ", "GUAJIRA", "San  Andrés y Providencia", None, "São",
                        " bogota\n", "BOGOTÁ D.C."], tx.normalize_territory)
@@ -52,3 +48,14 @@ def test_color_bin(spark):
 
 def test_pressure_radius(spark):
     assert col1(spark, [100.0, 4000.0, None], nu.pressure_radius, "double") == [5000.0, 8000.0, 5000.0]
+
+
+def test_fold_beyond_latin(spark):
+    texts = ["Йод", "Άλφα", "ＡＢＣ", "한", "ﬁn ½", "e\u0301", "São Paulo", "Ñandú ß", "\u0130x", None]
+    got = col1(spark, texts, tx.fold_accents)
+    want = [tx.unaccented(t.strip().upper()) if t is not None else "" for t in texts]
+    assert got == want and got[0] == "ИОД" and got[2] == "ABC"
+
+
+def test_strip_keeps_inner_blanks_fast(spark):
+    assert col1(spark, ["\u2003 a" + " " * 20000 + "b \u00a0"], tx.strip_ws) == ["a" + " " * 20000 + "b"]
