@@ -25,31 +25,23 @@ def ordinal_within_key(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     """Add ``out`` = 1-based position of each row inside its key, following
     ``order`` (which must be a total order inside a key, e.g. ending with a
     unique id). ``keys`` may be empty for a global numbering."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(keys)
-    order = list(order)
-    pid = "_tt_pid"
-    ranged = df.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order) \
-        .withColumn(pid, F.spark_partition_id())
-    # The partition id is only meaningful for one execution of the range
-    # exchange, so the numbered slices are written once (reliable checkpoint
-    # in the shared folder) and both the counts and the join read that copy.
-    local = cut_lineage(ranged.withColumn(
-        "_tt_lrn", F.row_number().over(Window.partitionBy(pid, *keys).orderBy(*order))))
-    counts = local.groupBy(*keys, pid).agg(F.count(F.lit(1)).alias("_tt_cnt"))
-    offsets_w = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1) \
-        if keys else Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_tt_off", F.coalesce(F.sum("_tt_cnt").over(offsets_w), F.lit(0))) \
-        .drop("_tt_cnt")
-    offsets = offsets.select(*[F.col(k).alias("_tt_k_" + k) for k in keys],
-                             F.col(pid).alias("_tt_k_pid"), "_tt_off")
-    cond = local[pid] == offsets["_tt_k_pid"]
+    keys, order = list(keys), list(order)
+    by = [F.col(k).asc_nulls_first() for k in keys] + order
+    ranged = df.repartitionByRange(num_partitions, *by) if num_partitions else df.repartitionByRange(*by)
+    # a slice is sorted, so a row's id counts up within it and a key's rows are
+    # consecutive; the numbered slices are written once (reliable checkpoint),
+    # because both the counts and the join must read the same slices
+    local = cut_lineage(ranged.sortWithinPartitions(*by).withColumn("_tt_id", F.monotonically_increasing_id()))
+    local = local.withColumn("_tt_pid", F.shiftright("_tt_id", 33))
+    counts = local.groupBy(*keys, "_tt_pid").agg(F.count(F.lit(1)).alias("_tt_cnt"), F.min("_tt_id").alias("_tt_first"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_tt_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias("_tt_k_" + k) for k in keys], F.col("_tt_pid").alias("_tt_k_pid"),
+                            (F.coalesce(F.sum("_tt_cnt").over(before), F.lit(0)) - F.col("_tt_first") + 1).alias("_tt_off"))
+    cond = local["_tt_pid"] == offsets["_tt_k_pid"]
     for k in keys:
         cond = cond & local[k].eqNullSafe(offsets["_tt_k_" + k])
-    joined = local.join(offsets, cond, "inner")
-    return joined.withColumn(out, (F.col("_tt_off") + F.col("_tt_lrn")).cast("long")) \
-        .drop(pid, "_tt_lrn", "_tt_off", "_tt_k_pid", *["_tt_k_" + k for k in keys])
+    return (local.join(offsets, cond).withColumn(out, F.col("_tt_id") + F.col("_tt_off"))
+            .drop("_tt_pid", "_tt_id", "_tt_off", "_tt_k_pid", *["_tt_k_" + k for k in keys]))
 
 
 def dense_rank_desc(df: DataFrame, score: str, out: str, decimals: int | None = None) -> DataFrame:

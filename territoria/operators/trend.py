@@ -14,37 +14,30 @@ TREND_METHOD = "proyeccion_tendencial_grupo"
 
 
 def fit_group_trend(df: DataFrame, series: Sequence[str] = SERIES, time_col: str = "anio",
-                    value: str = "cantidad_ev") -> DataFrame:
+                    value: str = "cantidad_ev", origin: float = 2000.0) -> DataFrame:
     """Least-squares line value ~ time per series (degree-1 fit).
 
     Values are first summed per (series, time). Series with fewer than two
     distinct times get slope 0 and intercept = the value at the last time;
     series without a valid time get 0/0. The line comes from the power sums
-    (n, sum x, sum y, sum xy, sum xx): algebraic aggregates combined
-    map-side, so a hot series never lands whole in one task.
+    (n, sum x, sum y, sum xy, sum xx) of times measured from ``origin``:
+    algebraic aggregates combined map-side, so a hot series never lands whole
+    in one task, and exact for integer data of any realistic size, so the
+    order of partial sums does not show. Times that are NULL stay out of the sums.
     """
     series = list(series)
-    t = F.col(time_col).cast("double")
     yearly = df.groupBy(*series, time_col).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_y"))
-    y = F.col("_y")
-    # power sums of the points (x = time, y = value); exact for integer data,
-    # so the line does not depend on the order partial sums are combined
-    n = F.count(t)
-    sums = yearly.where(F.col(time_col).isNotNull()).groupBy(*series).agg(
-        n.cast("double").alias("_n"), F.sum(t).alias("_sx"), F.sum(y).alias("_sy"),
+    t = F.col(time_col).cast("double") - origin
+    y = F.when(t.isNotNull(), F.col("_y"))
+    sums = yearly.groupBy(*series).agg(
+        F.count(t).alias("n_years"), F.sum(t).alias("_sx"), F.sum(y).alias("_sy"),
         F.sum(t * y).alias("_sxy"), F.sum(t * t).alias("_sxx"), F.max_by(y, t).alias("_last"))
-    nn, sx, sy, sxy, sxx = (F.col(c) for c in ("_n", "_sx", "_sy", "_sxy", "_sxx"))
-    slope = (nn * sxy - sx * sy) / (nn * sxx - sx * sx)
-    fitted = sums.withColumn("slope", F.when(nn >= 2, slope).otherwise(F.lit(0.0)))
-    fitted = fitted.withColumn(
-        "intercept", F.when(nn >= 2, (sy - F.col("slope") * sx) / nn).otherwise(F.col("_last")))
-    # series whose times are all NULL still get a (0, 0) line
-    keys = yearly.select(*series).distinct()
-    out = keys.join(fitted, [keys[c].eqNullSafe(fitted[c]) for c in series], "left")
-    return out.select(*[keys[c] for c in series],
-                      F.coalesce(F.col("slope"), F.lit(0.0)).alias("slope"),
-                      F.coalesce(F.col("intercept"), F.lit(0.0)).alias("intercept"),
-                      F.coalesce(nn.cast("long"), F.lit(0)).alias("n_years"))
+    n, sx, sy, sxy, sxx = (F.col(c).cast("double") for c in ("n_years", "_sx", "_sy", "_sxy", "_sxx"))
+    line = F.col("n_years") >= 2
+    fitted = sums.withColumn("slope", F.when(line, (n * sxy - sx * sy) / (n * sxx - sx * sx)).otherwise(F.lit(0.0)))
+    level = (sy - F.col("slope") * sx) / n - F.col("slope") * origin
+    return fitted.select(*series, "slope", F.when(line, level).otherwise(F.coalesce("_last", F.lit(0.0))).alias("intercept"),
+                         "n_years")
 
 
 def predict_group_trend(target: DataFrame, trend: DataFrame, series: Sequence[str] = SERIES,

@@ -506,11 +506,8 @@ def q_pressure_radius(spark, d):
     return r6(md.pressure_circles(_points(spark, d)))
 
 
-def _boundaries(spark, d):
-    """Department shapes derived from the nation table: a small square around
-    each nation's synthetic centre, written as GeoJSON (one feature per
-    line) to the shared scratch folder and read back by the source."""
-    n = tb.read_table(spark, d, "nation")
+def _boundary_features(n):
+    """Rows of nation with a GeoJSON feature: a small square around its synthetic centre."""
     lat, lon = tb.synthetic_lat(F.col("n_nationkey")), tb.synthetic_lon(F.col("n_nationkey"))
     ring = F.array(*[F.array(lon + dx, lat + dy) for dx, dy in
                      [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5)]])
@@ -518,8 +515,14 @@ def _boundaries(spark, d):
                               F.struct(F.lower("n_name").alias("shapeName")).alias("properties"),
                               F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
                               .alias("geometry")))
+    return n.select("n_regionkey", feat.alias("feature"))
+
+
+def _boundaries(spark, d):
+    """Department shapes, written as GeoJSON (one feature per line) to the
+    shared scratch folder and read back by the source."""
     path = scratch_path(spark, "boundaries")
-    io_.write_geojson_lines(n.select(feat.alias("feature")), path)
+    io_.write_geojson_lines(_boundary_features(tb.read_table(spark, d, "nation")).select("feature"), path)
     return io_.read_boundaries(spark, path)
 
 
@@ -1016,6 +1019,119 @@ def q_streaming_daily_panel(spark, d):
     return r6(out)
 
 
+@register("yearly_payload_entries", S.with_(*MAPS) + PAYLOAD_SQL + " SELECT * FROM flat")
+def q_yearly_payload_entries(spark, d):
+    """The nested payload taken apart again: its keys and values hold every flat row."""
+    nested = q_yearly_payload(spark, d)
+    return nested.select("departamento", F.explode("metricas_por_anio").alias("anio", "m")).select(
+        "departamento", F.col("anio").cast("int").alias("anio"), "m.*")
+
+
+@register("geojson_features", sql_r6(S.with_(*FLOW) + """
+ SELECT departamento, longitud AS x, latitud AS y, ranking_prioridad FROM gis
+ WHERE latitud IS NOT NULL AND longitud IS NOT NULL""", ["x", "y"]))
+def q_geojson_features(spark, d):
+    """Written features read back: geometry and two properties."""
+    path = scratch_path(spark, "points")
+    io_.write_geojson_lines(io_.geojson_point_features(_flow(spark, d).priority), path)
+    f = spark.read.schema("properties struct<departamento: string, ranking_prioridad: int>, "
+                          "geometry struct<type: string, coordinates: array<double>>").json(path)
+    return r6(f.select("properties.departamento", F.col("geometry.coordinates")[0].alias("x"),
+                       F.col("geometry.coordinates")[1].alias("y"), "properties.ranking_prioridad"))
+
+
+@register("boundary_collection", _boundary_sql())
+def q_boundary_collection(spark, d):
+    """Boundaries from one FeatureCollection document per region."""
+    n = tb.read_table(spark, d, "nation")
+    path = scratch_path(spark, "collections")
+    docs = _boundary_features(n).groupBy("n_regionkey").agg(F.concat(
+        F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
+    docs.select("value").write.text(path)
+    return io_.read_boundaries(spark, path, multiline=True)
+
+
+@register("light_headers", """
+SELECT c_custkey AS "código_cliente", c_name AS "nombre__del_cliente", c_nationkey AS "nación-clave",
+       c_acctbal AS "saldo_(cop)", c_mktsegment AS segmento_de_mercado FROM customer""")
+def q_light_headers(spark, d):
+    c = tb.read_table(spark, d, "customer")
+    return io_.normalize_headers(c.select(*[F.col(k).alias(v) for k, v in MESSY_HEADERS.items()]), mode="light")
+
+
+@register("required_scan", "SELECT c_custkey, c_name FROM customer")
+def q_required_scan(spark, d):
+    return tb.table_if_exists(spark, "sin_catalogo_customer", f"{d}/customer.parquet", required=True).select("c_custkey", "c_name")
+
+
+@register("resolved_simultaneity", """
+SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 0.9 WHEN lower(split_part(o_orderpriority, '-', 2)) = 'high' THEN 0.5
+       WHEN lower(split_part(o_orderpriority, '-', 2)) = 'medium' THEN 0.25 ELSE 0.3 END AS simultaneidad FROM orders""")
+def q_resolved_simultaneity(spark, d):
+    o = tb.read_table(spark, d, "orders")
+    p = FlowParams(scenarios={"high": 0.5, "medium": 0.25})
+    name = F.lower(F.get(F.split("o_orderpriority", "-"), F.lit(1)))
+    return o.select("o_orderkey", p.simultaneity_of(name, F.when(F.col("o_totalprice") < 1000, 0.9)).alias("simultaneidad"))
+
+
+@register("resolved_weights", """
+SELECT s_suppkey, round(0.7 * s_acctbal + 0.3 * s_nationkey + 0.05 * s_suppkey, 6) AS indice FROM supplier""")
+def q_resolved_weights(spark, d):
+    s = tb.read_table(spark, d, "supplier")
+    p = FlowParams.configured({"weights": {"demanda": "0.7", "otro": 9}})
+    index = p.weighted({"demanda": F.col("s_acctbal"), "crecimiento_ev": F.col("s_nationkey"),
+                        "cobertura_hidraulica": F.col("s_suppkey")})
+    return s.select("s_suppkey", F.round(index, 6).alias("indice"))
+
+
+@register("waterfall_lookup_limit", "SELECT q.* FROM (" + WATERFALL_SQL + """) q
+ JOIN (SELECT c_custkey, c_acctbal < 0 AND row_number() OVER (PARTITION BY c_acctbal < 0 ORDER BY c_custkey) <= 50 AS tried,
+              c_acctbal < 0 AS lacking FROM customer) c ON q.c_custkey = c.c_custkey WHERE tried OR NOT lacking""")
+def q_waterfall_lookup_limit(spark, d):
+    """At most 50 rows are looked up (the feature's own limit); those beyond it are left out here."""
+    cg, qs = _lookup_rows(spark, d)
+    out = pl.waterfall_lookup(cg, rl.gazetteer(spark, d), "c_custkey", qs, limit=50)
+    lacking = tb.read_table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")
+    beyond = lacking.join(lacking.orderBy("c_custkey").limit(50), "c_custkey", "left_anti")
+    return out.join(beyond, "c_custkey", "left_anti").select("c_custkey", "latitud", "longitud", "geocoding_query", "geocoding_source")
+
+
+def _result_roundtrip(spark, d, part, table):
+    df = getattr(_flow(spark, d), part)
+    return r6(io_.refresh_catalog_table(spark, df, table, scratch_path(spark, table), "territoria_resultados"))
+
+
+@register("result_scenarios", ORACLE["scenario_fanout"])
+def q_result_scenarios(spark, d):
+    return _result_roundtrip(spark, d, "scenarios", "demanda_energetica_escenarios")
+
+
+@register("result_ranking", ORACLE["priority_flow"])
+def q_result_ranking(spark, d):
+    return _result_roundtrip(spark, d, "priority", "priorizacion_territorial")
+
+
+@register("result_validation", ORACLE["priority_validation"])
+def q_result_validation(spark, d):
+    return _result_roundtrip(spark, d, "validation", "validacion_etapa3")
+
+
+@register("saved_output_tables", """
+SELECT unnest(['demanda_energetica', 'demanda_energetica_escenarios', 'etapa1_temporal',
+               'etapa1_temporal_predicciones', 'etapa2_energetico', 'etapa3_gis', 'forecast_ev',
+               'priorizacion_territorial', 'temporal_model_input', 'validacion_etapa3']) AS tabla""")
+def q_saved_output_tables(spark, d):
+    """The output stage writes all tables; their names as read back from what was written."""
+    from .outputs import save_outputs
+    folder = scratch_path(spark, "outputs")
+    save_outputs(spark, _flow(spark, d), folder)
+    read = None
+    for table in io_.RESULT_SCHEMAS:
+        one = spark.read.parquet(f"{folder}/{table}").limit(1).select(F.lit(table).alias("tabla"))
+        read = one if read is None else read.unionByName(one)
+    return read
+
+
 # ------------------------------------------------------------------ forests --
 from ..operators import forest as fr  # noqa: E402
 from ..operators.median import exact_median  # noqa: E402

@@ -2,10 +2,11 @@
 the reference itself has no stream).
 
 Events arrive as Parquet files; the stream aggregates them per (day,
-category) with a watermark on the event time, and every micro-batch
-replaces the (bounded: days x categories) aggregate table in the shared
-folder via ``foreachBatch``. The checkpoint of the stream lives next to it,
-so a restarted query resumes where it stopped.
+category) with a watermark on the event time, which also bounds the state.
+Every micro-batch writes the groups it changed to a folder of its own; the
+table is the last version of every group. A batch that is run again after a
+failure replaces its own folder, and a restarted query resumes from the
+stream's checkpoint.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ def daily_event_panel_stream(spark: SparkSession, source_dir: str, file_glob: st
            .agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("valor_total"),
                 F.count(F.lit(1)).alias("eventos")))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         (batch.select(F.to_date(F.col("w.start")).alias("dia"), "event_type", "valor_total", "eventos")
-         .write.mode("overwrite").parquet(out_path))
+         .write.mode("overwrite").parquet(f"{out_path}/lote={epoch}"))
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    last = F.max_by(F.struct("valor_total", "eventos"), F.col("lote")).alias("v")
+    return spark.read.parquet(out_path).groupBy("dia", "event_type").agg(last).select("dia", "event_type", "v.*")

@@ -126,3 +126,51 @@ def test_refresh_catalog_table_overwrites(spark, tmp_path):
         raise AssertionError("unknown table accepted")
     except ValueError:
         pass
+
+
+def test_nearest_lookup_nan_is_unknown(spark):
+    ref = spark.createDataFrame([(0.0, 0.0, "A", 1), (float("nan"), 0.0, "N", 2)], "x double, y double, v string, o long")
+    q = spark.createDataFrame([(1, float("nan"), 0.0), (2, 1.0, 1.0)], "id long, x double, y double")
+    out = {r.id: r.valor for r in pl.nearest_lookup(q, ref, "id", "x", "y", "x", "y", "v", "o").collect()}
+    assert out == {1: "UNKNOWN", 2: "A"}
+
+
+def test_nearest_candidates_of_outliers_are_few(spark):
+    rnd = random.Random(5)
+    refs = [(rnd.uniform(0, 1), rnd.uniform(0, 1), str(i), i) for i in range(4000)]
+    ref = pl._ref_table(spark.createDataFrame(refs, "x double, y double, v string, o long"), "x", "y", "v", "o", 4)
+    q = spark.createDataFrame([(i, rnd.uniform(50, 90), rnd.uniform(-90, -50)) for i in range(200)],
+                              "_qid long, _qx double, _qy double")
+    pairs = pl.nearest_candidates(q, ref)
+    assert pairs.select("_qid").distinct().count() == 200
+    assert pairs.count() <= 200 * 64 * 9  # not 200 * 4000
+
+
+def test_waterfall_hit_replaces_both_coordinates(spark):
+    rows = spark.createDataFrame([(1, "p", 9.0, None), (2, "q", 9.0, None), (3, "p", 1.0, 2.0)],
+                                 "id long, k string, latitud double, longitud double")
+    gaz = spark.createDataFrame([("p", 4.0, 5.0, "P")], "query string, latitud double, longitud double, display_name string")
+    out = {r.id: (r.latitud, r.longitud) for r in pl.waterfall_lookup(rows, gaz, "id", F.array("k")).collect()}
+    assert out == {1: (4.0, 5.0), 2: (9.0, None), 3: (1.0, 2.0)}
+
+
+def test_cache_upsert_first_row_wins(spark):
+    cache = spark.createDataFrame([("a", 1.0)], "query string, latitud double")
+    new = spark.createDataFrame([("a", 9.0), ("b", 3.0), ("b", 2.0)], "query string, latitud double")
+    assert sorted(map(tuple, pl.cache_upsert(cache, new).collect())) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_scan_refuses_bad_cells(spark, tmp_path):
+    import pytest
+    (tmp_path / "t.csv").write_text("a,b\n1,2\nx,3\n")
+    with pytest.raises(Exception):
+        io_.scan_csv(spark, str(tmp_path / "t.csv"), "a int, b int").collect()
+
+
+def test_unreadable_table_is_an_error_and_a_missing_one_is_none(spark, tmp_path):
+    import pytest
+    from territoria.sources.tables import table_if_exists
+    assert table_if_exists(spark, "no_such_table", str(tmp_path / "none.parquet")) is None
+    (tmp_path / "bad.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        table_if_exists(spark, "no_such_table", str(tmp_path / "bad.parquet")).collect()
