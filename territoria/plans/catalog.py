@@ -1047,7 +1047,7 @@ def q_boundary_collection(spark, d):
     path = scratch_path(spark, "collections")
     docs = _boundary_features(n).groupBy("n_regionkey").agg(F.concat(
         F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
-    docs.select("value").write.text(path)
+    docs.write.partitionBy("n_regionkey").text(path)  # one document per file
     return io_.read_boundaries(spark, path, multiline=True)
 
 
@@ -1065,8 +1065,8 @@ def q_required_scan(spark, d):
 
 
 @register("resolved_simultaneity", """
-SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 0.9 WHEN lower(split_part(o_orderpriority, '-', 2)) = 'high' THEN 0.5
-       WHEN lower(split_part(o_orderpriority, '-', 2)) = 'medium' THEN 0.25 ELSE 0.3 END AS simultaneidad FROM orders""")
+SELECT o_orderkey, CAST(CASE WHEN o_totalprice < 1000 THEN 0.9 WHEN lower(split_part(o_orderpriority, '-', 2)) = 'high' THEN 0.5
+       WHEN lower(split_part(o_orderpriority, '-', 2)) = 'medium' THEN 0.25 ELSE 0.3 END AS DOUBLE) AS simultaneidad FROM orders""")
 def q_resolved_simultaneity(spark, d):
     o = tb.read_table(spark, d, "orders")
     p = FlowParams(scenarios={"high": 0.5, "medium": 0.25})
