@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_avg, exact_sum
 from ..params import DEFAULT_WEIGHTS
-from .common import attach_one_row
+from .common import attach_one_row, cut_lineage
 from .ordinal import dense_rank_desc
 
 # --- fixed values (thresholds and texts of the reference) ------------------
@@ -139,7 +139,8 @@ def build_priority_table(energy: DataFrame, assets: DataFrame, weights: dict[str
     """Department ranking table (25 columns), ordered by (rank, department)."""
     gis = demand_asset_join(department_snapshot(energy), asset_coverage(assets))
     gis = add_criteria(gis).withColumn("indice_prioridad_territorial", weighted_index(weights))
-    gis = dense_rank_desc(gis, "indice_prioridad_territorial", "ranking_prioridad")
+    # department grain: written once, because the rank reads it three times
+    gis = dense_rank_desc(cut_lineage(gis), "indice_prioridad_territorial", "ranking_prioridad")
     gis = (gis.withColumn("categoria_prioridad", priority_category(F.col("indice_prioridad_territorial")))
            .withColumn("anio_escenario", F.col("anio_max"))
            .withColumn("escenario_energetico_base", F.lit(scenario_label))

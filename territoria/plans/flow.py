@@ -1,8 +1,9 @@
 """The composite flow: panel -> backtest + forecast -> energy -> scenarios ->
 department ranking -> validation.
 
-The panel is written once to the shared checkpoint folder; with forests the
-backtest frame too, because the model choice reads it. All else is lazy.
+The panel and the unranked department table are written once to the shared
+checkpoint folder; with forests the backtest frame too, because the model
+choice reads it. All else is lazy.
 """
 
 from __future__ import annotations

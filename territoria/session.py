@@ -3,12 +3,15 @@ scratch folder (``spark.checkpoint.dir``) used for lineage cuts and sinks."""
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+log = logging.getLogger(__name__)
+
 # Conservative defaults for the shuffle-heavy operators; AQE coalesces small
 # partitions and splits skewed join partitions at run time.
 DEFAULT_CONF = {
@@ -48,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") and str(sc.getConf().get("spark.checkpoint.dir", "")).startswith("file:"):
+        log.warning("spark.checkpoint.dir is a file: path; it must be a mount that all executors share")
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         sc.setCheckpointDir(configured)
