@@ -285,7 +285,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
              .repartition("anchor").sortWithinPartitions("anchor", "low")
              .mapInArrow(Shards(), f"anchor bigint, body_key bigint, ranges {RANGES_SQL}"))
     found = small.unionByName(repeated_in_large_shards(shards.where(F.col("n") > SHARD)))
-    least = bodies.select("anchor", "body_key", "low").join(found, ["anchor", "body_key"], "left")
+    # written, so that both sides of the next join are shuffled and a common segment can be split
+    least = cut(bodies.select("anchor", "body_key", "low").join(found, ["anchor", "body_key"], "left"))
     own = segments.select("anchor", "body_key", "doc", "text_key", "start", "windows").join(least, ["anchor", "body_key"])
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), (F.col("windows") - 1).alias("hi")))
     ranges = F.when(F.col("doc") > F.col("low"), whole).otherwise(F.col("ranges"))
