@@ -77,7 +77,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
                            F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")).alias("hub")))
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub")
+    # written, so that both sides of the join are shuffled and a large group can be split
+    groups = cut(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"))
     linked = cut(rows.select("row", "part", "hub").join(groups, "hub"))
     start = ordinals(linked.select("row", "part"), [], "k").select(
         F.col("row").alias("id"), F.expr(f"cast(k % {shards} as int)").alias("shard"))
