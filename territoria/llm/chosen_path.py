@@ -152,7 +152,8 @@ def leaves(classes: DataFrame) -> DataFrame:
     for depth in range(FIRST, DEPTH + 1):
         nodes = rows.mapInArrow(Nodes(depth), "rep bigint, run int, node bigint")
         nodes = cut(nodes) if depth == FIRST else nodes
-        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # written, so that both sides of the join are shuffled and a large node can be split
+        counts = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         shared = cut(nodes.join(counts, "node"))
         leaf = shared if depth == DEPTH else shared.where(F.col("n") <= LEAF)
         out = leaf if out is None else out.unionByName(leaf)
@@ -351,7 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
              .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
              .select("h1", "h2", "weight", "links", "docs", F.coalesce("root", "rep").alias("root")))
     rows = sketch.drop("marks", "short").join(named, ["h1", "h2"], "left")
-    smallest = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    smallest = cut(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")))
     none = F.lit(0).cast("bigint")
     return rows.join(smallest, "root", "left").select(
         "doc_id", "text_key", "row", F.col("size").alias("n_shingles"),

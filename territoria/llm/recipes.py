@@ -64,8 +64,9 @@ def recipes(docs: DataFrame, ident: Callable[[Column], Column] = chunk_id) -> Da
 def exact_duplicates(docs: DataFrame, ident: Callable[[Column], Column] = chunk_id) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_key."""
     rec = cut(recipes(docs, ident))
-    groups = rec.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"),
-                                       F.count(F.lit(1)).alias("group_size"))
+    # written, so that both sides of the join are shuffled and a large group can be split
+    groups = cut(rec.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"),
+                                           F.count(F.lit(1)).alias("group_size")))
     return rec.join(groups, "recipe").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "text_key")
