@@ -158,22 +158,27 @@ class Units:
                 new = np.where(near[j] >= FAINT, near[j], 0).astype(np.float32)
                 self.known[u] = new if old is None else np.maximum(old, new)
 
-    def sentences(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text, one row of similarities per sentence with any."""
+    def loud_sentences(self, texts: list[str]) -> Iterator[list[list[str]]]:
+        """For each text, the units with any similarity of every sentence that has some."""
         texts = [t.lower() for t in texts]
         words = [t.split() for t in texts]
         spelled = [[_INNER.sub("", m[0]) for m in _SPELLED.finditer(t)] for t in texts]
         self.learn({u for w in words for u in w}.union(*spelled))
-        known, out = self.known, []
+        known = self.known
         for text, own, runs in zip(texts, words, spelled):
-            rows = [known[u] for u in runs if known[u] is not None]
+            out = [[u] for u in runs if known[u] is not None]
             if any(known[u] is not None for u in set(own)):
                 for sentence in _SENTENCE.split(text):
-                    near = [v for u in sentence.split() if (v := known.get(u)) is not None]
+                    near = [u for u in sentence.split() if known.get(u) is not None]
                     if near:
-                        rows.append(np.max(near, axis=0))
-            out.append(np.array(rows, dtype=np.float32).reshape(len(rows), len(self.landmarks.strings)))
-        return out
+                        out.append(near)
+            yield out
+
+    def sentences(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text, one row of similarities per sentence with any."""
+        width = len(self.landmarks.strings)
+        return [np.array([np.max([self.known[u] for u in near], axis=0) for near in loud],
+                         dtype=np.float32).reshape(len(loud), width) for loud in self.loud_sentences(texts)]
 
 
 @dataclass
@@ -191,8 +196,8 @@ class Model:
         out = np.sort((rows @ self.weights))[::-1][:TOP]
         return np.r_[np.maximum(out, 0.0), np.zeros(TOP - len(out))] + self.bias
 
-    def score(self, rows: np.ndarray) -> float:
-        return float(logistic(self.margins(rows) @ self.slope + self.shift))
+    def score(self, margins: np.ndarray) -> float:
+        return float(logistic(margins @ self.slope + self.shift))
 
 
 def inverse_root(kernel: np.ndarray) -> np.ndarray:
@@ -201,18 +206,21 @@ def inverse_root(kernel: np.ndarray) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Primal squared-hinge machine by Newton steps. Last: bias."""
-    x1 = np.c_[x, np.ones(len(x))]
-    weigh = np.full(len(x), cost)
-    ridge = np.diag(np.r_[np.ones(x.shape[1]), 1e-6])
-    w = np.zeros(x1.shape[1])
-    for _ in range(rounds):
-        active = y * (x1 @ w) < 1
-        a = x1[active] * weigh[active, None]
-        new = np.linalg.solve(x1[active].T @ a + ridge, a.T @ y[active])
+    """Primal squared-hinge machine by Newton steps, in blocks of rows. Last: bias."""
+    size = x.shape[1] + 1
+    ridge = np.diag(np.r_[np.ones(size - 1), 1e-6]) / cost
+    w = np.zeros(size)
+    for step in range(rounds):
+        gram, right = ridge.copy(), np.zeros(size)
+        for lo in range(0, len(x), 4096):
+            own, label = np.c_[x[lo: lo + 4096], np.ones(len(x[lo: lo + 4096]))], y[lo: lo + 4096]
+            active = label * (own @ w) < 1
+            gram += own[active].T @ own[active]
+            right += own[active].T @ label[active]
+        new = np.linalg.solve(gram, right)
         if np.allclose(new, w, atol=1e-8):
             break
-        w = 0.5 * w + 0.5 * new if _ > 10 else new
+        w = 0.5 * w + 0.5 * new if step > 10 else new
     return w
 
 
@@ -236,27 +244,40 @@ def fit_curve(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, floa
     return w[:-1], float(w[-1])
 
 
-def train(landmarks: list[str], docs: list[tuple[int, np.ndarray]], odds: float | None = None) -> Model:
-    """Fit to (label, sentence similarities) of bounded labelled documents.
+def highest(values: np.ndarray, doc: np.ndarray, n_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` highest values of each document, zeros where it has fewer,
+    and the row of each document's highest (-1 without rows)."""
+    order = np.lexsort((-values, doc))
+    rank = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
+    out, first = np.zeros((n_docs, most)), np.full(n_docs, -1)
+    top = rank < most
+    out[doc[order][top], rank[top]] = values[order][top]
+    first[doc[order][rank == 0]] = order[rank == 0]
+    return out, first
+
 
+def train(landmarks: list[str], x: np.ndarray, doc: np.ndarray, labels: np.ndarray,
+          odds: float | None = None) -> Model:
+    """Fit to the similarities ``x`` of bounded labelled documents' sentences.
+
+    ``doc`` is the document of each sentence, ``labels`` one per document;
     ``odds`` are those of toxic to clean among all labels, where the sample's differ.
     """
-    marks = Landmarks(landmarks)
-    root = inverse_root(marks.similarity(landmarks))
-    width = len(landmarks)
-    labels = np.array([label for label, _ in docs])
-    mapped = [(rows if len(rows) else np.zeros((1, width))) @ root for _, rows in docs]
-    negative = np.concatenate([m for m, label in zip(mapped, labels) if label == 0])
-    positive = [(m, rows) for m, (label, rows) in zip(mapped, docs) if label == 1]
-    chosen = np.array([m[int(np.argmax(rows.max(axis=1)))] if len(rows) else m[0] for m, rows in positive])
+    root = inverse_root(Landmarks(landmarks).similarity(landmarks))
+    lone = np.setdiff1d(np.arange(len(labels)), doc)  # documents without a similar sentence
+    x = np.concatenate([x, np.zeros((len(lone), x.shape[1]), x.dtype)])
+    doc = np.concatenate([doc, lone])
+    z = x @ root.astype(np.float32)
+    clean = labels[doc] == 0
+    score = x.max(axis=1, initial=0)
     for _ in range(4):
-        x = np.concatenate([chosen, negative])
-        y = np.r_[np.ones(len(chosen)), -np.ones(len(negative))]
-        w = fit_svm(x, y)
-        chosen = np.array([m[int(np.argmax(m @ w[:-1]))] for m, _ in positive])
-    weights = root @ w[:-1]
-    model = Model(landmarks, weights, float(w[-1]), np.zeros(TOP), 0.0)
-    model.slope, model.shift = fit_curve(np.array([model.margins(rows) for _, rows in docs]), labels)
+        chosen = highest(score, doc, len(labels), 1)[1][labels == 1]
+        rows = np.r_[chosen, np.flatnonzero(clean)]
+        w = fit_svm(z[rows], np.where(clean[rows], -1.0, 1.0))
+        score = z @ w[:-1]
+    model = Model(landmarks, root @ w[:-1], float(w[-1]), np.zeros(TOP), 0.0)
+    margins = np.maximum(highest(x @ model.weights, doc, len(labels), TOP)[0], 0) + model.bias
+    model.slope, model.shift = fit_curve(margins, labels)
     if odds is not None:
         model.shift += float(np.log(odds * (labels == 0).sum() / labels.sum()))
     return model
@@ -277,7 +298,8 @@ class WordCounts:
 
 
 class Sentences:
-    """Task function: the sentences of a labelled text that are most like a landmark."""
+    """Task function: the sentences of a labelled text that are most like a landmark,
+    each as the landmarks it is like and how much (``many`` of them a sentence)."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
@@ -286,13 +308,16 @@ class Sentences:
         units = Units(Landmarks(self.landmarks))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            kept = []
+            many, at, near = [], [], []
             for lo in range(0, len(texts), 200):
                 for rows in units.sentences(texts[lo: lo + 200]):
-                    best = np.argsort(-rows.max(axis=1, initial=0), kind="stable")[:PER_DOC]
-                    kept.append(rows[best].tolist())
+                    best = rows[np.argsort(-rows.max(axis=1, initial=0), kind="stable")[:PER_DOC]]
+                    many.append((best != 0).sum(axis=1).tolist())
+                    at.append(np.nonzero(best)[1].tolist())
+                    near.append(best[best != 0].tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(kept, pa.list_(pa.list_(pa.float32())))], names=["label", "rows"])
+                [batch.column("label"), pa.array(many, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int16())),
+                 pa.array(near, pa.list_(pa.float32()))], names=["label", "many", "at", "near"])
 
 
 def label_of(labels: DataFrame, column: str, usable) -> DataFrame:
@@ -342,11 +367,52 @@ def fit(docs: DataFrame, labels: DataFrame, usable) -> Model:
         mean = sample.agg(F.avg("label")).first()[0]
         share = min(max(mean or 0.0, 1e-9), 1 - 1e-9)
         return Model([], np.zeros(0), 0.0, np.zeros(TOP), float(np.log(share / (1 - share))))
-    rows = sample.mapInArrow(Sentences(landmarks), "label int, rows array<array<float>>").toArrow()
-    docs_rows = [(label, np.array(r, dtype=np.float64).reshape(len(r), len(landmarks)))
-                 for label, r in zip(rows.column("label").to_pylist(), rows.column("rows").to_pylist())]
+    found = sample.mapInArrow(
+        Sentences(landmarks), "label int, many array<int>, at array<smallint>, near array<float>").toArrow().combine_chunks()
+    labelled_as = found.column("label").to_numpy()
+    many, at, near = (found.column(c).combine_chunks() for c in ("many", "at", "near"))
+    doc = np.repeat(np.arange(len(labelled_as)), many.value_lengths().to_numpy())
+    x = np.zeros((len(doc), len(landmarks)), dtype=np.float32)
+    x[np.repeat(np.arange(len(doc)), many.flatten().to_numpy()), at.flatten().to_numpy()] = near.flatten().to_numpy()
     sizes = {r[0]: r[1] for r in label_of(labels, "toxic", usable).groupBy("label").count().collect()}
-    return train(landmarks, docs_rows, sizes[1] / sizes[0])
+    return train(landmarks, x, doc, labelled_as, sizes[1] / sizes[0])
+
+
+class TopSentences(Units):
+    """The margins of a text's highest sentences without a look at all of them.
+
+    The largest similarity of a sentence's units is at most their sum, so the
+    sum of the units' positive weighted similarities bounds a sentence's
+    margin; sentences are tried in the order of their bounds.
+    """
+
+    def __init__(self, model: Model):
+        super().__init__(Landmarks(model.landmarks))
+        self.model = model
+        self.positive = np.maximum(model.weights, 0)
+        self.bounds: dict[str, float] = {}
+
+    def bound(self, unit: str) -> float:
+        value = self.bounds.get(unit)
+        if value is None:
+            value = self.bounds[unit] = float(self.known[unit] @ self.positive)
+        return value
+
+    def margins(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.bounds) > MEMO:
+            self.bounds.clear()
+        none, out = self.model.margins(np.zeros((0, len(self.positive)))), []
+        for loud in self.loud_sentences(texts):
+            tried = sorted(((sum(map(self.bound, set(near))), i) for i, near in enumerate(loud)), reverse=True)
+            top = [0.0] * TOP
+            for most, i in tried:
+                if most <= top[-1]:
+                    break
+                value = float(np.max([self.known[u] for u in loud[i]], axis=0) @ self.model.weights)
+                if value > top[-1]:
+                    top = sorted([*top, value], reverse=True)[:TOP]
+            out.append(np.array(top) + self.model.bias if tried else none)
+        return out
 
 
 class Score:
@@ -356,13 +422,13 @@ class Score:
         self.model, self.below = model, below
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(Landmarks(self.model.landmarks))
+        units = TopSentences(self.model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             scores = np.zeros(len(texts))
             for lo in range(0, len(texts), 200):
-                found = units.sentences([t or "" for t in texts[lo: lo + 200]])
-                scores[lo: lo + 200] = [self.model.score(rows) for rows in found]
+                found = units.margins([t or "" for t in texts[lo: lo + 200]])
+                scores[lo: lo + 200] = [self.model.score(m) for m in found]
             if self.below is None:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
             else:
