@@ -22,9 +22,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from territoria.llm.words import NOT_BLANK, split_words, text_blocks, word_hashe
 SIZE = 4096
 END_ID = 1
 #: distinct chunks whose ids a worker remembers before it starts anew
-MEMO = 600_000
+MEMO = 400_000
 
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ſ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ſ]+|[0-9]|[^a-z0-9À-ſ]+")
@@ -68,20 +68,21 @@ class ChunkIds:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[int, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}
+        self.chunks: dict[int, bytes] = {}
 
-    def part(self, part: str) -> tuple[int, ...]:
+    def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             shown = part if part.isascii() else "".join(map(self.byte_char.__getitem__, part.encode()))
-            ids = self.parts[part] = tuple(t.id for t in self.model.tokenize(shown))
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
+    def chunk(self, chunk: str) -> bytes:
+        """The ids as native unsigned 32-bit integers, which keeps the memory small."""
         if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            return tuple(chain.from_iterable(map(self.part, _PARTS.findall(chunk.lower()))))
-        return tuple(self.whole.encode(chunk, add_special_tokens=False).ids)
+            return b"".join(map(self.part, _PARTS.findall(chunk.lower())))
+        return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts and each text's number of ids."""
@@ -99,8 +100,8 @@ class ChunkIds:
             if ids is None:
                 ids = self.chunks[key] = self.chunk(data[starts[i]: ends[i]].tobytes().decode("utf-8", "replace"))
             known.append(ids)
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter(chain.from_iterable(known), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
         begin = np.cumsum(sizes) - sizes
         lengths = sizes[which]
         upto = np.cumsum(lengths)

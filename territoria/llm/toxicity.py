@@ -49,7 +49,7 @@ LANDMARKS, TOO_SIMILAR = 256, 0.95
 FAINT = 0.4
 MAX_POSITIVE, MAX_NEGATIVE, PER_DOC = 3000, 6000, 4
 LONG, WINDOW, STRIDE = 16, 12, 4
-MEMO = 400_000
+MEMO = 200_000
 THRESHOLD = 0.7
 #: sentences whose margins make up a document's score
 TOP = 3

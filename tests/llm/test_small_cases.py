@@ -213,3 +213,10 @@ def test_quotation_linking(spark):
     assert quotes.format_conversations(df.limit(0)).count() == 0
     plan = quotes.format_conversations(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_threads(spark):
+    df = spark.createDataFrame([(1, i, "user", f"message {i}") for i in range(300)] + [(2, 0, "user", "x")],
+                               "conv_id long, turn long, role string, text string")
+    rows = {(r.conv_id, r.turn): r for r in quotes.format_conversations(df).collect()}
+    assert all(rows[1, i].depth == i and rows[1, i].thread == 0 for i in range(300)) and rows[2, 0].depth == 0
