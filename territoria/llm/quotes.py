@@ -102,15 +102,25 @@ def quotation_links(messages: DataFrame) -> DataFrame:
 
 def threads(places: DataFrame) -> DataFrame:
     """(conv_id, turn, thread, depth) of distinct places (conv_id, turn, up), by pointer doubling."""
-    state = cut(places.select("conv_id", "turn", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-                              F.coalesce("up", "turn").alias("thread")))
-    while state.where("up is not null").head(1):
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"),
+    state = places.select("conv_id", "turn", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+                          F.coalesce("up", "turn").alias("thread"))
+    done, rest = [state.where("up is null")], cut(state.where("up is not null"))
+    # only places that have not reached their thread's start are joined again
+    while rest.head(1):
+        known = rest
+        for part in done:
+            known = known.unionByName(part)
+        above = known.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"),
                              F.col("depth").alias("more"), F.col("thread").alias("top"))
-        state = cut(state.join(above, ["conv_id", "up"], "left").select(
+        moved = cut(rest.join(above, ["conv_id", "up"], "left").select(
             "conv_id", "turn", F.col("next").alias("up"),
             (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("top", "thread").alias("thread")))
-    return state.drop("up")
+        done.append(moved.where("up is null"))
+        rest = moved.where("up is not null")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.drop("up")
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:
