@@ -3,9 +3,9 @@
 Every text is the set of its five-word shingles (lower-cased words; a shorter
 text is one shingle). Equal sets become one class before the join. A set is
 embedded by ``COORDS`` min-hashes, each a token sampled from the set such that
-two sets agree on it with their Jaccard similarity as probability. A run picks
-``DEPTH`` coordinates and splits the classes recursively on the sampled tokens:
-a node of at most ``LEAF`` sets is compared by brute force, a larger one is
+two sets agree on it with their Jaccard similarity as probability. A run has
+``DEPTH`` coordinates of its own, so runs are independent, and splits the
+classes recursively on the sampled tokens: a node of at most ``LEAF`` sets is compared by brute force, a larger one is
 split on the run's next coordinate, down to ``DEPTH``. Runs are repeated until
 a pair at the threshold meets in a leaf with probability ``RECALL``, even if
 every node on its way is split down to the last level.
@@ -39,15 +39,9 @@ from territoria.llm.components import components
 from territoria.llm.words import ALNUM, lowered, mix, ngram_hashes, split_words, text_blocks, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-COORDS, FIRST, DEPTH = 64, 2, 4
+FIRST, DEPTH = 2, 4
 LEAF, BLOCK = 16, 256
 RECALL = 0.99999
-#: sketch similarity below which a pair is not compared: six deviations under the threshold
-SKETCH = THRESHOLD - 6 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
-
-_draw = np.random.default_rng(20)
-_FACTOR = _draw.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _draw.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
@@ -56,8 +50,15 @@ def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int =
 
 
 RUNS = runs_for()
-#: the coordinates of every run, no two of a run alike
-PATHS = np.array([_draw.permutation(COORDS)[:DEPTH] for _ in range(RUNS)])
+COORDS = RUNS * DEPTH
+#: sketch similarity below which a pair is not compared: six deviations under the threshold
+SKETCH = THRESHOLD - 6 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
+
+_draw = np.random.default_rng(20)
+_FACTOR = _draw.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _draw.integers(0, 1 << 63, COORDS, dtype=np.uint64)
+#: the coordinates of every run, no two of all runs alike
+PATHS = _draw.permutation(COORDS).reshape(RUNS, DEPTH)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

@@ -74,6 +74,14 @@ def test_chosen_path_reaches_its_recall():
     assert all(len(set(path)) == chosen_path.DEPTH for path in chosen_path.PATHS)
 
 
+def test_drawn_paths_reach_their_recall():
+    rng, missed = np.random.default_rng(1), 0
+    for _ in range(10):
+        agree = rng.random((100_000, chosen_path.COORDS), dtype=np.float32) < 0.8
+        missed += int((~agree[:, chosen_path.PATHS].all(axis=2).any(axis=1)).sum())
+    assert missed < 40  # of a million; 9.2 expected
+
+
 def test_blocks_of_many_near_copies(spark, monkeypatch):
     """More near copies than a leaf and a block hold: no link is lost or counted twice."""
     monkeypatch.setattr(chosen_path, "LEAF", 4)
