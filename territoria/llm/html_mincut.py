@@ -52,6 +52,9 @@ BOILERPLATE_NAMES = frozenset(
     "masthead comment comments disqus replies respond reactions discussion cookie cookies consent gdpr notice notices "
     "alert newsletter subscribe signup login share sharing social search popup modal overlay toolbar copyright legal "
     "contentinfo complementary skip byline tags".split())
+#: names of wrappers whose articles are other texts than the page's; all other names may also name a page's layout
+OTHERS = frozenset("ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion related "
+                   "recommended comment comments disqus replies respond reactions discussion".split())
 CONTENT_NAMES = frozenset("article content entry main post story text body articlebody".split())
 
 #: classifier: weight of a content word, a full stop, the share of linked text, tags and enclosing elements
@@ -67,9 +70,15 @@ class Element:
     name: str
     depth: int
     parent: "Element | None"
-    kind: float  # what it adds to the cost of every block in it
+    kind: float  # what tags and hiding add to the cost of every block in it
+    named: float  # what names add
+    others: bool  # below a name of OTHERS
+    article: bool
     main: bool
 
+    def adds(self) -> float:
+        return min(self.kind, self.named) if self.kind < 0 else self.named
+
 
 @dataclass
 class Block:
@@ -84,7 +93,8 @@ def _names(attrs: str) -> tuple[set[str], bool]:
 
 
 def _opened(name: str, attrs: str, parent: Element | None) -> Element:
-    kind, main = (parent.kind, parent.main) if parent else (0.0, False)
+    kind, named, others, article, main = ((parent.kind, parent.named, parent.others, parent.article, parent.main)
+                                          if parent else (0.0, 0.0, False, False, False))
     names, hidden = _names(attrs) if attrs and not attrs.isspace() else (set(), False)
     if name in ("html", "body"):
         names, hidden = set(), False
@@ -92,16 +102,23 @@ def _opened(name: str, attrs: str, parent: Element | None) -> Element:
         kind = min(kind, IN_APART)
     if name == "header" and not main:
         kind = min(kind, IN_HEADER)
-    if names & BOILERPLATE_NAMES and not (name in MAIN or names & {"articlebody"}):
-        kind = min(kind, BAD_NAME)
-    elif names & CONTENT_NAMES and kind >= 0:
-        kind = GOOD_NAME
-    return Element(name, parent.depth + 1 if parent else 0, parent, kind, main or name in MAIN)
+    body = "articlebody" in names
+    enters = name in MAIN or body
+    others = others or bool(names & OTHERS)
+    # a wrapper's name is the layout's, not the article's
+    if enters and (name == "main" or not others and (body or not article)):
+        named = max(named, 0.0)
+    if names & BOILERPLATE_NAMES and not enters:
+        named = BAD_NAME
+    elif names & CONTENT_NAMES and named >= 0 and kind >= 0:
+        named = GOOD_NAME
+    return Element(name, parent.depth + 1 if parent else 0, parent, kind, named, others, article or name == "article" or body,
+                   main or name in MAIN)
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in page order."""
-    stack = [Element("#page", 0, None, 0.0, False)]
+    stack = [Element("#page", 0, None, 0.0, 0.0, False, False, False)]
     out: list[Block] = []
     parts: list[str] = []
     linked = links = at = 0
@@ -180,7 +197,7 @@ def cost(block: Block, has_main: bool) -> float:
     text, e = block.text, block.element
     value = BIAS + WORD * min(text.count(" ") + 1, WORDS_MOST) + TAG.get(e.name, 0.0)
     value += STOP * (text[-1] in ".!?…。\"”»")
-    value += LINKED * min(block.linked / max(len(text) - text.count(" "), 1), 1.0) + e.kind
+    value += LINKED * min(block.linked / max(len(text) - text.count(" "), 1), 1.0) + e.adds()
     if has_main:
         value += IN_MAIN if e.main else OUT_OF_MAIN
     return value

@@ -189,6 +189,17 @@ def test_html(spark):
     assert html_mincut.extract(df.limit(0)).count() == 0
 
 
+def test_html_wrappers_named_after_a_sidebar():
+    text = " ".join(["word"] * 39) + " end."
+    wrap = '<div class="content-sidebar-wrap">%s<div class="sidebar"><p>' + text + "</p></div></div>"
+    for inner in (f'<main class="content"><article><p>{text}</p></article></main>', f"<article><p>{text}</p></article>",
+                  f'<div itemprop="articleBody"><p>{text}</p></div>'):
+        assert html_mincut.main_text(wrap % inner) == text
+    article = f"<article><p>{text}</p>%s</article>"
+    assert html_mincut.main_text(article % f'<div class="comments"><article><p>{text} Other.</p></article></div>') == text
+    assert html_mincut.main_text(article % f'<div class="social"><p>{text} Other.</p></div>') == text
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "user", "How do I open the file?\n\nIt is large."), (1, 1, "assistant", "> How do I open the FILE?\nUse open()."),
