@@ -3,13 +3,15 @@
 Documents are linked through hubs (here: equal texts; the operator takes any
 (id, hub) incidence). Linked documents start dealt round-robin over the shards.
 In every round a hub's votes are its documents per shard - a partial count, so
-a hub with very many documents costs a row per shard - and a document moves to
-the open shard with most votes of its hubs if that has more votes than its own,
-ties going to the shard all its neighbours prefer too. A shard is open while it
-has room; where more documents ask for a shard than it has room for, a hashed
-share of them moves. Rounds end when nothing moves. Unlinked documents cut no
-edge: they and any surplus fill the free places, so that shards differ by one
-row at most.
+a hub with very many documents costs a row per shard - and a document asks for
+the shard with most votes of its hubs if that has more votes than its own, ties
+going to the shard all its neighbours prefer in this round too. The counts asked
+per pair of shards decide how many move: first along cycles of shards, which
+exchange equal numbers, then into free room. A shard that can give neither is
+left out until nothing else moves. Rounds end when nothing moves with any of
+``TIES`` choices among ties in a row, or (documents of several hubs) when moves no longer
+bring linked documents together. Unlinked documents cut no edge: they fill the
+free places, so that shards differ by one row at most.
 
 Ordinals come from counts per input partition and key, never from a sort of
 all rows.
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from territoria.llm.common import cut, text_of
 
 SHARDS = 24
-ROUNDS = 16
+#: choices among ties tried before rounds end, rows numbered together
+TIES, PART = 6, 100_000
 
 
 def ordinals(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -42,30 +45,104 @@ def ordinals(df: DataFrame, keys: list[str], name: str) -> DataFrame:
             .withColumn(name, F.col("base") + F.col("nth")).drop("base", "nth"))
 
 
-def propagate(labels: DataFrame, links: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
+def cycle(left: list[dict[int, int]], start: int) -> list[int]:
+    """A shortest cycle through ``start`` over the capacities left; empty if there is none."""
+    came, queue = {}, [start]
+    for a in queue:
+        for b, n in left[a].items():
+            if n > 0 and b not in came:
+                came[b] = a
+                if b == start:
+                    path = [start]
+                    while len(path) == 1 or path[-1] != start:
+                        path.append(came[path[-1]])
+                    return path[::-1]
+                queue.append(b)
+    return []
+
+
+def exchange(want: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the documents that ask for each (own, to) move: no shard's
+    arrivals exceed its departures by more than its room."""
+    free = len(room)
+    left: list[dict[int, int]] = [{} for _ in range(free + 1)]
+    for (a, b), n in want.items():
+        left[a][b] = n
+
+    def push(path: list[int]) -> None:
+        steps = list(zip(path[:-1], path[1:]))
+        n = min(left[a][b] for a, b in steps)
+        for a, b in steps:
+            left[a][b] -= n
+
+    for a, b in want:
+        if min(left[a][b], left[b].get(a, 0)) > 0:
+            push([a, b, a])
+    for s in range(free):
+        while path := cycle(left, s):
+            push(path)
+    for s, n in enumerate(room):
+        left[s][free] = n
+    for s in range(free):
+        # places given up in s; s itself takes none of them
+        own, left[s][free], left[free] = left[s][free], 0, {s: sum(want.values())}
+        while path := cycle(left, free):
+            push(path)
+        left[s][free] = own
+    return {(a, b): n - left[a][b] for (a, b), n in want.items()}
+
+
+def propagate(labels: DataFrame, links: DataFrame, capacity: list[int]) -> DataFrame:
     """New (id, shard) for (id, shard) labels and (id, hub) links, under the capacity of each shard."""
     shards = len(capacity)
     links = cut(links.select("id", "hub").distinct())
     labels = cut(labels)
-    for step in range(rounds):
-        load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        room = [capacity[s] - load.get(s, 0) for s in range(shards)]
-        here = links.join(labels, "id")
-        votes = here.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-        asked = (here.withColumnRenamed("shard", "own").join(votes, "hub")
-                 .groupBy("id", "own", "shard").agg(F.sum("n").alias("n"), F.min("hub").alias("hub")))
-        is_open = F.element_at(F.array(*[F.lit(r > 0) for r in room]), F.col("shard").cast("int") + 1)
-        best = asked.where(is_open | (F.col("shard") == F.col("own"))).groupBy("id", "own").agg(
-            F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("best"))
-        wish = cut(best.where(F.col("best.shard") != F.col("own")).select("id", F.col("best.shard").alias("to")))
-        want = {r["to"]: r["n"] for r in wish.groupBy("to").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not want:
-            break
-        share = [min(1.0, max(room[s], 0) / want[s]) if s in want else 0.0 for s in range(shards)]
-        lot = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
-        moved = wish.where(lot < F.element_at(F.array(*[F.lit(x) for x in share]), F.col("to").cast("int") + 1))
-        labels = cut(labels.join(moved, "id", "left").select("id", F.coalesce("to", "shard").alias("shard")))
-    return labels
+    kept, most, stale, idle, step = labels, -1, 0, 0, 0
+    left, shut, asked, tied = set(range(shards)), set(), None, False
+    load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    room = [capacity[s] - load.get(s, 0) for s in range(shards)]
+    while True:
+        if asked is None:
+            here = links.join(labels, "id")
+            # a row per hub, a column per shard: the join makes no row per document and shard
+            votes = cut(here.groupBy("hub").agg(*[F.count(F.when(F.col("shard") == s, 1)).alias(f"v{s}") for s in range(shards)]))
+            together = votes.agg(F.sum(F.expr("+".join(f"cast(v{s} as double) * v{s}" for s in range(shards))))).head()[0] or 0
+            if together > most:
+                kept, most, stale = labels, together, 0
+            elif stale > TIES:
+                return kept
+            asked = cut(here.withColumnRenamed("shard", "own").join(votes, "hub").groupBy("id", "own")
+                        .agg(F.min("hub").alias("hub"), *[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)]))
+        shown = [s for s in range(shards) if (room[s] > 0 or s in left) and s not in shut]
+        choice = F.greatest(*[F.when(F.lit(s in shown) | (F.col("own") == s), F.struct(
+            F.col(f"v{s}").alias("n"), F.xxhash64("hub", F.lit(s), F.lit(step)).alias("tie"), F.lit(s).alias("to")))
+            for s in range(shards)], F.lit(None).cast("struct<n:bigint,tie:bigint,to:int>"))
+        picked = cut(asked.select("id", "own", choice.alias("best"), F.array(*[f"v{s}" for s in range(shards)]).alias("v")))
+        wish = picked.where("best.to != own").select(
+            "id", "own", "best.to", (F.size(F.filter("v", lambda n: n == F.col("best.n"))) > 1).alias("tied"))
+        counts = wish.groupBy("own", "to").agg(F.count(F.lit(1)).alias("n"), F.max("tied").alias("tied")).collect()
+        want = {(r["own"], r["to"]): r["n"] for r in counts}
+        tied = tied or any(r["tied"] for r in counts)
+        moves = exchange(want, room)
+        wanted, reached = {b for _, b in want}, {b for (_, b), n in moves.items() if n}
+        step += 1
+        if reached:
+            parts = sum(want.values()) // PART + 1
+            listed = ",".join(f"{moves.get((a, b), 0)}L" for a in range(shards) for b in range(shards))
+            turn = ordinals(wish.select("own", "to", F.col("id").alias("row"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")),
+                            ["own", "to"], "k")
+            moved = turn.where(F.expr(f"k < element_at(array({listed}), cast(own * {shards} + to + 1 as int))"))
+            labels = cut(labels.join(moved.select(F.col("row").alias("id"), "to"), "id", "left")
+                         .select("id", F.coalesce("to", "shard").alias("shard")))
+            for (a, b), n in moves.items():
+                room[a], room[b] = room[a] + n, room[b] - n
+            left, shut, stale, idle, asked = {a for a, _ in want}, shut | (wanted - reached), stale + 1, 0, None
+        elif want:
+            shut = shut | wanted
+        elif (shut or len(left) < shards) and idle < (TIES if tied else 1):
+            left, shut, idle, tied = set(range(shards)), set(), idle + 1, False
+        else:
+            return kept
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

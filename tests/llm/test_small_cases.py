@@ -131,6 +131,24 @@ def test_sharding_of_a_group_larger_than_a_shard(spark):
     assert len({r.shard for r in rows if r.doc_id < 400}) <= 6
 
 
+def test_sharding_of_a_table_of_pairs(spark):
+    df = spark.range(4800).selectExpr("id as doc_id", "concat('text ', (id * 7919 % 4800) div 2) as text")
+    rows = sharding.shard(df, 24).collect()
+    assert [sum(r.shard == s for r in rows) for s in range(24)] == [200] * 24
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.doc_id * 7919 % 4800 // 2, set()).add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 24
+
+
+def test_exchange_keeps_room():
+    want = {(0, 1): 5, (1, 0): 3, (1, 2): 4, (2, 0): 1, (0, 2): 2}
+    moves = sharding.exchange(want, [0, 0, 1])
+    assert all(0 <= moves[k] <= want[k] for k in want)
+    net = [sum(n * ((b == s) - (a == s)) for (a, b), n in moves.items()) for s in range(3)]
+    assert net[0] <= 0 and net[1] <= 0 and net[2] <= 1 and sum(moves.values()) >= 9
+
+
 def test_propagation_follows_links(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, shard int")
     links = spark.createDataFrame([(i, i // 4) for i in range(40)], "id long, hub long")
