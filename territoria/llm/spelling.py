@@ -113,6 +113,10 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return np.bincount(cell, minlength=len(words) * _LETTERS).reshape(len(words), _LETTERS).astype(np.int32)
 
 
+def squares(vectors: np.ndarray) -> np.ndarray:
+    return (vectors.astype(np.int64) ** 2).sum(axis=1)
+
+
 class Tree:
     """k-d tree over letter counts; a leaf holds the rows that came to it."""
 
@@ -296,11 +300,13 @@ class Search:
     def __init__(self, words: list[str]):
         self.vectors = letter_counts(words)
         self.letters = spelled(words)[0].reshape(len(words), -1)
-        self.norm = (self.vectors ** 2).sum(axis=1)
+        self.norm = squares(self.vectors)
         self.low, self.high = self.vectors.min(axis=0), self.vectors.max(axis=0)
         self.used = np.flatnonzero(self.high)
         self.tree = Tree(self.vectors, LEAF)
-        self.small = self.vectors[:, self.used].astype(np.float32)
+        # products must come out as whole numbers
+        self.exact = np.float32 if 2 * (self.letters.shape[1] + 1) ** 2 < 1 << 24 else np.float64
+        self.small = self.vectors[:, self.used].astype(self.exact)
 
     def near(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (asking word, cell word) exactly one edit apart; the asking words are of one length."""
@@ -314,13 +320,13 @@ class Search:
         can = (n_short <= (up == FREE)) & (n_over <= (down == FREE))
         up, down = np.where(n_short > 0, short.argmax(axis=1), up), np.where(n_over > 0, over.argmax(axis=1), down)
         rows = np.flatnonzero(can)
-        norm = (vectors ** 2).sum(axis=1)
-        small = vectors[:, self.used].astype(np.float32)
+        norm = squares(vectors)
+        small = vectors[:, self.used].astype(self.exact)
         # one step is a squared distance of 1, one up and one down of 2
         square = 2 if longer == 0 else 1
         for leaf, asked in self.tree.reach(vectors[rows], up[rows], down[rows]):
             asked, own = rows[asked], self.tree.leaves[leaf]
-            if len(own) > CROWD:
+            if len(own) > max(LEAF, CROWD):  # only equal vectors fill more than a leaf
                 yield from self._crowd(asked, own, letters, norm, small, square)
                 continue
             width = max(1, PAIRS // len(own))

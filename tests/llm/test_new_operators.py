@@ -182,6 +182,7 @@ def test_spelling_with_small_cells_and_crowds(spark, monkeypatch):
     counts = counted(rows)
     monkeypatch.setattr(spelling, "CELL", 16)
     assert set(map(tuple, spelling.variants(df).collect())) == brute(counts)
+    monkeypatch.setattr(spelling, "LEAF", 2)
     monkeypatch.setattr(spelling, "CROWD", 3)  # tasks of their own do not see this: the search is called here
     by_length = {k: sorted(w for w in counts if len(w) == k) for k in (7, 8, 9)}
     for own in by_length.values():
