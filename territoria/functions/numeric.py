@@ -61,15 +61,30 @@ def pressure_radius(demand: Column) -> Column:
     return F.greatest(F.coalesce(demand, F.lit(0.0)) * RADIUS_PER_KW, F.lit(MIN_RADIUS))
 
 
-def exact_sum(c: Column, scale: int = 12) -> Column:
-    """Sum of doubles carried out in DECIMAL(38, scale): exact, so the
-    result is the same for any partitioning or retry order (a double sum
-    is not, in its last bits). Meant for the small grains (department,
-    year) where the decimal arithmetic costs nothing."""
-    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
-
-
-def exact_avg(c: Column, scale: int = 12) -> Column:
-    """Mean from an exact decimal sum and the count of non-null values."""
-    d = c.cast(f"decimal(38,{scale})")
-    return F.sum(d).cast("double") / F.count(d).cast("double")
+# magnitudes below, from ... to (exclusive) and the decimal places kept of them
+_CLASSES = [(0.0, 1e-6, 30), (1e-6, 1e13, 12), (1e13, 1e24, 2)]
+
+
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles that does not depend on partitioning or retry order.
+
+    A double sum does, in its last bits. Here every value is taken as its
+    shortest decimal and summed exactly with the values of its magnitude (below
+    1e-6, 1e13 and 1e24, with 30, 12 and 2 places; some 1e13 rows of the largest
+    fit), and the three sums are added in a fixed order. Larger, infinite and
+    NaN values are summed as doubles, so they show in the result as in a plain
+    sum. NULL if there is no value.
+    """
+    x = c.cast("double")
+    size = F.abs(x)
+    total = F.lit(0.0)
+    for low, high, places in _CLASSES:
+        part = F.when((size >= low) & (size < high), x.cast(f"decimal(38,{places})"))
+        total = total + F.coalesce(F.sum(part).cast("double"), F.lit(0.0))
+    total = total + F.coalesce(F.sum(F.when(size >= _CLASSES[-1][1], x)), F.lit(0.0))
+    return F.when(F.count(x) > 0, total)
+
+
+def exact_avg(c: Column) -> Column:
+    """Mean of the non-null values from their exact sum."""
+    return exact_sum(c) / F.count(c.cast("double")).cast("double")

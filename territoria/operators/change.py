@@ -3,10 +3,11 @@ period (not the previous calendar period)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_sum, safe_div
+from .ordinal import previous_in_key
 
 
 def yearly_totals(energy: DataFrame, time_col: str = "anio", key: str = "departamento") -> DataFrame:
@@ -24,16 +25,16 @@ def period_change(df: DataFrame, key: str, time_col: str, value: str,
     ordered by time; the first row, a NULL key, division by zero, inf and NaN
     all give 0.
 
-    The window is partitioned by the key on data already aggregated to
-    (key, time) grain, so a partition holds one row per period of one key.
+    The previous value is handed on between slices of the sorted rows, so a
+    key with very many periods is no single task.
     """
-    w = Window.partitionBy(key).orderBy(time_col)
-    prev = F.lag(value).over(w)
+    rows = previous_in_key(df, key, time_col, value, "_previous")
+    prev = F.col("_previous")
     diff = F.coalesce(F.col(value) - prev, F.lit(0.0))
     pct = safe_div(F.col(value) - prev, prev, 0.0)
     nokey = F.col(key).isNull()
-    return (df.withColumn(diff_out, F.when(nokey, F.lit(0.0)).otherwise(diff))
-            .withColumn(pct_out, F.when(nokey, F.lit(0.0)).otherwise(pct)))
+    return (rows.withColumn(diff_out, F.when(nokey, F.lit(0.0)).otherwise(diff))
+            .withColumn(pct_out, F.when(nokey, F.lit(0.0)).otherwise(pct)).drop("_previous"))
 
 
 def yearly_department_demand(energy: DataFrame) -> DataFrame:

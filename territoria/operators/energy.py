@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .median import exact_medians
+
 # --- fixed values: column names and order ---------------------------------
 PANEL_KEY = ("anio", "departamento", "tipo_vehiculo")
 SCENARIO_BASE_COLUMNS = [
@@ -31,10 +33,17 @@ def distinct_predictions(predictions: DataFrame, keys: Sequence[str] = PANEL_KEY
     return predictions.select(*keys, pred).distinct()
 
 
+def one_prediction(predictions: DataFrame, keys: Sequence[str], pred: str) -> DataFrame:
+    """One row per key; a key with two different predictions is an error, as it would repeat panel rows."""
+    many = (F.count(pred) > 0) & ((F.count(pred) < F.count(F.lit(1))) | (F.min(pred) != F.max(pred)))
+    fault = F.raise_error(F.concat(F.lit("two predictions for "), F.to_json(F.struct(*keys))))
+    return predictions.groupBy(*keys).agg(F.when(many, fault.cast("double")).otherwise(F.min(pred)).alias(pred))
+
+
 def forecast_overlay(panel: DataFrame, predictions: DataFrame | None,
                      keys: Sequence[str] = PANEL_KEY, pred: str = "cantidad_ev_pred",
                      actual: str = "cantidad_ev") -> DataFrame:
-    """Left join of (de-duplicated) predictions on the panel key; the modelled
+    """Left join of the predictions on the panel key (one per key); the modelled
     count is the prediction where present, else the actual; source label
     ``forecast_baseline`` / ``historico``. NULL keys match NULL keys."""
     out = (panel.withColumn("anio_base", F.lit(None).cast("int"))
@@ -44,7 +53,7 @@ def forecast_overlay(panel: DataFrame, predictions: DataFrame | None,
                 .withColumn("cantidad_ev_modelada", F.col(actual))
                 .withColumn("fuente_cantidad_ev", F.lit("historico")))
     keys = list(keys)
-    p = distinct_predictions(predictions, keys, pred).select(
+    p = one_prediction(predictions, keys, pred).select(
         *[F.col(k).alias("_p_" + k) for k in keys], F.col(pred))
     cond = F.lit(True)
     for k in keys:
@@ -103,3 +112,13 @@ def scenario_fanout(energy: DataFrame, scenarios: dict[str, float]) -> DataFrame
                         * F.col("simultaneidad"))
             .withColumn("demanda_futura_kw", F.col("demanda_futura"))
             .drop("_sc"))
+
+
+def holdout_energy(predictions: DataFrame, measures: DataFrame, simultaneity: float, pred: str = "cantidad_ev_pred") -> DataFrame:
+    """Energy and power demand of held-out predictions: missing kWh and power
+    take the median of ``measures``; the columns are carried by the rows."""
+    medians = exact_medians(measures, ["kwh_promedio", "potencia_carga"])
+    filled = predictions.withColumns({c: F.coalesce(c, F.lit(m).cast("double")) for c, m in medians.items()})
+    return (filled.withColumn("simultaneidad", F.lit(float(simultaneity)))
+            .withColumn("consumo_energetico", F.col(pred) * F.col("kwh_promedio"))
+            .withColumn("demanda_futura", F.col(pred) * F.col("potencia_carga") * F.col("simultaneidad")))

@@ -17,7 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .median import exact_median, most_frequent
+from .median import exact_medians, most_frequents
 
 NUMERIC = ("anio", "kwh_promedio", "potencia_carga", "consumo_wh_km")
 CATEGORICAL = ("departamento", "tipo_vehiculo")
@@ -28,9 +28,10 @@ FEATURES_B = ["anio", "departamento", "tipo_vehiculo", "kwh_promedio", "potencia
 def imputation_stats(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """One row: exact median of each numeric and most frequent value of each
     categorical column (smallest value on a tie), fitted on ``train``."""
-    names = [(f"median_{c}", "double", exact_median(train, c)) for c in numeric]
-    names += [(f"mode_{c}", "string", most_frequent(train, c)) for c in categorical]
-    return train.sparkSession.createDataFrame([tuple(v for _, _, v in names)], ", ".join(f"{n} {t}" for n, t, _ in names))
+    fills = {**{f"median_{c}": v for c, v in exact_medians(train, numeric).items()},
+             **{f"mode_{c}": v for c, v in most_frequents(train, categorical).items()}}
+    kinds = ", ".join([f"median_{c} double" for c in numeric] + [f"mode_{c} string" for c in categorical])
+    return train.sparkSession.createDataFrame([tuple(fills.values())], kinds)
 
 
 class ForestModel:

@@ -78,6 +78,13 @@ def payload_nested(flat: DataFrame, metrics: Sequence[str] = PAYLOAD_METRICS) ->
     return flat.groupBy("departamento").agg(F.map_from_entries(F.collect_list(entry)).alias("metricas_por_anio"))
 
 
+def initial_year_values(yearly: DataFrame, metric: str) -> DataFrame:
+    """The slider's first view: the last year, and each territory's value of the metric in it (missing -> 0)."""
+    last = yearly.select(F.max("anio")).scalar()
+    return yearly.where(F.col("anio") == last).select(
+        F.col("anio").cast("int").alias("anio_inicial"), "departamento", F.coalesce(F.col(metric), F.lit(0.0)).alias("valor"))
+
+
 def metric_domain(df: DataFrame, metric: str) -> DataFrame:
     """(min, max) of a metric (NULL->0 first); equal -> (min(0,min), max(1,max));
     also the 0..max(1, max) domain of the plain choropleths."""

@@ -34,7 +34,16 @@ def ordinal_within_key(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     local = cut_lineage(ranged.sortWithinPartitions(*by).withColumn("_tt_id", F.monotonically_increasing_id()))
     local = local.withColumn("_tt_pid", F.shiftright("_tt_id", 33))
     counts = local.groupBy(*keys, "_tt_pid").agg(F.count(F.lit(1)).alias("_tt_cnt"), F.min("_tt_id").alias("_tt_first"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_tt_pid").rowsBetween(Window.unboundedPreceding, -1)
+    if not keys:
+        # a row per slice: their offsets stand in the plan, no join
+        offset, listed = 0, []
+        for r in sorted(counts.collect()):
+            listed.append((r["_tt_pid"], offset - r["_tt_first"] + 1))
+            offset += r["_tt_cnt"]
+        table = F.create_map(*[F.lit(x).cast("long") for pair in listed for x in pair]) if listed else None
+        number = F.col("_tt_id") + (table[F.col("_tt_pid")] if listed else F.lit(0))
+        return local.withColumn(out, number).drop("_tt_pid", "_tt_id")
+    before = Window.partitionBy(*keys).orderBy("_tt_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(k).alias("_tt_k_" + k) for k in keys], F.col("_tt_pid").alias("_tt_k_pid"),
                             (F.coalesce(F.sum("_tt_cnt").over(before), F.lit(0)) - F.col("_tt_first") + 1).alias("_tt_off"))
     cond = local["_tt_pid"] == offsets["_tt_k_pid"]
@@ -44,6 +53,28 @@ def ordinal_within_key(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
             .drop("_tt_pid", "_tt_id", "_tt_off", "_tt_k_pid", *["_tt_k_" + k for k in keys]))
 
 
+def previous_in_key(df: DataFrame, key: str, order: str, value: str, out: str,
+                    num_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = the value of the key's previous row by ``order`` (NULL for the first).
+
+    A slice of the range-partitioned rows takes it from its own sorted rows; the
+    first row a key has in a slice takes the last value of the slice before. A
+    key with very many rows spans slices, so no task holds it whole.
+    """
+    by = [F.col(key).asc_nulls_first(), F.col(order).asc_nulls_first()]
+    ranged = df.repartitionByRange(num_partitions, *by) if num_partitions else df.repartitionByRange(*by)
+    local = cut_lineage(ranged.sortWithinPartitions(*by).withColumn("_pv_id", F.monotonically_increasing_id()))
+    local = local.withColumn("_pv_slice", F.shiftright("_pv_id", 33))
+    here = Window.partitionBy("_pv_slice", key).orderBy("_pv_id")
+    ends = local.groupBy("_pv_slice", key).agg(F.max_by(F.struct(value), "_pv_id").alias("_pv_last"))
+    before = F.lag("_pv_last").over(Window.partitionBy(key).orderBy("_pv_slice"))  # a row per slice and key
+    carried = ends.select(F.col("_pv_slice").alias("_pv_to"), F.col(key).alias("_pv_key"), before.alias("_pv_carry"))
+    rows = local.withColumn("_pv_own", F.lag(F.struct(value)).over(here))
+    on = (rows["_pv_slice"] == carried["_pv_to"]) & rows[key].eqNullSafe(carried["_pv_key"])
+    return (rows.join(carried, on, "left").withColumn(out, F.coalesce("_pv_own", "_pv_carry").getField(value))
+            .drop("_pv_id", "_pv_slice", "_pv_own", "_pv_to", "_pv_key", "_pv_carry"))
+
+
 def dense_rank_desc(df: DataFrame, score: str, out: str, decimals: int | None = None) -> DataFrame:
     """Dense rank of ``score`` descending (1 = highest), as int.
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import exact_avg, exact_sum
+
 
 def panel_aggregate(df: DataFrame, keys: Sequence[str] = ("anio", "departamento", "tipo_vehiculo"),
                     sum_cols: Sequence[str] = ("cantidad_ev",),
@@ -15,10 +17,10 @@ def panel_aggregate(df: DataFrame, keys: Sequence[str] = ("anio", "departamento"
     """Group by the panel key (NULL keys form their own group); sum the
     counts (all-missing -> 0) and take plain unweighted means of the specs.
     Partial aggregation runs map-side, so a hot key costs one row per task
-    before the shuffle.
+    before the shuffle; sums are exact, so they do not depend on its order.
     """
-    aggs = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sum_cols]
-    aggs += [F.avg(c).alias(c) for c in mean_cols]
+    aggs = [F.coalesce(exact_sum(F.col(c)), F.lit(0.0)).alias(c) for c in sum_cols]
+    aggs += [exact_avg(F.col(c)).alias(c) for c in mean_cols]
     return df.groupBy(*keys).agg(*aggs)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.numeric import coerce_numeric
 from .common import cut_lineage, null_safe_on
+from .hot_keys import hot_key_join
 from .ordinal import ordinal_within_key
 
 # --- fixed values (texts of the reference) ---------------------------------
@@ -45,7 +46,7 @@ def complete_overrides(overrides: DataFrame, catalogue: DataFrame | None) -> Dat
         cat = catalogue.select(tx.fold_accents(F.col("municipio")).alias("_ckey"),
                                coerce_numeric(F.col("latitud")).alias("_clat"),
                                coerce_numeric(F.col("longitud")).alias("_clon"))
-        o = (o.join(cat, o["_mkey"] == cat["_ckey"], "left")
+        o = (hot_key_join(o, cat, "_mkey", "_ckey")
              .withColumn("latitud", F.coalesce(F.col("latitud"), F.col("_clat")))
              .withColumn("longitud", F.coalesce(F.col("longitud"), F.col("_clon"))))
     return o.select("id", "municipio", "latitud", "longitud",
@@ -100,15 +101,15 @@ def waterfall_lookup(rows: DataFrame, gazetteer: DataFrame, row_id: str,
     untouched. ``limit`` caps the rows needing lookup (in ``row_id`` order);
     ``dry_run`` records the first query with source ``dry_run``.
 
-    The queries are exploded with their position, equi-joined to the hits
-    (broadcast by AQE when the gazetteer is small, shuffled otherwise) and
-    the first hit per row is a ``min_by`` aggregate.
+    The queries are exploded with their position and equi-joined to the hits
+    (a text that very many rows ask for is dealt over several tasks); the
+    first hit per row is a ``min_by`` aggregate.
     """
     need_cond = F.col("latitud").isNull() | F.col("longitud").isNull()
     with_q = rows.withColumn("_queries", queries)
     need = with_q.where(need_cond).select(row_id, "_queries")
     if limit is not None:
-        need = need.orderBy(row_id).limit(int(limit))
+        need = ordinal_within_key(need, [], [F.col(row_id).asc_nulls_first()], out="_nth").where(F.col("_nth") <= int(limit)).drop("_nth")
     if dry_run:
         picked = need.select(F.col(row_id).alias("_rid"), F.col("_queries")[0].alias("_q"),
                              F.lit(None).cast("double").alias("_lat"), F.lit(None).cast("double").alias("_lon"),
@@ -118,7 +119,7 @@ def waterfall_lookup(rows: DataFrame, gazetteer: DataFrame, row_id: str,
         hits = gazetteer.where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull()).select(
             F.col("query").alias("_gq"), F.col("latitud").alias("_glat"),
             F.col("longitud").alias("_glon"), F.col("display_name").alias("_gsrc"))
-        matched = exploded.join(hits, exploded["_q"] == hits["_gq"], "inner")
+        matched = hot_key_join(exploded, hits, "_q", "_gq", "inner")
         picked = matched.groupBy("_rid").agg(
             F.min_by(F.struct("_q", "_glat", "_glon", "_gsrc"),
                      F.struct("_pos", "_gsrc", "_glat", "_glon")).alias("_hit")

@@ -24,6 +24,7 @@ from ..params import DEFAULT_HORIZONS, DEFAULT_SCENARIOS, FlowParams
 from ..sources import tables as tb
 from . import sqltext as S
 from .flow import model_input, run_flow, stage1_trend
+from .store import StageStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,9 +84,10 @@ def _forecast(spark, d):
 
 
 def _energy(spark, d, sim=0.3):
-    panel = _panel(spark, d)
+    store = StageStore(spark, "energy")
+    panel = store.put("panel", pn.panel_aggregate(tb.registrations(spark, d)))
     preds, fc = stage1_trend(panel, DEFAULT_HORIZONS)
-    return en.build_energy_table(panel, preds, fc, sim)
+    return store.put("energy", en.build_energy_table(panel, preds, fc, sim))
 
 
 def _flow(spark, d):
@@ -423,7 +425,10 @@ def q_priority_validation(spark, d):
 # ----------------------------------------------------- change, map data ---
 from ..operators import change as ch  # noqa: E402
 from ..operators import mapdata as md  # noqa: E402
+from ..operators.lookup_cache import LookupCache  # noqa: E402
 from ..sources import io as io_  # noqa: E402
+from ..sources import offset_scan  # noqa: E402
+from ..sources import snapshots as sn  # noqa: E402
 from ..sources import roles as rl  # noqa: E402
 from ..session import scratch_path  # noqa: E402
 
@@ -800,6 +805,21 @@ res AS (SELECT query, latitud, longitud, query AS display_name FROM gaz_seg
  SELECT * FROM (SELECT DISTINCT ON (query) * FROM res WHERE query NOT IN (SELECT query FROM cache)
                 ORDER BY query)""")
 def q_lookup_cache_upsert(spark, d):
+    cache, new = _lookups(spark, d)
+    return pl.cache_upsert(cache, new)
+
+
+@register("lookup_cache_files", ORACLE["lookup_cache_upsert"])
+def q_lookup_cache_files(spark, d):
+    """The same in a kept cache: what was cached, then the new results added to its files."""
+    cached, new = _lookups(spark, d)
+    cache = LookupCache(spark, scratch_path(spark, "cache"), "query string, latitud double, longitud double, display_name string")
+    cache.upsert(cached.select(*cache.columns))
+    cache.upsert(new.select(*cache.columns))
+    return cache.read()
+
+
+def _lookups(spark, d):
     cache = rl.gazetteer(spark, d, include_segments=False)
     seg = rl.gazetteer(spark, d).join(cache.select("query"), "query", "left_anti")
     cg = rl.customers_geo(spark, d).where(F.col("latitud").isNotNull())
@@ -808,7 +828,7 @@ def q_lookup_cache_upsert(spark, d):
                                          F.round(exact_avg(F.col("longitud")), 4).alias("longitud"))
     dep = dep.select(F.concat("departamento", F.lit(", Colombia")).alias("query"), "latitud", "longitud") \
         .withColumn("display_name", F.col("query"))
-    return pl.cache_upsert(cache, seg.unionByName(dep))
+    return cache, seg.unionByName(dep)
 
 
 COMPLETED_SQL = f"""
@@ -981,6 +1001,15 @@ def q_scan_registrations(spark, d):
     return io_.scan_csv(spark, path, raw.schema)
 
 
+@register("scan_with_offset", RAW_SQL + " SELECT * FROM raw")
+def q_scan_with_offset(spark, d):
+    """Files whose table begins below five lines of other text, as the source workbook has them."""
+    raw = tb.registrations_raw(spark, d)
+    path = scratch_path(spark, "registrations_offset")
+    offset_scan.write_with_offset(raw, path, ["Informe de registros", "", "Corte: anual;;", "a,b", "\"sin tabla\""])
+    return offset_scan.scan_with_offset(spark, path, raw.schema, skip=5)
+
+
 @register("optional_source_fallback", "SELECT * FROM lineitem")
 def q_optional_source_fallback(spark, d):
     import os
@@ -994,9 +1023,8 @@ def q_sink_overwrite_roundtrip(spark, d):
 
 @register("refresh_result_table", sql_r6(S.with_(*BASE) + " SELECT * FROM panel", PANEL_D))
 def q_refresh_result_table(spark, d):
-    # ensures database and table (CREATE ... IF NOT EXISTS), then one overwrite job
-    return r6(io_.refresh_catalog_table(spark, _panel(spark, d), "etapa1_temporal",
-                                        scratch_path(spark, "etapa1_temporal"), "territoria_resultados"))
+    # ensures database and table (CREATE ... IF NOT EXISTS), then a new folder and one switch
+    return r6(sn.refresh(spark, _panel(spark, d), "etapa1_temporal", scratch_path(spark, "etapa1_temporal"), "territoria_resultados"))
 
 
 @register("sink_csv_roundtrip", sql_r6(S.with_(*BASE) + " SELECT * FROM panel", PANEL_D))
@@ -1048,7 +1076,7 @@ def q_boundary_collection(spark, d):
     docs = _boundary_features(n).groupBy("n_regionkey").agg(F.concat(
         F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
     docs.write.partitionBy("n_regionkey").text(path)  # one document per file
-    return io_.read_boundaries(spark, path, multiline=True)
+    return io_.read_boundaries(spark, path, collection=True)
 
 
 @register("light_headers", """
@@ -1098,7 +1126,7 @@ def q_waterfall_lookup_limit(spark, d):
 
 def _result_roundtrip(spark, d, part, table):
     df = getattr(_flow(spark, d), part)
-    return r6(io_.refresh_catalog_table(spark, df, table, scratch_path(spark, table), "territoria_resultados"))
+    return r6(sn.refresh(spark, df, table, scratch_path(spark, table), "territoria_resultados"))
 
 
 @register("result_scenarios", ORACLE["scenario_fanout"])
@@ -1134,7 +1162,7 @@ def q_saved_output_tables(spark, d):
 
 # ------------------------------------------------------------------ forests --
 from ..operators import forest as fr  # noqa: E402
-from ..operators.median import exact_median  # noqa: E402
+from ..operators.median import exact_medians  # noqa: E402
 from . import flow as fl  # noqa: E402
 
 
@@ -1199,13 +1227,49 @@ def q_holdout_forest(spark, d):
 @register("holdout_energy")
 def q_holdout_energy(spark, d):
     pred, reg = _holdout(spark, d)
-    measures = cut_lineage(reg.select("kwh_promedio", "potencia_carga"))
-    out = (pred.withColumn("kwh_promedio", F.coalesce("kwh_promedio", F.lit(exact_median(measures, "kwh_promedio"))))
-           .withColumn("potencia_carga", F.coalesce("potencia_carga", F.lit(exact_median(measures, "potencia_carga"))))
-           .withColumn("simultaneidad", F.lit(0.3))
-           .withColumn("consumo_energetico", F.col("cantidad_ev_pred") * F.col("kwh_promedio"))
-           .withColumn("demanda_futura", F.col("cantidad_ev_pred") * F.col("potencia_carga") * F.col("simultaneidad")))
-    return out
+    return en.holdout_energy(pred, reg, 0.3)
+
+
+@register("given_holdout_energy", sql_r6(S.with_(S.REGISTRATIONS) + """
+ SELECT l_orderkey, l_linenumber, cantidad_ev * 1.25 AS cantidad_ev_pred,
+        coalesce(CASE WHEN l_linenumber % 3 > 0 THEN kwh_promedio END, (SELECT median(kwh_promedio) FROM reg)) AS kwh_promedio,
+        coalesce(CASE WHEN l_linenumber % 2 > 0 THEN potencia_carga END, (SELECT median(potencia_carga) FROM reg)) AS potencia_carga,
+        0.3 AS simultaneidad,
+        cantidad_ev * 1.25 * coalesce(CASE WHEN l_linenumber % 3 > 0 THEN kwh_promedio END,
+            (SELECT median(kwh_promedio) FROM reg)) AS consumo_energetico,
+        cantidad_ev * 1.25 * coalesce(CASE WHEN l_linenumber % 2 > 0 THEN potencia_carga END,
+            (SELECT median(potencia_carga) FROM reg)) * 0.3 AS demanda_futura
+ FROM reg""", ["cantidad_ev_pred", "kwh_promedio", "potencia_carga", "simultaneidad", "consumo_energetico", "demanda_futura"]))
+def q_given_holdout_energy(spark, d):
+    """The hold-out flow's energy step on given predictions, with measures missing in places."""
+    reg = tb.registrations(spark, d)
+    n = F.col("l_linenumber")
+    pred = reg.select("l_orderkey", "l_linenumber", (F.col("cantidad_ev") * 1.25).alias("cantidad_ev_pred"),
+                      F.when(n % 3 > 0, F.col("kwh_promedio")).alias("kwh_promedio"),
+                      F.when(n % 2 > 0, F.col("potencia_carga")).alias("potencia_carga"))
+    return r6(en.holdout_energy(pred, reg, 0.3))
+
+
+@register("column_medians", """
+SELECT unnest(['l_discount', 'l_extendedprice', 'l_quantity', 'l_tax']) AS columna,
+       unnest([median(l_discount), median(l_extendedprice), median(l_quantity), median(l_tax)]) AS mediana FROM lineitem""")
+def q_column_medians(spark, d):
+    """All columns' medians together."""
+    medians = exact_medians(tb.read_table(spark, d, "lineitem"), ["l_discount", "l_extendedprice", "l_quantity", "l_tax"])
+    return spark.createDataFrame(list(medians.items()), "columna string, mediana double")
+
+
+@register("cleaned_horizons", sql_r6(S.with_(*BASE, S.DATA, S.future((3, 7))) + " SELECT * FROM fan", PANEL_D))
+def q_cleaned_horizons(spark, d):
+    """Horizons as given (text, repeated, zero, negative) through the parameter rule, applied to every series."""
+    return r6(tr.horizon_fanout(_data(spark, d), FlowParams(horizons=("7", 3, 7, 0, -2)).horizons))
+
+
+@register("initial_year_values", sql_r6(S.with_(*MAPS) + """
+ SELECT CAST(anio AS INTEGER) AS anio_inicial, departamento, coalesce(demanda_futura, 0.0) AS valor
+ FROM chg WHERE anio = (SELECT max(anio) FROM chg)""", ["valor"]))
+def q_initial_year_values(spark, d):
+    return r6(md.initial_year_values(_yearly(spark, d), "demanda_futura"))
 
 
 OVERRIDE_SQL = sql_r6("WITH " + COMPLETED_SQL + f""",

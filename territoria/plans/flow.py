@@ -1,9 +1,10 @@
 """The composite flow: panel -> backtest + forecast -> energy -> scenarios ->
 department ranking -> validation.
 
-The panel and the unranked department table are written once to the shared
-checkpoint folder; with forests the backtest frame too, because the model
-choice reads it. All else is lazy.
+The panel, the energy table and the department ranking are stage tables: each
+is written once as Parquet and read with column pruning by all that follows;
+with forests the backtest frame too, because the model choice reads it. The
+tables lie in the run's store, which the caller may close. All else is lazy.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from ..operators.energy import build_energy_table, scenario_fanout
 from ..operators.panel import drop_incomplete, panel_aggregate
 from ..operators.priority import build_priority_table, build_validation_table
 from ..params import FlowParams
+from .store import StageStore
 
 PANEL_REQUIRED = ["anio", "departamento", "tipo_vehiculo", "cantidad_ev"]
 PREDICTION_OF = {bt.MODEL_A: "cantidad_ev_pred_modelo_a", bt.MODEL_B: "cantidad_ev_pred_modelo_b",
@@ -107,13 +109,13 @@ def forecast(data: DataFrame, horizons: Sequence[int], models: dict[str, fr.Fore
 
 
 def run_flow(registrations: DataFrame, assets: DataFrame, params: FlowParams | None = None,
-             cut_stages: bool = True, with_forests: bool = True, num_trees: int = 300) -> FlowResult:
+             with_forests: bool = True, num_trees: int = 300, store: StageStore | None = None) -> FlowResult:
     """Run the flow. ``with_forests=False`` lets only the trend compete (no
     model is fitted); the official forecast is the trend either way. A panel
-    of fewer than two years is an error, as it has no train and test years."""
-    params = params or FlowParams()
-    panel = panel_aggregate(registrations)
-    panel = cut_lineage(panel) if cut_stages else panel
+    of fewer than two years is an error, as it has no train and test years.
+    Closing ``store`` removes what the returned frames read."""
+    params, store = params or FlowParams(), store or StageStore(registrations.sparkSession, "flow")
+    panel = store.put("panel", panel_aggregate(registrations))
     data = model_input(panel)
     if with_forests:
         tested = backtest(data, num_trees)
@@ -122,9 +124,11 @@ def run_flow(registrations: DataFrame, assets: DataFrame, params: FlowParams | N
         bt.check_splittable(data)
         tested = None
         predictions, future = stage1_trend(panel, params.horizons)
-    energy = build_energy_table(panel, predictions, future, params.simultaneity)
+    energy = store.put("energy", build_energy_table(panel, predictions, future, params.simultaneity))
     weights = params.effective_weights()
-    priority = build_priority_table(energy, assets, weights, params.scenario_label)
+    # a stored table has no order of its own
+    priority = store.put("priority", build_priority_table(energy, assets, weights, params.scenario_label)).orderBy(
+        "ranking_prioridad", F.col("departamento").asc_nulls_first())
     return FlowResult(panel, predictions, future, energy, scenario_fanout(energy, params.scenarios), priority,
                       build_validation_table(priority, weights), tested)
 

@@ -65,6 +65,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique folder below the shared checkpoint folder; the store
+    deletes it when the driver's process ends."""
+    from .sources.files import remove_at_end
+
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    remove_at_end(spark, path)
+    return path
