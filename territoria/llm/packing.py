@@ -19,6 +19,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,15 +34,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from territoria.llm.common import cut
-from territoria.llm.words import NOT_BLANK, split_words, text_blocks, word_hashes
+from territoria.llm.words import text_blocks
 
 SIZE = 4096
 END_ID = 1
-#: distinct chunks whose ids a worker remembers before it starts anew
-MEMO = 400_000
-
-_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ſ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ſ]+|[0-9]|[^a-z0-9À-ſ]+")
+#: distinct parts whose ids a worker remembers before it starts anew, and the longest of them
+MEMO, LONGEST = 400_000, 64
+
+_CHUNKS = re.compile(r"[^\x20\x09-\x0D]+").findall
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7eÀ-ÖØ-öø-įı-ſ]*").fullmatch
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ſ]+|[0-9]|[^\x09-\x0d\x20a-z0-9À-ſ]+").findall
+#: how a tokenizer describes the rule that _PARTS follows
+_RULE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 def default_tokenizer() -> str:
@@ -50,64 +61,69 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkIds:
-    """Token ids of blank-separated chunks, remembered by chunk.
+class Parts(dict):
+    """Lower-case part -> its token ids as native unsigned 32-bit integers, each found once."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def __missing__(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(map(self.byte_char.__getitem__, part.encode()))
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(part) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+class ChunkIds(dict):
+    """Chunk between blanks -> its token ids; for texts of letters beyond the plain ones.
 
     The tokenizer never joins across white space, so a text's ids are its
-    chunks' ids in order. Chunks of ASCII and plain Latin letters are parted by
-    the tokenizer's own rule and each lower-case part runs through its model
-    once; every other chunk goes through the whole tokenizer.
+    chunks' ids in order. Texts and chunks of ASCII and plain Latin letters are
+    parted by the tokenizer's own rule and each lower-case part runs through its
+    model once; every other chunk goes through the whole tokenizer. A tokenizer
+    that describes another rule than this one encodes texts whole.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.byte_char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.parts: dict[str, bytes] = {}
-        self.chunks: dict[int, bytes] = {}
-
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            shown = part if part.isascii() else "".join(map(self.byte_char.__getitem__, part.encode()))
-            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        described = json.loads(self.whole.to_str())
+        self.known = {k: described[k] for k in _RULE} == _RULE and described["model"]["end_of_word_suffix"] == "</w>"
+        self.parts = Parts(self.whole.model)
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.plain(chunk) if _PLAIN(chunk) and "<|" not in chunk else self.encoded(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= MEMO // 4:
+                self.clear()
+            self[chunk] = ids
         return ids
 
-    def chunk(self, chunk: str) -> bytes:
-        """The ids as native unsigned 32-bit integers, which keeps the memory small."""
-        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            return b"".join(map(self.part, _PARTS.findall(chunk.lower())))
-        return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block of texts and each text's number of ids."""
-        starts, ends, rows = split_words(data, offsets, NOT_BLANK)
-        n = len(offsets) - 1
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        keys, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.chunks) + len(keys) > MEMO:
-            self.chunks.clear()
-            self.parts.clear()
-        known = []
-        for key, i in zip(keys.tolist(), first.tolist()):
-            ids = self.chunks.get(key)
-            if ids is None:
-                ids = self.chunks[key] = self.chunk(data[starts[i]: ends[i]].tobytes().decode("utf-8", "replace"))
-            known.append(ids)
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        lengths = sizes[which]
-        upto = np.cumsum(lengths)
-        take = np.repeat(begin[which] - (upto - lengths), lengths) + np.arange(int(upto[-1]))
-        per_row = np.bincount(rows, weights=lengths, minlength=n).astype(np.int64)
-        return flat[take], per_row
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PARTS(text.lower())))
+
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def text(self, text: str) -> np.ndarray:
+        """All ids of a text."""
+        if not self.known:
+            ids = self.encoded(text)
+        elif _PLAIN(text) and "<|" not in text:
+            ids = self.plain(text)
+        else:
+            ids = b"".join(map(self.__getitem__, _CHUNKS(text)))
+        return np.frombuffer(ids, np.uint32)
 
 
 _encoders: dict[str, ChunkIds] = {}
@@ -131,12 +147,10 @@ class Pieces:
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for first, data, offsets in text_blocks(batch.column("text")):
-                ids, counts = encode.block(data, offsets)
                 out = []
-                at = 0
-                for row, count in enumerate(counts.tolist()):
-                    own = np.append(ids[at: at + count], np.uint32(END_ID)).astype("<u4")
-                    at += count
+                for row in range(len(offsets) - 1):
+                    ids = encode.text(data[offsets[row]: offsets[row + 1]].tobytes().decode())
+                    own = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     for piece, start in enumerate(range(0, len(own), self.size)):
                         part_ids = own[start: start + self.size]
                         length = len(part_ids)

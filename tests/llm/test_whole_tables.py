@@ -122,9 +122,11 @@ def test_op4_ids_of_odd_texts():
     encode = packing.ChunkIds(packing.default_tokenizer())
     for text in ["don't <|endoftext|> x", "İstanbul ΑΣ Å é ﬁ ½ ² foo…!! 漢字かな nb it's 12ab3", "ŉ ſ ß ẞ ÿ Ÿ ×÷ a×b ‘q’ _x_",
                  "\x1c\x1d a\x85b 한글 🙂🙂hello🙂", "étude café"]:
-        got = [i for chunk in re.split(r"[\x20\x09-\x0D]+", text) if chunk
-               for i in np.frombuffer(encode.chunk(chunk), np.uint32).tolist()]
-        assert got == encode.whole.encode(text, add_special_tokens=False).ids
+        want = encode.whole.encode(text, add_special_tokens=False).ids
+        assert encode.text(text).tolist() == want
+        encode.known = False  # a tokenizer of another rule
+        assert encode.text(text).tolist() == want
+        encode.known = True
 
 
 def test_op5_counts_and_groups(spark, texts):
