@@ -11,14 +11,15 @@ characters; windows of long words).
 Model. Landmarks are the words that tell labelled toxic texts from clean ones
 best, no two too similar. The Nystroem map turns a sentence's similarities
 ``s`` into ``K^-1/2 s`` with the landmarks' kernel matrix K; a linear
-squared-hinge machine is trained on labelled sentences. A toxic document's
+squared-hinge machine is trained on labelled sentences (in the space of ``s``,
+with the penalty that the map gives, so that rows stay sparse). A toxic document's
 sentences are not all toxic, so it is represented by its highest one, chosen
 anew in every round. A document scores by the margins of its ``TOP`` highest
 sentences, through a logistic curve fitted to the training documents.
 
 Bounds: at most ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled documents (those
-with the smallest hash of doc_id) are fitted to, each with at most ``PER_DOC``
-sentences; whole texts are read. Scoring is one pass without shuffle.
+with the smallest hash of doc_id) are fitted to, with all sentences of their
+whole texts. Scoring is one pass without shuffle.
 
 Defined cases: null and empty texts score like a sentence without any similar
 unit; null labels and labels of absent documents are ignored; repeated label
@@ -47,7 +48,7 @@ ORDER, SPAN, DECAY = 3, 5, 0.7
 LANDMARKS, TOO_SIMILAR = 256, 0.95
 #: similarities below this count as none
 FAINT = 0.4
-MAX_POSITIVE, MAX_NEGATIVE, PER_DOC = 3000, 6000, 4
+MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 LONG, WINDOW, STRIDE = 16, 12, 4
 MEMO = 200_000
 THRESHOLD = 0.7
@@ -57,7 +58,8 @@ TOP = 3
 #: marks a string's ends, so that they count in its subsequences
 EDGE = "\x02"
 
-_SENTENCE = re.compile(r"[.!?]+\s+|\n+")
+_PUNCTUATION = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -67,11 +69,18 @@ _WEIGHTS = np.array([DECAY ** (b + 1) for _, b in _OFFSETS])
 MOST = 2048
 
 
-def variants(unit: str) -> list[str]:
-    """The strings by which a blank-separated unit is compared."""
-    core = _EDGE.sub("", unit)
-    joined = _INNER.sub("", core)
-    out = [core] if joined == core else [core, joined]
+def core_of(unit: str) -> str:
+    """A blank-separated unit without the punctuation around it."""
+    core = unit.strip(_PUNCTUATION)
+    return core if core.isalnum() else _EDGE.sub("", core)
+
+
+def variants(core: str) -> list[str]:
+    """The strings by which a unit without outer punctuation is compared."""
+    out = [core]
+    if not core.isalnum():
+        joined = _INNER.sub("", core)
+        out += [joined] if joined != core else []
     return [f"{EDGE}{w}{EDGE}" for s in out if len(s) >= ORDER
             for w in ([s] if len(s) <= LONG else
                       [s[i: i + WINDOW] for i in range(0, len(s) - WINDOW + STRIDE, STRIDE)])]
@@ -119,13 +128,21 @@ class Landmarks:
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[self.subs & np.uint64((1 << 20) - 1)] = True
 
-    def similarity(self, strings: list[str]) -> np.ndarray:
-        """Kernel values of at most ``MOST`` strings (rows) with the landmarks."""
+    def similarity(self, strings: list[str], least: float = 0.0) -> np.ndarray:
+        """Kernel values of at most ``MOST`` strings (rows) with the landmarks.
+
+        Strings whose values are all below ``least`` may stay zero: a landmark's
+        feature vector has length one, so no value exceeds the length of the part
+        of the string's own vector that landmarks share.
+        """
         shape = (len(strings), len(self.strings))
         if not strings or not len(self.subs):
             return np.zeros(shape)
         rows, subs, weights = features(strings)
         hit = np.flatnonzero(self.seen[subs & np.uint64((1 << 20) - 1)])
+        if least:
+            shared = np.bincount(rows[hit], weights[hit] ** 2, minlength=len(strings))
+            hit = hit[shared[rows[hit]] >= least ** 2]
         at = np.minimum(np.searchsorted(self.subs, subs[hit]), len(self.subs) - 1)
         same = self.subs[at] == subs[hit]
         hit, at = hit[same], at[same]
@@ -137,49 +154,47 @@ class Landmarks:
 
 
 class Units:
-    """Similarities of units, remembered by unit; most units have none."""
+    """Similarities of units, remembered by their cores; most units have none."""
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
         self.known: dict[str, np.ndarray | None] = {}
 
-    def learn(self, units: set[str]) -> None:
+    def learn(self, cores: set[str]) -> None:
         if len(self.known) > MEMO:
             self.known.clear()
-        fresh = [u for u in units if u not in self.known]
+        fresh = [u for u in cores if u not in self.known]
         self.known.update(dict.fromkeys(fresh))
         shown = [(u, v) for u in fresh for v in variants(u)]
         for lo in range(0, len(shown), MOST):
             part = shown[lo: lo + MOST]
-            near = self.landmarks.similarity([v for _, v in part])
+            near = self.landmarks.similarity([v for _, v in part], FAINT)
             for j in np.flatnonzero(near.max(axis=1, initial=0) >= FAINT).tolist():
                 u = part[j][0]
                 old = self.known[u]
                 new = np.where(near[j] >= FAINT, near[j], 0).astype(np.float32)
                 self.known[u] = new if old is None else np.maximum(old, new)
 
-    def loud_sentences(self, texts: list[str]) -> Iterator[list[list[str]]]:
-        """For each text, the units with any similarity of every sentence that has some."""
+    def loud_sentences(self, texts: list[str]) -> Iterator[list[set[str]]]:
+        """For each text, the cores with any similarity of every sentence that has some."""
         texts = [t.lower() for t in texts]
-        words = [t.split() for t in texts]
+        units = [set(t.split()) for t in texts]
         spelled = [[_INNER.sub("", m[0]) for m in _SPELLED.finditer(t)] for t in texts]
-        self.learn({u for w in words for u in w}.union(*spelled))
+        cores = {u: core_of(u) for u in set().union(*units)}
+        self.learn(set(cores.values()).union(*spelled))
         known = self.known
-        for text, own, runs in zip(texts, words, spelled):
-            out = [[u] for u in runs if known[u] is not None]
-            if any(known[u] is not None for u in set(own)):
+        loud = {u: c for u, c in cores.items() if known[c] is not None}
+        listed = set(loud)
+        for text, own, runs in zip(texts, units, spelled):
+            out = [{u} for u in runs if known[u] is not None]
+            here = own & listed
+            if here:
                 for sentence in _SENTENCE.split(text):
-                    near = [u for u in sentence.split() if known.get(u) is not None]
+                    near = here.intersection(sentence.split())
                     if near:
-                        out.append(near)
+                        out.append({loud[u] for u in near})
             yield out
 
-    def sentences(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text, one row of similarities per sentence with any."""
-        width = len(self.landmarks.strings)
-        return [np.array([np.max([self.known[u] for u in near], axis=0) for near in loud],
-                         dtype=np.float32).reshape(len(loud), width) for loud in self.loud_sentences(texts)]
-
 
 @dataclass
 class Model:
@@ -200,23 +215,69 @@ class Model:
         return float(logistic(margins @ self.slope + self.shift))
 
 
-def inverse_root(kernel: np.ndarray) -> np.ndarray:
+def nystroem_form(kernel: np.ndarray) -> np.ndarray:
+    """Squared length of the weights of mapped sentences, as a form of the weights of raw similarities.
+
+    The map is s -> R s with R the inverse root of the landmarks' (slightly
+    raised) kernel matrix; weights w of mapped sentences act on s as v = R w, so
+    |w|^2 is v' R^-2 v and R^-2 is the matrix itself.
+    """
     values, vectors = np.linalg.eigh(kernel + 1e-3 * np.eye(len(kernel)))
-    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    return vectors @ np.diag(np.maximum(values, 1e-6)) @ vectors.T
+
+
+class Sentences:
+    """Rows of similarities with the landmarks, most of them zero; equal rows are held once.
+
+    ``doc`` is the document of each sentence and ``row`` its row.
+    """
 
+    def __init__(self, width: int, rows: list[tuple[tuple[int, ...], tuple[float, ...]]], doc: np.ndarray, row: np.ndarray):
+        self.width, self.doc, self.row, self.size = width, doc, row, len(rows)
+        self.begin = np.cumsum([0, *(len(c) for c, _ in rows)])
+        self.col = np.fromiter((c for cols, _ in rows for c in cols), np.int64, int(self.begin[-1]))
+        self.val = np.fromiter((v for _, vals in rows for v in vals), np.float64, int(self.begin[-1]))
+        self.of = np.repeat(np.arange(self.size), np.diff(self.begin))
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Primal squared-hinge machine by Newton steps, in blocks of rows. Last: bias."""
-    size = x.shape[1] + 1
-    ridge = np.diag(np.r_[np.ones(size - 1), 1e-6]) / cost
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """One product per distinct row."""
+        return np.bincount(self.of, self.val * w[self.col], minlength=self.size)
+
+    def highest(self) -> np.ndarray:
+        out = np.zeros(self.size)
+        np.maximum.at(out, self.of, self.val)
+        return out
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        """The given rows with a last column of ones."""
+        out = np.zeros((len(rows), self.width + 1))
+        out[:, -1] = 1
+        many = np.diff(self.begin)[rows]
+        at = np.repeat(self.begin[rows] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        out[np.repeat(np.arange(len(rows)), many), self.col[at]] = self.val[at]
+        return out
+
+
+def fit_svm(x: Sentences, positive: np.ndarray, negative: np.ndarray, ridge: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Primal squared-hinge machine by Newton steps, in blocks of rows. Last: bias.
+
+    ``positive`` and ``negative`` count how often each distinct row stands for
+    either class; ``ridge`` is the quadratic form of the penalty.
+    """
+    size = x.width + 1
+    penalty = np.zeros((size, size))
+    penalty[:-1, :-1], penalty[-1, -1] = ridge, 1e-6
     w = np.zeros(size)
     for step in range(rounds):
-        gram, right = ridge.copy(), np.zeros(size)
-        for lo in range(0, len(x), 4096):
-            own, label = np.c_[x[lo: lo + 4096], np.ones(len(x[lo: lo + 4096]))], y[lo: lo + 4096]
-            active = label * (own @ w) < 1
-            gram += own[active].T @ own[active]
-            right += own[active].T @ label[active]
+        gram, right = penalty.copy(), np.zeros(size)
+        margin = x.times(w[:-1]) + w[-1]
+        up, down = np.where(margin < 1, positive, 0), np.where(margin > -1, negative, 0)
+        active = np.flatnonzero(up + down)
+        for lo in range(0, len(active), 2048):
+            rows = active[lo: lo + 2048]
+            own = x.dense(rows)
+            gram += (own * (up + down)[rows, None]).T @ own
+            right += own.T @ (up - down)[rows]
         new = np.linalg.solve(gram, right)
         if np.allclose(new, w, atol=1e-8):
             break
@@ -256,27 +317,21 @@ def highest(values: np.ndarray, doc: np.ndarray, n_docs: int, most: int) -> tupl
     return out, first
 
 
-def train(landmarks: list[str], x: np.ndarray, doc: np.ndarray, labels: np.ndarray,
-          odds: float | None = None) -> Model:
-    """Fit to the similarities ``x`` of bounded labelled documents' sentences.
+def train(landmarks: list[str], x: Sentences, labels: np.ndarray, odds: float | None = None) -> Model:
+    """Fit to the sentences of bounded labelled documents; every document has one at least.
 
-    ``doc`` is the document of each sentence, ``labels`` one per document;
-    ``odds`` are those of toxic to clean among all labels, where the sample's differ.
+    ``labels`` has one entry per document; ``odds`` are those of toxic to clean
+    among all labels, where the sample's differ.
     """
-    root = inverse_root(Landmarks(landmarks).similarity(landmarks))
-    lone = np.setdiff1d(np.arange(len(labels)), doc)  # documents without a similar sentence
-    x = np.concatenate([x, np.zeros((len(lone), x.shape[1]), x.dtype)])
-    doc = np.concatenate([doc, lone])
-    z = x @ root.astype(np.float32)
-    clean = labels[doc] == 0
-    score = x.max(axis=1, initial=0)
+    ridge = nystroem_form(Landmarks(landmarks).similarity(landmarks))
+    negative = np.bincount(x.row[labels[x.doc] == 0], minlength=x.size).astype(float)
+    score = x.highest()
     for _ in range(4):
-        chosen = highest(score, doc, len(labels), 1)[1][labels == 1]
-        rows = np.r_[chosen, np.flatnonzero(clean)]
-        w = fit_svm(z[rows], np.where(clean[rows], -1.0, 1.0))
-        score = z @ w[:-1]
-    model = Model(landmarks, root @ w[:-1], float(w[-1]), np.zeros(TOP), 0.0)
-    margins = np.maximum(highest(x @ model.weights, doc, len(labels), TOP)[0], 0) + model.bias
+        chosen = highest(score[x.row], x.doc, len(labels), 1)[1][labels == 1]
+        w = fit_svm(x, np.bincount(x.row[chosen], minlength=x.size).astype(float), negative, ridge)
+        score = x.times(w[:-1])
+    model = Model(landmarks, w[:-1], float(w[-1]), np.zeros(TOP), 0.0)
+    margins = np.maximum(highest(score[x.row], x.doc, len(labels), TOP)[0], 0) + model.bias
     model.slope, model.shift = fit_curve(margins, labels)
     if odds is not None:
         model.shift += float(np.log(odds * (labels == 0).sum() / labels.sum()))
@@ -290,16 +345,16 @@ class WordCounts:
         for batch in batches:
             seen = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                seen[label].update({v for u in set((text or "").lower().split()) for v in variants(u)})
+                seen[label].update({v for u in set(map(core_of, (text or "").lower().split())) for v in variants(u)})
             words = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()),
                  pa.array([seen[0][w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
 
 
-class Sentences:
-    """Task function: the sentences of a labelled text that are most like a landmark,
-    each as the landmarks it is like and how much (``many`` of them a sentence)."""
+class LabelledSentences:
+    """Task function: a labelled text's sentences that are like a landmark, as the
+    landmarks each is like and how much (``many`` of them a sentence)."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
@@ -310,16 +365,32 @@ class Sentences:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             many, at, near = [], [], []
             for lo in range(0, len(texts), 200):
-                for rows in units.sentences(texts[lo: lo + 200]):
-                    best = rows[np.argsort(-rows.max(axis=1, initial=0), kind="stable")[:PER_DOC]]
-                    many.append((best != 0).sum(axis=1).tolist())
-                    at.append(np.nonzero(best)[1].tolist())
-                    near.append(best[best != 0].tolist())
+                for loud in units.loud_sentences(texts[lo: lo + 200]):
+                    rows = [np.max([units.known[c] for c in cores], axis=0) for cores in loud]
+                    many.append([int((r != 0).sum()) for r in rows])
+                    at.append([i for r in rows for i in np.flatnonzero(r).tolist()])
+                    near.append([v for r in rows for v in r[r != 0].tolist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array(many, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int16())),
                  pa.array(near, pa.list_(pa.float32()))], names=["label", "many", "at", "near"])
 
 
+def gathered(found: pa.Table, width: int) -> tuple[Sentences, np.ndarray]:
+    """The rows of ``LabelledSentences`` with equal sentences held once; a document without any has an empty one."""
+    rows: dict[tuple, int] = {}
+    doc, row = [], []
+    labels = found.column("label").to_numpy()
+    for i, batch in enumerate(found.select(["many", "at", "near"]).to_batches(max_chunksize=1)):
+        many, at, near = (batch.column(c)[0].as_py() for c in ("many", "at", "near"))
+        begin = 0
+        for n in many or [0]:
+            key = tuple(at[begin: begin + n]), tuple(near[begin: begin + n])
+            begin += n
+            doc.append(i)
+            row.append(rows.setdefault(key, len(rows)))
+    return Sentences(width, list(rows), np.array(doc, dtype=np.int64), np.array(row, dtype=np.int64)), labels
+
+
 def label_of(labels: DataFrame, column: str, usable) -> DataFrame:
     """(doc_id, label) of the labels that may be learnt from."""
     return (labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & usable)
@@ -368,14 +439,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable) -> Model:
         share = min(max(mean or 0.0, 1e-9), 1 - 1e-9)
         return Model([], np.zeros(0), 0.0, np.zeros(TOP), float(np.log(share / (1 - share))))
     found = sample.mapInArrow(
-        Sentences(landmarks), "label int, many array<int>, at array<smallint>, near array<float>").toArrow().combine_chunks()
-    labelled_as = found.column("label").to_numpy()
-    many, at, near = (found.column(c).combine_chunks() for c in ("many", "at", "near"))
-    doc = np.repeat(np.arange(len(labelled_as)), many.value_lengths().to_numpy())
-    x = np.zeros((len(doc), len(landmarks)), dtype=np.float32)
-    x[np.repeat(np.arange(len(doc)), many.flatten().to_numpy()), at.flatten().to_numpy()] = near.flatten().to_numpy()
+        LabelledSentences(landmarks), "label int, many array<int>, at array<smallint>, near array<float>").toArrow()
+    x, labelled_as = gathered(found, len(landmarks))
     sizes = {r[0]: r[1] for r in label_of(labels, "toxic", usable).groupBy("label").count().collect()}
-    return train(landmarks, x, doc, labelled_as, sizes[1] / sizes[0])
+    return train(landmarks, x, labelled_as, sizes[1] / sizes[0])
 
 
 class TopSentences(Units):
@@ -392,10 +459,10 @@ class TopSentences(Units):
         self.positive = np.maximum(model.weights, 0)
         self.bounds: dict[str, float] = {}
 
-    def bound(self, unit: str) -> float:
-        value = self.bounds.get(unit)
+    def bound(self, core: str) -> float:
+        value = self.bounds.get(core)
         if value is None:
-            value = self.bounds[unit] = float(self.known[unit] @ self.positive)
+            value = self.bounds[core] = float(self.known[core] @ self.positive)
         return value
 
     def margins(self, texts: list[str]) -> list[np.ndarray]:
@@ -403,12 +470,12 @@ class TopSentences(Units):
             self.bounds.clear()
         none, out = self.model.margins(np.zeros((0, len(self.positive)))), []
         for loud in self.loud_sentences(texts):
-            tried = sorted(((sum(map(self.bound, set(near))), i) for i, near in enumerate(loud)), reverse=True)
+            tried = sorted(((sum(map(self.bound, near)), i) for i, near in enumerate(loud)), reverse=True)
             top = [0.0] * TOP
             for most, i in tried:
                 if most <= top[-1]:
                     break
-                value = float(np.max([self.known[u] for u in loud[i]], axis=0) @ self.model.weights)
+                value = float(np.max([self.known[c] for c in loud[i]], axis=0) @ self.model.weights)
                 if value > top[-1]:
                     top = sorted([*top, value], reverse=True)[:TOP]
             out.append(np.array(top) + self.model.bias if tried else none)
