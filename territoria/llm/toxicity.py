@@ -2,9 +2,11 @@
 
 Kernel. A string's features are its subsequences of ``ORDER`` characters within
 ``SPAN`` characters, each occurrence weighted ``DECAY`` to the power of the
-characters it spans; the kernel is the cosine of two feature vectors. A word
-with gaps or inserted characters still shares most subsequences with the plain
-word. A sentence is compared with a landmark string by its most similar unit
+characters it spans; the landmarks' kernel is the cosine of two feature vectors,
+and other strings are compared with a landmark over what they share with it
+(``Landmarks.similarity``). A word with gaps or inserted characters still shares
+most subsequences with the plain word, and its other letters do not count
+against it. A sentence is compared with a landmark string by its most similar unit
 (blank-separated word; the same without inner punctuation; a run of single
 characters; windows of long words).
 
@@ -46,8 +48,10 @@ from territoria.llm.words import mix
 
 ORDER, SPAN, DECAY = 3, 5, 0.7
 LANDMARKS, TOO_SIMILAR = 256, 0.95
-#: similarities below this count as none
+#: similarities below this count as none: about what words share by chance
 FAINT = 0.4
+#: least cosine over the shared part that counts, and what it counts for
+GAPPED, OTHERS = 0.63, 0.8
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 LONG, WINDOW, STRIDE = 16, 12, 4
 MEMO = 200_000
@@ -125,32 +129,49 @@ class Landmarks:
         order = np.argsort(subs, kind="stable")
         self.rows, self.weights = rows[order], self.weights[order]
         self.subs, self.first, self.many = np.unique(subs[order], return_index=True, return_counts=True)
+        self.most = np.maximum.reduceat(self.weights ** 2, self.first) if len(self.subs) else np.zeros(0)
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[self.subs & np.uint64((1 << 20) - 1)] = True
 
-    def similarity(self, strings: list[str], least: float = 0.0) -> np.ndarray:
-        """Kernel values of at most ``MOST`` strings (rows) with the landmarks.
+    def kernel(self) -> np.ndarray:
+        """Cosines of the landmarks themselves."""
+        rows, subs, weights = features(self.strings)
+        at = np.searchsorted(self.subs, subs)
+        out = np.zeros((len(self.strings), len(self.subs)))
+        out[rows, at] = weights
+        return out @ out.T
 
-        Strings whose values are all below ``least`` may stay zero: a landmark's
-        feature vector has length one, so no value exceeds the length of the part
-        of the string's own vector that landmarks share.
+    def similarity(self, strings: list[str], least: float = 0.0) -> np.ndarray:
+        """Similarities of at most ``MOST`` strings (rows) to the landmarks.
+
+        The kernel's cosine; or, where a string holds most of a landmark among
+        other letters, the cosine over the part that the landmark shares (from
+        ``GAPPED`` on, times ``OTHERS``): letters put in between add subsequences
+        that the landmark does not have, which lower the plain cosine alone.
+        Neither value exceeds the square root of the landmark's shared share, so
+        strings that share too little of every landmark for ``least`` stay zero.
         """
         shape = (len(strings), len(self.strings))
         if not strings or not len(self.subs):
             return np.zeros(shape)
         rows, subs, weights = features(strings)
         hit = np.flatnonzero(self.seen[subs & np.uint64((1 << 20) - 1)])
-        if least:
-            shared = np.bincount(rows[hit], weights[hit] ** 2, minlength=len(strings))
-            hit = hit[shared[rows[hit]] >= least ** 2]
         at = np.minimum(np.searchsorted(self.subs, subs[hit]), len(self.subs) - 1)
         same = self.subs[at] == subs[hit]
         hit, at = hit[same], at[same]
+        if least:
+            enough = np.bincount(rows[hit], self.most[at], minlength=len(strings))[rows[hit]] >= least ** 2
+            hit, at = hit[enough], at[enough]
         many = self.many[at]
         each = np.repeat(self.first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         cell = np.repeat(rows[hit], many) * shape[1] + self.rows[each]
-        return np.bincount(cell, np.repeat(weights[hit], many) * self.weights[each],
-                           minlength=shape[0] * shape[1]).reshape(shape)
+        own = np.repeat(weights[hit], many)
+        cosine = np.bincount(cell, own * self.weights[each], minlength=shape[0] * shape[1])
+        # the part shared is looked at only where enough of the landmark is shared
+        held = np.bincount(cell, self.weights[each] ** 2, minlength=shape[0] * shape[1]) >= GAPPED ** 2
+        shared = np.bincount(cell, np.where(held[cell], own ** 2, 0), minlength=shape[0] * shape[1])
+        matched = np.divide(cosine, np.sqrt(shared), out=np.zeros_like(cosine), where=shared > 0)
+        return np.maximum(cosine, np.where(matched >= GAPPED, OTHERS * matched, 0)).reshape(shape)
 
 
 class Units:
@@ -323,7 +344,7 @@ def train(landmarks: list[str], x: Sentences, labels: np.ndarray, odds: float |
     ``labels`` has one entry per document; ``odds`` are those of toxic to clean
     among all labels, where the sample's differ.
     """
-    ridge = nystroem_form(Landmarks(landmarks).similarity(landmarks))
+    ridge = nystroem_form(Landmarks(landmarks).kernel())
     negative = np.bincount(x.row[labels[x.doc] == 0], minlength=x.size).astype(float)
     score = x.highest()
     for _ in range(4):
@@ -422,7 +443,7 @@ def choose_landmarks(sample: DataFrame) -> list[str]:
             .orderBy(F.desc("gain"), "word").limit(4 * LANDMARKS).collect())
     words = [r["word"] for r in best]
     assert len(words) <= MOST
-    near = Landmarks(words).similarity(words)
+    near = Landmarks(words).kernel()
     chosen: list[int] = []
     for i in range(len(words)):
         if len(chosen) < LANDMARKS and near[i, chosen].max(initial=0) < TOO_SIMILAR:

@@ -205,3 +205,70 @@ def test_registered_spelling_query(spark):
     got = entry.queries()["op12_spelling_variants"](spark, SF)
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert set(map(tuple, got.collect())) == brute(counted(rows))
+
+
+def test_gapped_words_stay_similar():
+    """Two inserted letters, and a letter in every gap; words that share little stay apart."""
+    from territoria.llm.toxicity import EDGE, FAINT, Landmarks
+
+    plain = ["snackwit", "idiot", "stupid", "grumphole", "dredgeface"]
+    marks = Landmarks([f"{EDGE}{w}{EDGE}" for w in plain])
+    for i, own in enumerate([["snackwit", "snaqckwzit", "sxnxaxcxkxwxixt"], ["idxxiot", "ixdxixoxt"], ["stuxxpid", "stuppid"],
+                             ["grxumxphxolxe", "grumpphole"], ["dredzzgeface", "dqrwegdsgzefmakcre"]]):
+        near = marks.similarity([f"{EDGE}{w}{EDGE}" for w in own], FAINT)
+        assert (near[:, i] >= FAINT).all() and (near.argmax(axis=1) == i).all()
+    far = marks.similarity([f"{EDGE}{w}{EDGE}" for w in ["window", "garden", "telephone", "surface", "idea", "stunning"]], FAINT)
+    assert (far < FAINT).all()
+
+
+def test_kernel_equals_enumeration():
+    from territoria.llm.toxicity import DECAY, ORDER, SPAN, Landmarks
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(3, 9))) for _ in range(30)]
+
+    def vector(w):
+        out = Counter()
+        for i in range(len(w)):
+            for b in range(ORDER - 1, SPAN):
+                for a in range(1, b):
+                    if i + b < len(w):
+                        out[w[i], w[i + a], w[i + b]] += DECAY ** (b + 1)
+        return out
+
+    vectors = [vector(w) for w in words]
+    norm = [sum(v * v for v in x.values()) ** 0.5 for x in vectors]
+    want = [[sum(v * y[k] for k, v in x.items()) / (m * n) for y, n in zip(vectors, norm)] for x, m in zip(vectors, norm)]
+    assert np.allclose(Landmarks(words).kernel(), want)
+    # plain cosine or the cosine over the shared part, whichever rule gives more
+    from territoria.llm.toxicity import GAPPED, OTHERS
+    for w, x, m, got in zip(words, vectors, norm, Landmarks(words).similarity(words)):
+        for y, n, value in zip(vectors, norm, got):
+            dot, shared = sum(v * y[k] for k, v in x.items()), sum(v * v for k, v in x.items() if k in y) ** 0.5
+            matched = dot / (n * shared) if shared else 0
+            assert np.isclose(value, max(dot / (m * n), OTHERS * matched if matched >= GAPPED else 0))
+
+
+def test_machine_equals_the_mapped_machine():
+    """Training on raw similarities with the map's penalty is training on mapped rows."""
+    from territoria.llm import toxicity as tx
+
+    r = np.random.default_rng(1)
+    root = r.normal(size=(5, 5))
+    kernel = root @ root.T / 5
+    x = np.abs(r.normal(size=(60, 5))) * (r.random((60, 5)) < 0.5)
+    rows = [(tuple(np.flatnonzero(v).tolist()), tuple(v[v != 0].tolist())) for v in x]
+    y = np.where(x[:, 0] + 0.3 * r.normal(size=60) > 0.5, 1.0, -1.0)
+    ridge = tx.nystroem_form(kernel)
+    w = tx.fit_svm(tx.Sentences(5, rows, np.arange(60), np.arange(60)), (y > 0).astype(float), (y < 0).astype(float), ridge)
+    values, vectors = np.linalg.eigh(kernel + 1e-3 * np.eye(5))
+    mapped = x @ (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T)
+
+    def loss(v, bias, z, penalty):
+        return penalty + (np.maximum(0, 1 - y * (z @ v + bias)) ** 2).sum()
+
+    best = loss(w[:-1], w[-1], x, w[:-1] @ ridge @ w[:-1])
+    u = np.linalg.lstsq(mapped, x @ w[:-1], rcond=None)[0]
+    for _ in range(200):  # no nearby point of the mapped problem is better
+        d = r.normal(size=6) * 1e-2
+        assert best <= loss(u + d[:5], w[-1] + d[5], mapped, (u + d[:5]) @ (u + d[:5])) + 1e-6
