@@ -1,13 +1,15 @@
 """Sharding by balanced label propagation.
 
 Documents are linked through hubs (here: equal texts; the operator takes any
-(id, hub) incidence). Linked documents start dealt round-robin over the shards.
-In every round a hub's votes are its documents per shard - a partial count, so
+(id, hub) incidence). Linked documents start in the order of their hubs, cut
+where a shard's share of them ends, so that at most one hub a border is torn at
+first. In every round a hub's votes are its documents per shard - a partial count, so
 a hub with very many documents costs a row per shard - and a document asks for
 the shard with most votes of its hubs if that has more votes than its own, ties
 going to the shard all its neighbours prefer in this round too. The counts asked
 per pair of shards decide how many move: first along cycles of shards, which
-exchange equal numbers, then into free room. A shard that can give neither is
+exchange equal numbers, then into free room. Only documents of torn hubs are
+looked at, as no other has a reason to move. A shard that can give neither is
 left out until nothing else moves. Rounds end when nothing moves with any of
 ``TIES`` choices among ties in a row, or (documents of several hubs) when moves no longer
 bring linked documents together. Unlinked documents cut no edge: they fill the
@@ -111,7 +113,9 @@ def propagate(labels: DataFrame, links: DataFrame, capacity: list[int]) -> DataF
                 kept, most, stale = labels, together, 0
             elif stale > TIES:
                 return kept
-            asked = cut(here.withColumnRenamed("shard", "own").join(votes, "hub").groupBy("id", "own")
+            torn = votes.where(" + ".join(f"int(v{s} > 0)" for s in range(shards)) + " > 1").select("hub")
+            touched = links.join(torn, "hub").select("id").distinct()
+            asked = cut(here.join(touched, "id").withColumnRenamed("shard", "own").join(votes, "hub").groupBy("id", "own")
                         .agg(F.min("hub").alias("hub"), *[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)]))
         shown = [s for s in range(shards) if (room[s] > 0 or s in left) and s not in shut]
         choice = F.greatest(*[F.when(F.lit(s in shown) | (F.col("own") == s), F.struct(
@@ -145,6 +149,44 @@ def propagate(labels: DataFrame, links: DataFrame, capacity: list[int]) -> DataF
             return kept
 
 
+def borders(quota: list[int], linked: int) -> list[int]:
+    """Where the shards' shares of ``linked`` documents end, in proportion to the quotas."""
+    total, ends, end = max(sum(quota), 1), [], 0
+    for q in quota:
+        end += q
+        ends.append(end * linked // total)
+    return ends
+
+
+def start(linked: DataFrame, groups: DataFrame, quota: list[int]) -> DataFrame:
+    """(id, shard): the rows (row, part, hub) in the order of their hubs (hub, n), cut at the borders.
+
+    Hubs are numbered in range partitions; only the hubs that a border cuts have
+    their rows numbered.
+    """
+    ranged = cut(groups.repartitionByRange("hub").withColumn("slice", F.spark_partition_id()))
+    sizes = {r["slice"]: r["n"] for r in ranged.groupBy("slice").agg(F.sum("n").alias("n")).collect()}
+    offset, listed = 0, []
+    for k in sorted(sizes):
+        listed += [F.lit(k), F.lit(offset).cast("long")]
+        offset += sizes[k]
+    if not listed:
+        return linked.select(F.col("row").alias("id"), F.lit(0).alias("shard")).limit(0)
+    ends = borders(quota, offset)
+    before = F.sum("n").over(Window.partitionBy("slice").orderBy("hub").rowsBetween(Window.unboundedPreceding, -1))
+    place = F.element_at(F.create_map(*listed), F.col("slice")) + F.coalesce(before, F.lit(0))
+
+    def shard_at(at):
+        return sum((F.when(at >= e, 1).otherwise(0) for e in ends[:-1]), F.lit(0)).cast("int")
+
+    placed = ranged.withColumn("place", place).select(
+        "hub", "place", shard_at(F.col("place")).alias("low"), shard_at(F.col("place") + F.col("n") - 1).alias("high"))
+    rows = cut(linked.join(placed, "hub"))
+    torn = ordinals(rows.where("low < high").select("row", "part", "hub", "place"), ["hub"], "k")
+    return (rows.where("low = high").select(F.col("row").alias("id"), F.col("low").alias("shard"))
+            .unionByName(torn.select(F.col("row").alias("id"), shard_at(F.col("place") + F.col("k")).alias("shard"))))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = text_of()
@@ -155,11 +197,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     # written, so that both sides of the join are shuffled and a large group can be split
-    groups = cut(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"))
-    linked = cut(rows.select("row", "part", "hub").join(groups, "hub"))
-    start = ordinals(linked.select("row", "part"), [], "k").select(
-        F.col("row").alias("id"), F.expr(f"cast(k % {shards} as int)").alias("shard"))
-    labels = propagate(start, linked.select(F.col("row").alias("id"), "hub"), quota)
+    groups = cut(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    linked = cut(rows.select("row", "part", "hub").join(groups.select("hub"), "hub"))
+    labels = propagate(start(linked, groups, quota), linked.select(F.col("row").alias("id"), "hub"), quota)
     labelled = rows.drop("hub").join(labels.withColumnRenamed("id", "row"), "row", "left")
     placed = ordinals(labelled.where("shard is not null"), ["shard"], "slot")
     limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard").cast("int") + 1)

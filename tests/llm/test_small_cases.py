@@ -141,6 +141,25 @@ def test_sharding_of_a_table_of_pairs(spark):
     assert sum(len(s) > 1 for s in shards.values()) <= 24
 
 
+@pytest.mark.parametrize("size, most", [(5, 24), (3, 24), (50, 24)])
+def test_sharding_keeps_groups_together(spark, size, most):
+    df = spark.range(2400).selectExpr("id as doc_id", f"concat('text ', (id * 7919 % 2400) div {size}) as text")
+    rows = sharding.shard(df, 24).collect()
+    assert [sum(r.shard == s for r in rows) for s in range(24)] == [100] * 24
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.doc_id * 7919 % 2400 // size, set()).add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= min(most, 0.05 * 2400 / size + 1)
+
+
+def test_start_cuts_at_the_borders():
+    assert sharding.borders([3, 3, 2], 8) == [3, 6, 8] and sharding.borders([10, 10, 10], 7) == [2, 4, 7]
+    for linked in range(0, 101):
+        quota = [13] * 4 + [12] * 4
+        ends = [0, *sharding.borders(quota, linked)]
+        assert ends[-1] == linked and all(b - a <= q for a, b, q in zip(ends, ends[1:], quota))
+
+
 def test_exchange_keeps_room():
     want = {(0, 1): 5, (1, 0): 3, (1, 2): 4, (2, 0): 1, (0, 2): 2}
     moves = sharding.exchange(want, [0, 0, 1])
