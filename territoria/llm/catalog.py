@@ -52,7 +52,7 @@ def op5_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.format_conversations(table(spark, sf_dir, "conversations"))
+    return quotes.in_reply_order(quotes.format_conversations(table(spark, sf_dir, "conversations")))
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
