@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from territoria.llm.words import mix
 
 ORDER, SPAN, DECAY = 3, 5, 0.7
-LANDMARKS, TOO_SIMILAR = 256, 0.95
+LANDMARKS, TOO_SIMILAR = 64, 0.95
 #: similarities below this count as none: about what words share by chance
 FAINT = 0.4
 #: least cosine over the shared part that counts, and what it counts for
