@@ -1230,16 +1230,17 @@ def q_holdout_energy(spark, d):
     return en.holdout_energy(pred, reg, 0.3)
 
 
-@register("given_holdout_energy", sql_r6(S.with_(S.REGISTRATIONS) + """
- SELECT l_orderkey, l_linenumber, cantidad_ev * 1.25 AS cantidad_ev_pred,
-        coalesce(CASE WHEN l_linenumber % 3 > 0 THEN kwh_promedio END, (SELECT median(kwh_promedio) FROM reg)) AS kwh_promedio,
-        coalesce(CASE WHEN l_linenumber % 2 > 0 THEN potencia_carga END, (SELECT median(potencia_carga) FROM reg)) AS potencia_carga,
-        0.3 AS simultaneidad,
-        cantidad_ev * 1.25 * coalesce(CASE WHEN l_linenumber % 3 > 0 THEN kwh_promedio END,
-            (SELECT median(kwh_promedio) FROM reg)) AS consumo_energetico,
-        cantidad_ev * 1.25 * coalesce(CASE WHEN l_linenumber % 2 > 0 THEN potencia_carga END,
-            (SELECT median(potencia_carga) FROM reg)) * 0.3 AS demanda_futura
- FROM reg""", ["cantidad_ev_pred", "kwh_promedio", "potencia_carga", "simultaneidad", "consumo_energetico", "demanda_futura"]))
+@register("given_holdout_energy", sql_r6("""
+WITH reg AS (SELECT l_orderkey, l_linenumber, l_quantity * 1.25 AS pred, l_extendedprice AS kwh, p_retailprice AS kw
+             FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+             JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
+given AS (SELECT l_orderkey, l_linenumber, pred AS cantidad_ev_pred,
+                 CASE WHEN l_linenumber % 3 > 0 THEN kwh ELSE (SELECT median(kwh) FROM reg) END AS kwh_promedio,
+                 CASE WHEN l_linenumber % 2 > 0 THEN kw ELSE (SELECT median(kw) FROM reg) END AS potencia_carga,
+                 CAST(0.3 AS DOUBLE) AS simultaneidad FROM reg)
+SELECT *, cantidad_ev_pred * kwh_promedio AS consumo_energetico,
+       cantidad_ev_pred * potencia_carga * simultaneidad AS demanda_futura FROM given""",
+    ["cantidad_ev_pred", "kwh_promedio", "potencia_carga", "simultaneidad", "consumo_energetico", "demanda_futura"]))
 def q_given_holdout_energy(spark, d):
     """The hold-out flow's energy step on given predictions, with measures missing in places."""
     reg = tb.registrations(spark, d)
