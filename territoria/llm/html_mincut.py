@@ -6,7 +6,9 @@ cost of calling it boilerplate (capacity from the source) or content (capacity
 to the sink). Smoothness edges join a block with the next one in page order and
 with the next one below the same parent, stronger the nearer the two are in the
 document tree. The minimum cut, found by maximum flow, labels all blocks at
-once; blocks on the source's side are the main text, in page order.
+once; blocks on the source's side are the main text, in page order. A page
+without any content block by these costs (a few bare words) is cut once more by
+names, enclosing elements and links alone.
 
 One page is worked on at a time; pages need no shuffle.
 
@@ -27,10 +29,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z) | <[!?][^>]*> |
-        <(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)
-         (?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S | re.X)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
+_STOP = re.compile("[\"'>]")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
@@ -44,6 +44,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: an opening tag ends an open element of these
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "body": {"head"}}
+#: end tags of these do not reach beyond a table or article
+INLINE = frozenset("p li b i a span em strong".split())
 APART = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 BOILERPLATE_NAMES = frozenset(
@@ -59,10 +61,16 @@ CONTENT_NAMES = frozenset("article content entry main post story text body artic
 
 #: classifier: weight of a content word, a full stop, the share of linked text, tags and enclosing elements
 WORD, WORDS_MOST, STOP, LINKED = 0.05, 60, 0.6, -4.0
+#: the same weight of linked text for running text of an article, whose words may well be links
+LINKED_TEXT, RUNNING = -1.5, frozenset("p h1 h2 h3 pre blockquote".split())
+#: what a block costs on a page where no block looks like content, beside its names and links
+UNKNOWN = 2.0
 TAG = {"p": 0.6, "h1": 0.8, "h2": 0.3, "h3": 0.3, "pre": 0.5, "blockquote": 0.4, "li": -0.3, "td": -0.2, "div": -0.2}
 IN_MAIN, OUT_OF_MAIN, IN_APART, IN_HEADER, BAD_NAME, GOOD_NAME, BIAS = 2.5, -2.0, -8.0, -5.0, -6.0, 1.0, -0.6
 #: smoothness of neighbours below one parent; halved for every step further apart in the tree
 NEAR, LEAST = 0.8, 0.1
+#: steps beyond which the smoothness stays the least
+FAR = 8
 
 
 @dataclass
@@ -116,98 +124,162 @@ def _opened(name: str, attrs: str, parent: Element | None) -> Element:
                    main or name in MAIN)
 
 
+class Tags:
+    """The page's tags from left to right: (begin, end, closing, name, attributes); markup without a name has none.
+
+    Every character is looked at a bounded number of times: a quote that is
+    never closed, or a tag that never ends, is found out once for the page.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+        self.unclosed: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends; a ">" within quotes does not end it."""
+        place = at
+        while self.quotes:
+            m = _STOP.search(self.html, place)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            place = self.html.find(m[0], m.end()) + 1
+            if not place:
+                break
+        self.quotes = False
+        return self.html.find(">", at)
+
+    def __iter__(self):
+        at = 0
+        while (m := _OPEN.search(self.html, at)) and m.end() <= self.last:
+            name = m[2]
+            if name is None:
+                comment = self.html.startswith("<!--", m.start())
+                end = self.html.find("-->", m.start() + 4) + 2 if comment else self.html.find(">", m.end())
+                at = len(self.html) if comment and end < 2 else end + 1
+                yield m.start(), at, False, None, ""
+                continue
+            end = self._end(m.end())
+            name = name.lower()
+            at = end + 1
+            if not m[1] and name in SKIPPED:
+                at = self._after(name, at)
+            yield m.start(), at, bool(m[1]), name, self.html[m.end(): end]
+        if m and m[2] is None and self.html.startswith("<!--", m.start()):
+            yield m.start(), len(self.html), False, None, ""
+
+    def _after(self, name: str, at: int) -> int:
+        """Behind the closing tag of a skipped element; a script or style without one takes the rest."""
+        end = None if name in self.unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(self.html, at)
+        if end:
+            return end.end()
+        self.unclosed.add(name)
+        return len(self.html) if name in ("script", "style") else at
+
+
+class Open:
+    """The open elements, with the places of every name and of the block-level ones."""
+
+    def __init__(self):
+        self.stack = [Element("#page", 0, None, 0.0, 0.0, False, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.stack))
+        if element.name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def innermost(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, names, stop) -> None:
+        """Pop up to the innermost open element of these names, not beyond ``stop``."""
+        place = self.innermost(names)
+        if place > self.innermost(stop):
+            while len(self.stack) > place:
+                name = self.stack.pop().name
+                self.places[name].pop()
+                if name in BLOCK:
+                    self.blocks.pop()
+
+    def owner(self) -> Element:
+        return self.stack[self.blocks[-1]]
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in page order."""
-    stack = [Element("#page", 0, None, 0.0, 0.0, False, False, False)]
+    page = Open()
     out: list[Block] = []
     parts: list[str] = []
-    linked = links = at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, owner()))
+            out.append(Block(text, linked, page.owner()))
         parts.clear()
         linked = 0
 
-    def owner() -> Element:
-        for e in reversed(stack):
-            if e.name in BLOCK or e.name == "#page":
-                return e
-        return stack[0]
-
-    def close(names: set[str], stop: set[str]) -> None:
-        """Pop up to the innermost open element of these names, not beyond ``stop``."""
-        nonlocal links
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                links -= sum(e.name == "a" for e in stack[i:])
-                del stack[i:]
-                return
-            if stack[i].name in stop:
-                return
-
     def read(raw: str) -> None:
         nonlocal linked
         if raw:
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if page.places.get("a"):
                 linked += len("".join(text.split()))
 
-    size = len(html)
-    while at < size:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            read(html[at:])
-            break
-        read(html[at: m.start()])
-        at = m.end()
-        name = m["name"]
+    for begin, end, closing, name, attrs in Tags(html):
+        read(html[at:begin])
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name in BLOCK:
             flush()
         elif name == "br":
             parts.append(" ")
-        if m["end"]:
-            close({name}, {"table", "article", "main"} if name in ("p", "li", "b", "i", "a", "span", "em", "strong") else set())
-            continue
-        if name in SKIPPED:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else (size if name in ("script", "style") else at)
+        if closing:
+            page.close((name,), ("table", "article", "main") if name in INLINE else ())
+        elif name in SKIPPED:
             parts.append(" ")
-            continue
-        if name in VOID:
-            continue
-        if name in BLOCK:
-            close({"p"}, BLOCK - {"p"})
-            if name in ENDS:
-                close(ENDS[name], {"ul", "ol", "dl", "table"})
-        stack.append(_opened(name, m["attrs"], stack[-1]))
-        links += name == "a"
+        elif name not in VOID:
+            if name in BLOCK:
+                if page.owner().name == "p":
+                    page.close(("p",), ())
+                if name in ENDS:
+                    page.close(ENDS[name], ("ul", "ol", "dl", "table"))
+            page.push(_opened(name, attrs, page.stack[-1]))
+    read(html[at:])
     flush()
     return out
 
 
+def links(block: Block) -> float:
+    """What the share of linked text adds."""
+    e = block.element
+    running = e.article and e.name in RUNNING and e.adds() >= 0
+    return (LINKED_TEXT if running else LINKED) * min(block.linked / max(len(block.text) - block.text.count(" "), 1), 1.0)
+
+
 def cost(block: Block, has_main: bool) -> float:
     """Above zero: how much dearer it is to call the block boilerplate than content."""
     text, e = block.text, block.element
     value = BIAS + WORD * min(text.count(" ") + 1, WORDS_MOST) + TAG.get(e.name, 0.0)
     value += STOP * (text[-1] in ".!?…。\"”»")
-    value += LINKED * min(block.linked / max(len(text) - text.count(" "), 1), 1.0) + e.adds()
+    value += links(block) + e.adds()
     if has_main:
         value += IN_MAIN if e.main else OUT_OF_MAIN
     return value
 
 
 def distance(a: Element, b: Element) -> int:
-    """Steps from the two elements up to their common ancestor, the longer way."""
+    """Steps from the two elements up to their common ancestor, the longer way; at most ``FAR``."""
     steps = 0
     x, y = a, b
-    while x is not y:
+    while x is not y and steps < FAR:
         if x.depth >= y.depth and x.parent is not None:
             x, y, steps = x.parent, (y.parent if y.depth == x.depth and y.parent is not None else y), steps + 1
         else:
@@ -289,8 +361,12 @@ def main_text(html: str | None) -> str:
     blocks = blocks_of(html or "")
     if not blocks:
         return ""
-    has_main = any(b.element.main for b in blocks)
-    label = minimum_cut([cost(b, has_main) for b in blocks], smoothness(blocks))
+    has_main, edges = any(b.element.main for b in blocks), smoothness(blocks)
+    label = minimum_cut([cost(b, has_main) for b in blocks], edges)
+    if not any(label):
+        # no block looks like an article's: what neither names nor links speak against
+        label = minimum_cut([UNKNOWN + links(b) + b.element.adds() + (OUT_OF_MAIN if has_main and not b.element.main else 0)
+                             for b in blocks], edges)
     return "\n\n".join(b.text for b, content in zip(blocks, label) if content)
 
 
