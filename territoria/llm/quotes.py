@@ -13,7 +13,7 @@ the message that its first-level passages quote most of, else to the latest
 earlier turn that exists; if there is none, it starts a thread. Thread and depth
 come from pointer doubling and positions from range partitions, so a very long
 conversation is never one group. A reply always has a later turn than what it
-replies to, so the turn orders a thread; ``position`` numbers its messages.
+replies to, so the turn orders a thread; ``position`` numbers its places.
 
 Only conversations with a quotation are split into lines and joined.
 
@@ -167,7 +167,7 @@ def threads(places: DataFrame) -> DataFrame:
 def format_conversations(messages: DataFrame) -> DataFrame:
     """The messages with their text free of quotations, and reply_to, linked,
     thread, depth, n_passages, n_linked and position in the thread's reply
-    order; other columns are kept."""
+    order (rows of one place share it); other columns are kept."""
     other = [c for c in messages.columns if c not in ("conv_id", "turn", "text", *RESULT)]
     row = F.struct(F.xxhash64("conv_id", "turn", text_of()).alias("a"), F.xxhash64(F.lit(7), text_of(), "turn", "conv_id").alias("b"))
     rows = messages.select("conv_id", "turn", "text", F.struct(*other).alias("__other") if other else F.lit(None).alias("__other"),
@@ -184,16 +184,13 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     replies = cut(followed.join(quoted, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.coalesce("cited", "previous").alias("up"), F.col("cited").isNotNull().alias("linked")))
     known = replies.withColumnRenamed("up", "reply_to").join(threads(replies), ["conv_id", "turn"])
+    known = ordinal_within_key(known, ["conv_id", "thread"], [F.col("turn")], out="position")
     zero = F.lit(0).cast("bigint")
-    out = (rows.join(known, ["conv_id", "turn"], "left").join(per_message, "__row", "left")
-           .select("conv_id", "turn", "__other", "__row", own_text(text_of()).alias("text"), "reply_to",
-                   F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("thread", "turn").alias("thread"),
-                   F.coalesce("depth", zero).alias("depth"), F.coalesce("n_passages", zero).alias("n_passages"),
-                   F.coalesce("n_linked", zero).alias("n_linked")))
-    whole = "conv_id is not null and turn is not null"
-    placed = ordinal_within_key(out.where(whole), ["conv_id", "thread"], [F.col("turn"), F.col("__row")], out="position")
-    alone = out.where(f"not ({whole})").withColumn("position", F.lit(None).cast("bigint"))
-    return placed.unionByName(alone).select("conv_id", "turn", *[F.col("__other").getField(c).alias(c) for c in other], "text", *RESULT)
+    return (rows.join(known, ["conv_id", "turn"], "left").join(per_message, "__row", "left")
+            .select("conv_id", "turn", *[F.col("__other").getField(c).alias(c) for c in other], own_text(text_of()).alias("text"),
+                    "reply_to", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("thread", "turn").alias("thread"),
+                    F.coalesce("depth", zero).alias("depth"), F.coalesce("n_passages", zero).alias("n_passages"),
+                    F.coalesce("n_linked", zero).alias("n_linked"), "position"))
 
 
 def in_reply_order(formatted: DataFrame) -> DataFrame:

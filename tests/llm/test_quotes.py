@@ -49,7 +49,7 @@ def test_repeated_rows_keep_their_link(spark):
     rows = [(1, 0, "u", original), (1, 1, "a", "between"), (1, 2, "u", quoted), (1, 2, "u", quoted)]
     out = [r for r in formatted(spark, rows).collect() if r.turn == 2]
     assert len(out) == 2 and all((r.reply_to, r.n_passages, r.n_linked) == (0, 1, 1) for r in out)
-    assert sorted(r.position for r in out) == [3, 4]
+    assert [r.position for r in out] == [3, 3]  # one place
     assert len({r.thread for r in out}) == 1
 
 
@@ -125,5 +125,11 @@ def test_one_hot_unit_makes_no_pairs(spark):
     assert out.agg(F.max("position")).first()[0] == n
 
 
+def test_reply_order(spark):
+    rows = [(c, t, "u", f"message {t}") for c in (2, 1) for t in (4, 0, 9)]
+    out = quotes.in_reply_order(formatted(spark, rows)).collect()
+    assert [(r.conv_id, r.turn, r.position) for r in out] == [(c, t, i + 1) for c in (1, 2) for i, t in enumerate((0, 4, 9))]
+
+
 def test_own_text_keeps_other_lines():
     assert re.fullmatch(quotes.ATTRIBUTION, "wrote on Monday:")
