@@ -49,10 +49,14 @@ class ForestModel:
         return out
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
-        res = self.pipeline.transform(self._prep(df))
-        drop = [c for c in res.columns if c.startswith("_f_") or c.startswith("_ix_")
-                or c.startswith("_oh_") or c in ("_features",)]
-        return res.withColumnRenamed("_prediction", out).drop(*drop)
+        """Add the prediction ``out``. The trees are walked once per distinct (imputed)
+        feature vector and its prediction is joined to the rows: walking them for
+        every row costs far more, and only the tasks that hold rows would do it."""
+        rows = self._prep(df)
+        keys = [f"_f_{c}" for c in self.numeric + self.categorical]
+        seen = self.pipeline.transform(rows.select(*keys).distinct())
+        found = seen.select(*keys, F.col("_prediction").alias(out))
+        return rows.join(found, keys, "left").drop(*keys)
 
     def feature_importance(self, spark: SparkSession) -> DataFrame:
         """(feature, importance) sorted descending; names follow the

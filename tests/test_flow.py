@@ -86,6 +86,30 @@ def test_forest_of_grouped_rows_is_as_good(spark):
     assert abs(errors[0] - errors[1]) < 0.1 * errors[1]
 
 
+def test_trees_are_walked_once_per_feature_vector(spark):
+    kind = "anio int, departamento string, tipo_vehiculo string, cantidad_ev double"
+    rows = [(2010 + i % 3, "AB"[i % 2], "T", float(i % 7)) for i in range(60)]
+    model = fr.fit_forest(spark.createDataFrame(rows, kind), fr.FEATURES_A, "cantidad_ev", num_trees=5, max_depth=5)
+    asked = [(2011, "A", "T", 1.0)] * 40 + [(2012, "new", None, None)] * 3 + [(None, None, "T", 2.0)] * 2
+    df = spark.createDataFrame(asked, kind).withColumn("row", F.monotonically_increasing_id())
+    row_by_row = {r.row: r._prediction for r in model.pipeline.transform(model._prep(df)).collect()}
+
+    class Walked:
+        stages, rows = model.pipeline.stages, []
+
+        def transform(self, vectors):
+            self.rows.append(vectors.count())
+            return model.pipeline.transform(vectors)
+
+    walked = Walked()
+    counting = fr.ForestModel(walked, model.fills, model.numeric, model.categorical)
+    out = counting.predict(df, "p")
+    assert out.columns == [*df.columns, "p"]
+    assert {r.row: r.p for r in out.collect()} == row_by_row and out.count() == 45
+    assert walked.rows == [2]  # filled in, the last is the first
+    assert sorted(map(str, out.drop("p").collect())) == sorted(map(str, df.collect()))
+
+
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0, None, float("nan")], [2.0] * 50 + [1.0, 7.0]])
 def test_exact_median(spark, values):
     clean = sorted(v for v in values if v is not None and v == v)
