@@ -17,6 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
 from .median import exact_medians, most_frequents
 
 NUMERIC = ("anio", "kwh_promedio", "potencia_carga", "consumo_wh_km")
@@ -108,7 +109,8 @@ def fit_forest(train: DataFrame, features: Sequence[str], target: str, num_trees
     weight = None
     if instances:
         drawn = F.least(F.col("_n"), F.lit(instances))
-        prepared = (prepared.groupBy(*fcols).agg(F.avg(target).alias(target), F.count(F.lit(1)).alias("_n"))
+        # written once: indexers and forest read the few reduced rows, not the records
+        prepared = (cut_lineage(prepared.groupBy(*fcols).agg(F.avg(target).alias(target), F.count(F.lit(1)).alias("_n")))
                     .withColumn("_w", F.col("_n") / drawn)
                     .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), drawn))).drop("_n", "_i"))
         weight = "_w"

@@ -110,6 +110,21 @@ def test_trees_are_walked_once_per_feature_vector(spark):
     assert sorted(map(str, out.drop("p").collect())) == sorted(map(str, df.collect()))
 
 
+def test_fit_reads_its_records_a_few_times_only(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    rows = [(2010 + i % 3, "AB"[i % 2], "T", float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "anio int, departamento string, tipo_vehiculo string, cantidad_ev double")
+    watched = df.withColumn("departamento", F.udf(seen, "string")("departamento"))
+    fr.fit_forest(watched, fr.FEATURES_A, "cantidad_ev", num_trees=5, max_depth=5)
+    # most frequent values and reduced rows; the indexers and the forest read the latter
+    assert 0 < read.value <= 2 * len(rows)
+
+
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0, None, float("nan")], [2.0] * 50 + [1.0, 7.0]])
 def test_exact_median(spark, values):
     clean = sorted(v for v in values if v is not None and v == v)
