@@ -230,15 +230,14 @@ BT_METRICS_SQL = """
  FROM predictions"""
 
 
-def _trend_metrics(spark, d):
-    preds = _preds(spark, d)
+def _trend_metrics(preds):
     return bt.error_metrics(preds, "cantidad_ev", "cantidad_ev_pred").select(
         F.lit(bt.MODEL_TREND).alias("model"), "mae", "rmse", "n", "r2")
 
 
 @register("backtest_metrics", sql_r6(S.with_(*STAGE1) + BT_METRICS_SQL, ["mae", "rmse", "r2"]))
 def q_backtest_metrics(spark, d):
-    return r6(_trend_metrics(spark, d))
+    return r6(_trend_metrics(_preds(spark, d)))
 
 
 @register("backtest_run_summary", sql_r6(S.with_(*STAGE1) + """,
@@ -253,9 +252,12 @@ m AS (""" + BT_METRICS_SQL + """)
         ['anio', 'departamento', 'tipo_vehiculo'] AS selected_features,
         m.mae, m.rmse, m.r2 FROM m""", ["mae", "rmse", "r2"]))
 def q_backtest_run_summary(spark, d):
-    data = _data(spark, d)
-    chosen = bt.select_model(_trend_metrics(spark, d)).first()["model"]
-    return r6(fl.run_summary(data, _forecast(spark, d), _trend_metrics(spark, d), chosen, DEFAULT_HORIZONS))
+    # one panel for the sizes, the errors and the forecast: the records are joined once
+    panel = _panel(spark, d)
+    preds, future = stage1_trend(panel, DEFAULT_HORIZONS)
+    metrics = _trend_metrics(preds)
+    chosen = bt.select_model(metrics).first()["model"]
+    return r6(fl.run_summary(model_input(panel), future, metrics, chosen, DEFAULT_HORIZONS))
 
 
 @register("positional_holdout", sql_r6(S.with_(*BASE, S.DATA) + """

@@ -10,6 +10,7 @@ from territoria.operators import forest as fr
 from territoria.operators import trend as tr
 from territoria.operators.median import exact_median, most_frequent
 from territoria.operators.ordinal import ordinal_within_key
+from territoria.plans import catalog
 from territoria.plans import flow as fl
 from territoria.plans.outputs import save_outputs
 
@@ -125,6 +126,22 @@ def test_fit_reads_its_records_a_few_times_only(spark):
     assert 0 < read.value <= 2 * len(rows)
 
 
+def test_run_summary_builds_its_panel_once(spark, monkeypatch):
+    built = []
+
+    def panel(spark_, d):
+        built.append(d)
+        return spark.createDataFrame([(2018 + y, x, "CAR", k * y + 1.0, 40.0, 7.0, 150.0)
+                                      for y in range(4) for k, x in enumerate("AB", 1)], REG)
+
+    monkeypatch.setattr(catalog, "_panel", panel)
+    row = catalog.QUERIES["backtest_run_summary"](spark, "given").first()
+    assert built == ["given"]
+    assert (row.train_rows, row.test_rows, row.cutoff_year, row.base_year, row.test_years) == (6, 2, 2020, 2021, [2021])
+    assert row.forecast_years == [2026, 2031, 2036, 2041, 2051] and row.selected_model == "proyeccion_tendencial_grupo"
+    assert (row.mae, row.rmse, row.r2) == (0.0, 0.0, 1.0)
+
+
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0, None, float("nan")], [2.0] * 50 + [1.0, 7.0]])
 def test_exact_median(spark, values):
     clean = sorted(v for v in values if v is not None and v == v)
