@@ -162,6 +162,8 @@ class Landmarks:
         if least:
             enough = np.bincount(rows[hit], self.most[at], minlength=len(strings))[rows[hit]] >= least ** 2
             hit, at = hit[enough], at[enough]
+        if not len(hit):  # counts of nothing would be whole numbers, whatever their weights
+            return np.zeros(shape)
         many = self.many[at]
         each = np.repeat(self.first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         cell = np.repeat(rows[hit], many) * shape[1] + self.rows[each]

@@ -191,6 +191,25 @@ def test_toxicity(spark, docs, none):
     assert toxicity.drop_toxic(docs, nothing).columns == docs.columns
 
 
+def insulting(spark):
+    """200 documents, an insult in every fourth, then 300 whose words share nothing with it: more than a batch of texts."""
+    rows = [(i, f"some plain words here {'grumphole' if i % 4 == 0 else 'garden'} and more.") for i in range(200)]
+    rows += [(i, f"q{i} zq{i}z") for i in range(200, 500)]
+    return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
+def test_toxicity_of_strings_that_share_nothing_with_a_landmark():
+    marks = toxicity.Landmarks([f"{toxicity.EDGE}grumphole{toxicity.EDGE}"])
+    for least in (0.0, toxicity.FAINT):
+        assert marks.similarity([f"{toxicity.EDGE}zzz{toxicity.EDGE}"], least).tolist() == [[0.0]]
+
+
+def test_toxic_documents_dropped_beside_texts_that_share_nothing(spark):
+    kept = {r.doc_id for r in toxicity.drop_toxic(
+        insulting(spark), labels_of(spark, [(i, 1, int(i % 4 == 0)) for i in range(200)])).collect()}
+    assert kept == {i for i in range(500) if i >= 200 or i % 4}
+
+
 def test_quality(spark, docs, none):
     assert quality.scores(none, labels_of(spark, [])).count() == 0
     assert quality.scores(docs, labels_of(spark, [])).where("predicted = 1").count() == 0
