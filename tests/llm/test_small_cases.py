@@ -210,6 +210,12 @@ def test_toxic_documents_dropped_beside_texts_that_share_nothing(spark):
     assert kept == {i for i in range(500) if i >= 200 or i % 4}
 
 
+def test_toxicity_fitted_beside_texts_that_share_nothing(spark):
+    labels = labels_of(spark, [(i, 1, int(i < 200 and i % 4 == 0)) for i in range(500)])
+    rows = toxicity.scores(insulting(spark), labels).collect()
+    assert len(rows) == 500 and {r.doc_id for r in rows if r.predicted} == {i for i in range(0, 200, 4)}
+
+
 def test_quality(spark, docs, none):
     assert quality.scores(none, labels_of(spark, [])).count() == 0
     assert quality.scores(docs, labels_of(spark, [])).where("predicted = 1").count() == 0
